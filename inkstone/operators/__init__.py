@@ -1 +1 @@
-
+"""Relational and text operators, DataFrame to DataFrame."""

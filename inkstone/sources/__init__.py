@@ -1 +1 @@
-
+"""Readers and writers of the library's own formats."""

@@ -1 +1 @@
-
+"""Streaming extensions."""
