@@ -301,7 +301,8 @@ def _compared(docs: DataFrame, checks: DataFrame) -> DataFrame:
                     out["many"].append(m)
                     out["lead"].append(x["lead"])
                     out["raw"].append(raw[s : s + m + LENGTH - 1])
-            yield pd.DataFrame(out)
+            if out["key"]:
+                yield pd.DataFrame(out)
 
     def strings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
