@@ -9,7 +9,7 @@ from .common import stored
 
 
 def _both(e: DataFrame) -> DataFrame:
-    return e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.u", "p.v")
+    return e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # now every edge goes from u to a smaller v
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
+        small = down.select("u", F.col("m").alias("v")).unionByName(large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         e = stored(small)
         # a sum over all edges that stays as it is only when no edge moved
         now = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0))).first())

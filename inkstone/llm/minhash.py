@@ -7,9 +7,11 @@ and documents joined by links form a group, of which the smallest doc_id stays.
 1. Documents with the same set (a 128-bit digest) are one class; from here on there is a row for each class only.
 2. A signature of BANDS x ROWS minima is cut into bands; classes that agree in a band are in one bucket. Two sets at the
    threshold miss each other in all bands with a chance of (1 - 0.75^ROWS)^BANDS, 5 in a million, and less above it.
-3. In each bucket, members are compared with a pivot: first the smallest one, then, round by round and twice as many each
-   time, members that are not in the group of the first. So all links that could join two groups are looked at, and a
-   bucket of n copies of one text costs n comparisons, not n squared; no pair is left out.
+3. In each bucket, members are compared with a pivot. The first pivot is the smallest member; a member looks at one of its
+   buckets' pivots, then at four, then at all, but never at one that is in its group by then. Members that are still not
+   in the group of their bucket's first pivot then become pivots, twice as many each round, and are compared with all of
+   the bucket that are not in their group. So every pair that could join two groups is looked at, while a bucket of n near
+   copies costs about n comparisons and not n squared.
 4. A comparison looks at signatures BATCH minima at a time. After each batch the posterior of the similarity given the
    matches so far (uniform prior) must leave the threshold a chance of at least MISS, or the pair is dropped; survivors
    are confirmed on their full sets.
@@ -30,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, stored
@@ -184,45 +186,57 @@ def groups(docs: DataFrame) -> DataFrame:
     buckets = stored(keys.join(pivots, "key"))
     members = buckets.select("rep").distinct()
     sets = stored(df.where("doc_id IS NOT NULL").join(members, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")).join(f.where("sig IS NOT NULL").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"]), "rep"))
-    pairs = stored(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    tried = pairs
-    edges = stored(confirmed(pairs, sets))
-    labels = stored(components(edges))
+    labels = stored(members.select(F.col("rep").alias("v"), F.col("rep").alias("root")))
+    tried = None
+
+    def label(df: DataFrame, col: str, name: str) -> DataFrame:
+        return df.join(labels.select(F.col("v").alias(col), F.col("root").alias(name)), col)
+
+    def untried(df: DataFrame) -> DataFrame:
+        """Pairs (a, b) that were not compared, in whichever direction."""
+        if tried is None:
+            return df
+        return df.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried, ["x", "y"], "left_anti").drop("x", "y")
+
+    def compare(pairs: DataFrame) -> None:
+        """Confirms pairs and lets their links join groups: components of what is still apart are few and small."""
+        nonlocal tried, labels
+        now = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        tried = now if tried is None else stored(tried.unionByName(now))
+        links = stored(label(label(confirmed(pairs, sets), "u", "ru"), "v", "rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u <> v").distinct())
+        if not links.isEmpty():
+            joined = components(links).select(F.col("v").alias("root"), F.col("root").alias("to"))
+            labels = stored(labels.join(joined, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+
+    # every member with its buckets' first pivots: one of them, then four, then all; those already in its group are passed over
+    firsts = stored(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    for several in (1, 4, BANDS):
+        apart = firsts if tried is None else untried(label(label(firsts, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
+        pairs = stored(apart.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("r") <= several).select("a", "b"))
+        if pairs.isEmpty():
+            break
+        compare(pairs)
+    # members outside the group of their bucket's first pivot become pivots themselves, twice as many each round
     used = None
     several = 1
     while True:
-        # members outside the group of their bucket's first pivot
-        label = lambda df, col, name: df.join(labels.select(F.col("v").alias(col), F.col("root").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
         now = label(label(buckets, "rep", "own"), "pivot", "first")
         outside = now.where("own <> first").select("key", "rep", "own")
         if used is not None:
             outside = outside.join(used, ["key", "rep"], "left_anti")
-        # the next pivots of each bucket: by rank among those left, twice as many each round
-        rank = F.row_number().over(_by_key())
-        chosen = stored(outside.withColumn("r", rank).where(F.col("r") <= several).select("key", F.col("rep").alias("p"), F.col("own").alias("p_own")))
+        chosen = stored(outside.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("r") <= several).select("key", F.col("rep").alias("p"), F.col("own").alias("p_own")))
         if chosen.isEmpty():
             break
-        again = chosen.join(now.select("key", "rep", "own"), "key").where("own <> p_own").select(F.least("p", "rep").alias("x"), F.greatest("p", "rep").alias("y"), "p", "rep")
-        fresh = again.select("x", "y", "p").groupBy("x", "y").agg(F.min("p").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"), "x", "y")
-        fresh = stored(fresh.join(tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), ["x", "y"], "left_anti").select("a", "b"))
+        again = chosen.join(now.select("key", "rep", "own"), "key").where("own <> p_own").select(F.least("p", "rep").alias("x"), F.greatest("p", "rep").alias("y"), "p")
+        again = again.groupBy("x", "y").agg(F.min("p").alias("a")).select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
+        fresh = stored(untried(again))
         used = stored(chosen.select("key", F.col("p").alias("rep")) if used is None else used.unionByName(chosen.select("key", F.col("p").alias("rep"))))
         several *= 2
-        if fresh.isEmpty():
-            continue
-        tried = stored(tried.unionByName(fresh))
-        more = stored(confirmed(fresh, sets))
-        if not more.isEmpty():
-            edges = stored(edges.unionByName(more))
-            labels = stored(components(edges))
+        if not fresh.isEmpty():
+            compare(fresh)
     rows = f.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left")
     # rows without a set have no key to be joined by
     rows = rows.select("doc_id", "n_shingles", "rep", "root").unionByName(f.where("digest IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("root")))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "rep", "doc_id"))
     rows = rows.withColumn("component_id", component)
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("rep")
