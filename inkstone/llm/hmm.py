@@ -38,6 +38,8 @@ ROUNDS = 3
 STRETCH = 64
 HEAD = 200_000
 BATCH_TOKENS = 400_000
+#: Steps after which numbers are scaled; what so many emissions multiply to is far from what a double can hold.
+SCALE_EVERY = 8
 #: Added to expected counts.
 SMOOTH = 0.1
 MAX_KEPT = 500_000
@@ -67,6 +69,18 @@ class _Class(dict):
         return got
 
 
+class _Logs(dict):
+    """Logarithms of the head's counts; other words are put aside."""
+
+    def __init__(self, head: dict[bytes, float]) -> None:
+        super().__init__(head)
+        self.rare: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> float:
+        self.rare.append(word)
+        return 0.0
+
+
 @dataclass
 class Model:
     start: np.ndarray  # state before the first token
@@ -102,7 +116,7 @@ class Pass:
         inside = np.arange(STRETCH)[None, :] < self.size[:, None]
         self.cls = np.where(inside, classes[np.minimum(self.at, len(classes) - 1)], 0)
         self.active = inside.sum(0)
-        self.emitted = model.emit.T[self.cls]  # stretch, step, state
+        self.emitted = model.emit.T[self.cls.T]  # step, stretch, state
         self._products()
         self._chain()
 
@@ -113,10 +127,13 @@ class Pass:
         for t, a in enumerate(self.active):
             if not a:
                 break
-            x = (m[:a].reshape(a * k, k) @ self.model.move).reshape(a, k, k) * self.emitted[:a, t, None, :]
-            total = x.reshape(a, k * k).sum(1)
-            m[:a] = x / total[:, None, None]
-            logs[:a] += np.log(total)
+            x = (m[:a].reshape(a * k, k) @ self.model.move).reshape(a, k, k)
+            x *= self.emitted[t, :a, None, :]
+            if t % SCALE_EVERY == SCALE_EVERY - 1:
+                total = x.reshape(a, k * k).sum(1)
+                x /= total[:, None, None]
+                logs[:a] += np.log(total)
+            m[:a] = x
         self.product, self.logs = m, logs
 
     def _chain(self) -> None:
@@ -151,8 +168,8 @@ class Pass:
         alpha = np.empty((STRETCH + 1, n, STATES))
         alpha[0] = self.before
         for t, a in enumerate(self.active):
-            x = (alpha[t, :a] @ self.model.move) * self.emitted[:a, t]
-            alpha[t + 1, :a] = x / x.sum(1, keepdims=True)
+            x = (alpha[t, :a] @ self.model.move) * self.emitted[t, :a]
+            alpha[t + 1, :a] = x / x.sum(1, keepdims=True) if t % SCALE_EVERY == SCALE_EVERY - 1 else x
         beta = after
         move = np.zeros((STATES, STATES))
         emit = np.zeros_like(self.model.emit)
@@ -161,11 +178,11 @@ class Pass:
             a = self.active[t]
             g = alpha[t + 1, :a] * beta[:a]
             gamma[t, :a] = g / g.sum(1, keepdims=True)
-            ahead = self.emitted[:a, t] * beta[:a]
+            ahead = self.emitted[t, :a] * beta[:a]
             back = ahead @ self.model.move.T
             total = (alpha[t, :a] * back).sum(1, keepdims=True)
             move += (alpha[t, :a] / total).T @ ahead
-            beta[:a] = back / back.sum(1, keepdims=True)
+            beta[:a] = back / back.sum(1, keepdims=True) if t % SCALE_EVERY == 0 else back
         inside = (np.arange(STRETCH)[:, None] < self.size[None, :]).ravel()
         cls = self.cls.T.ravel()[inside]
         for s in range(STATES):
@@ -215,7 +232,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield rows()
                     counts.clear()
             ends += len(pdf)
-        yield rows()
+        if counts:
+            yield rows()
         if ends:
             yield pd.DataFrame({"word": [END], "c": [ends], "cls": [CLASSES]})
 
@@ -295,7 +313,8 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, class_norm, head = shared.value
         of = _Class()
-        logs = {w: float(np.log10(c + 0.1)) for w, c in head.items()}
+        logs = _Logs({w: float(np.log10(c + 0.1)) for w, c in head.items()})
+        log_of = logs.__getitem__
         end = head.get(b"", 0)
         end_log = float(np.log10(end + 0.1)) if end else None
         per_class = np.append(class_norm[:-1], 0.0)
@@ -304,24 +323,21 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
             p = Pass(model, flat, lengths)
             ends = np.cumsum(lengths)
             inside = np.add.reduceat(per_class[flat], ends - lengths)
-            rid, doc_id = pdf["rid"].to_numpy(), pdf["doc_id"]
+            rid, doc_id = pdf["rid"].to_numpy(), pdf["doc_id"].reset_index(drop=True)
             known, log_counts, rare = [], [], ([], [], [])
             for r, w in zip(rid, words, strict=True):
-                total = k = 0
-                for word, tf in Counter(w).items():
-                    x = logs.get(word)
-                    if x is None:
-                        rare[0].append(r)
-                        rare[1].append(word.decode())
-                        rare[2].append(tf)
-                    else:
-                        total += tf * x
-                        k += tf
-                known.append(k)
-                log_counts.append(total)
+                log_counts.append(sum(map(log_of, w)))
+                known.append(len(w) - len(logs.rare))
+                if logs.rare:
+                    tf = Counter(logs.rare)
+                    logs.rare.clear()
+                    rare[0].extend([r] * len(tf))
+                    rare[1].extend(map(bytes.decode, tf))
+                    rare[2].extend(tf.values())
             # the end token: its class has nothing else, so the class gives it for certain
-            yield pd.DataFrame({"rid": rid, "doc_id": doc_id.to_numpy(), "word": None, "tf": 0, "n_tokens": lengths, "n_known": np.array(known) + (end > 0), "log_counts": log_counts, "inside": p.loglik / np.log(10) - inside, "end_log": end_log if end_log is not None else -1.0})
-            yield pd.DataFrame({"rid": rare[0], "doc_id": 0, "word": rare[1], "tf": rare[2], "n_tokens": 0, "n_known": 0, "log_counts": 0.0, "inside": 0.0, "end_log": 0.0})
+            yield pd.DataFrame({"rid": rid, "doc_id": doc_id, "word": None, "tf": 0, "n_tokens": lengths, "n_known": np.array(known) + (end > 0), "log_counts": log_counts, "inside": p.loglik / np.log(10) - inside, "end_log": end_log if end_log is not None else -1.0})
+            if rare[0]:
+                yield pd.DataFrame({"rid": rare[0], "doc_id": 0, "word": rare[1], "tf": rare[2], "n_tokens": 0, "n_known": 0, "log_counts": 0.0, "inside": 0.0, "end_log": 0.0})
 
     kind = "rid long, doc_id long, word string, tf long, n_tokens long, n_known long, log_counts double, inside double, end_log double"
     out = stored(documents(docs).withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, kind))
