@@ -41,7 +41,7 @@ def n_symbols(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def dup_lines(lines: Column) -> Column:
