@@ -14,7 +14,9 @@ and documents joined by links form a group, of which the smallest doc_id stays.
    copies costs about n comparisons and not n squared.
 4. A comparison looks at signatures BATCH minima at a time. After each batch the posterior of the similarity given the
    matches so far (uniform prior) must leave the threshold a chance of at least MISS, or the pair is dropped; survivors
-   are confirmed on their full sets.
+   are confirmed on their full sets. The same rule runs first on the low four bits of each minimum and on set sizes, in the
+   join that makes the pairs: equal minima have equal bits, so it drops no pair that the whole minima would keep, and a
+   passage shared by many documents that are no copies makes no rows and ships no texts.
 5. Groups are the connected components of confirmed links.
 
 Texts that are null or empty have the empty set, are linked with nothing and stay. Rows with a null id are linked with
@@ -32,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, stored
@@ -97,21 +99,29 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The low four bits of each minimum, sixteen (a batch) to a whole number."""
+    bits = (sig & np.uint32(15)).astype(np.uint64).reshape(-1, BATCH) << np.arange(0, 4 * BATCH, 4, dtype=np.uint64)
+    return bits.sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (null without shingles), sig."""
+    """doc_id, n_shingles, digest (null without shingles), sig, sketch."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for pdf in it:
-            n, digest, sig = [], [], []
+            n, digest, sig, short = [], [], [], []
             for text in pdf["text"]:
                 s = shingle_set(text, words)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "digest": digest, "sig": sig})
+                least = signature(s) if len(s) else None
+                sig.append(None if least is None else least.tobytes())
+                short.append(None if least is None else sketch(least))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "digest": digest, "sig": sig, "sketch": short})
 
-    return documents(docs).mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return documents(docs).mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary, sketch array<long>")
 
 
 @lru_cache(maxsize=1)
@@ -125,6 +135,18 @@ def least_matches(top: int = TOP, bottom: int = BOTTOM) -> tuple[int, ...]:
     return tuple(out)
 
 
+def near(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """Whether sets of n and m shingles with sketches a and b may still be linked: set sizes, then batch after batch."""
+    ok, same = BOTTOM * F.least(n, m) >= TOP * F.greatest(n, m), F.lit(0)
+    for k, least in enumerate(least_matches()):
+        x = a[k].bitwiseXOR(b[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        same = same + (F.lit(BATCH) - F.bit_count(x))
+        ok = ok & (same >= least)
+    return ok
+
+
 def may_reach(a: np.ndarray, b: np.ndarray) -> bool:
     same = 0
     for k, least in enumerate(least_matches()):
@@ -180,18 +202,23 @@ def groups(docs: DataFrame) -> DataFrame:
     # of each class the smallest id stands for it
     classes = f.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes)
-    reps = classes.join(f.select("doc_id", "digest", "sig"), (F.col("rep") == F.col("doc_id")) & (classes["digest"] == f["digest"])).select("rep", "sig").dropDuplicates(["rep"])
+    reps = classes.join(f.select("doc_id", "digest", "n_shingles", "sig", "sketch"), (F.col("rep") == F.col("doc_id")) & (classes["digest"] == f["digest"])).select("rep", "n_shingles", "sig", "sketch").dropDuplicates(["rep"])
     keys = reps.select("rep", F.explode(F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)))).alias("key"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
     buckets = stored(keys.join(pivots, "key"))
     members = buckets.select("rep").distinct()
     sets = stored(df.where("doc_id IS NOT NULL").join(members, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")).join(f.where("sig IS NOT NULL").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"]), "rep"))
+    short = stored(reps.join(members, "rep", "left_semi").select("rep", "n_shingles", "sketch"))
     labels = stored(members.select(F.col("rep").alias("v"), F.col("rep").alias("root")))
     tried = None
 
     def label(df: DataFrame, col: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("v").alias(col), F.col("root").alias(name)), col)
 
+    def sized(df: DataFrame, col: str) -> DataFrame:
+        """df with the set size and the sketch of col as n_col and s_col."""
+        return df.join(short.select(F.col("rep").alias(col), F.col("n_shingles").alias(f"n_{col}"), F.col("sketch").alias(f"s_{col}")), col)
+
     def untried(df: DataFrame) -> DataFrame:
         """Pairs (a, b) that were not compared, in whichever direction."""
         if tried is None:
@@ -209,7 +236,8 @@ def groups(docs: DataFrame) -> DataFrame:
             labels = stored(labels.join(joined, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
 
     # every member with its buckets' first pivots: one of them, then four, then all; those already in its group are passed over
-    firsts = stored(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    firsts = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    firsts = stored(sized(sized(firsts, "a"), "b").where(near(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b"))
     for several in (1, 4, BANDS):
         apart = firsts if tried is None else untried(label(label(firsts, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
         pairs = stored(apart.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("r") <= several).select("a", "b"))
@@ -227,7 +255,9 @@ def groups(docs: DataFrame) -> DataFrame:
         chosen = stored(outside.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("r") <= several).select("key", F.col("rep").alias("p"), F.col("own").alias("p_own")))
         if chosen.isEmpty():
             break
-        again = chosen.join(now.select("key", "rep", "own"), "key").where("own <> p_own").select(F.least("p", "rep").alias("x"), F.greatest("p", "rep").alias("y"), "p")
+        bucket = sized(now.join(chosen.select("key").distinct(), "key", "left_semi").select("key", "rep", "own"), "rep")
+        apart = (F.col("own") != F.col("p_own")) & near(F.col("n_p"), F.col("n_rep"), F.col("s_p"), F.col("s_rep"))
+        again = sized(chosen, "p").join(bucket, "key").where(apart).select(F.least("p", "rep").alias("x"), F.greatest("p", "rep").alias("y"), "p")
         again = again.groupBy("x", "y").agg(F.min("p").alias("a")).select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
         fresh = stored(untried(again))
         used = stored(chosen.select("key", F.col("p").alias("rep")) if used is None else used.unionByName(chosen.select("key", F.col("p").alias("rep"))))
