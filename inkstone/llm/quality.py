@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, words
+from .common import documents, stored, words
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -56,9 +56,9 @@ def _windows(w: Column) -> Column:
 
 def _covered(grams: Column) -> Column:
     """Words in windows that are found twice or more: windows sorted by hash and place, those beside an equal one marked, their places merged."""
-    pairs = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     return F.aggregate(
-        F.array_sort(_twins(pairs)),
+        F.sort_array(_twins(pairs)),
         F.struct(F.lit(0).alias("n"), F.lit(-9).alias("last")),
         lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a["n"],
@@ -110,7 +110,8 @@ class Measured:
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[Measured]:
     """The rules, the one with the most rejection per cost first; ties by name."""
-    sample = signals(docs.limit(rows))
+    # written first: over a plain limit Spark would work out the signals of so many rows of each partition, once for each rule
+    sample = signals(stored(documents(docs).limit(rows)))
     out = []
     for rule in rules:
         began = time.perf_counter()
