@@ -7,11 +7,12 @@ and documents joined by links form a group, of which the smallest doc_id stays.
 1. Documents with the same set (a 128-bit digest) are one class; from here on there is a row for each class only.
 2. A signature of BANDS x ROWS minima is cut into bands; classes that agree in a band are in one bucket. Two sets at the
    threshold miss each other in all bands with a chance of (1 - 0.75^ROWS)^BANDS, 5 in a million, and less above it.
-3. In each bucket, members are compared with a pivot. The first pivot is the smallest member; a member looks at one of its
-   buckets' pivots, then at four, then at all, but never at one that is in its group by then. Members that are still not
-   in the group of their bucket's first pivot then become pivots, twice as many each round, and are compared with all of
-   the bucket that are not in their group. So every pair that could join two groups is looked at, while a bucket of n near
-   copies costs about n comparisons and not n squared.
+3. In each bucket, members are compared with a pivot, its smallest member; a member looks at one of its buckets' pivots,
+   then at four, then at all, but never at one that is in its group by then. A bucket of n near copies costs about n
+   comparisons and not n squared. What is left are members outside the largest group of their bucket; each is compared with
+   all of the bucket that are not in its group, so every pair that could join two groups is looked at. In buckets of up to
+   PAIRWISE this is a join of pairs. In larger ones outside members are cut into blocks of BLOCK hashes, and the bucket
+   streams past each block: a bucket of n with m outside ships n rows for each block, never a row for each pair.
 4. A comparison looks at signatures BATCH minima at a time. After each batch the posterior of the similarity given the
    matches so far (uniform prior) must leave the threshold a chance of at least MISS, or the pair is dropped; survivors
    are confirmed on their full sets. The same rule runs first on the low four bits of each minimum and on set sizes, in the
@@ -50,6 +51,10 @@ MISS = 1e-6
 TOP, BOTTOM = 75, 100
 #: Comparisons of one pivot that are dealt out together; pivots with more are dealt out in parts.
 DEAL = 256
+#: Largest bucket whose left-over pairs are made by a join.
+PAIRWISE = 32
+#: Shingles and minima of outside members that a task holds while a bucket streams by, and members that stream by in one task.
+BLOCK, SHARE = 1 << 17, 1024
 MAX_KEPT = 500_000
 _MASK = (1 << 64) - 1
 
@@ -195,6 +200,64 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "u long, v long")
 
 
+def confirmed_in_blocks(inside: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: groups that a link joins, of each outside member and all of its bucket. inside: key, band, rep, own (its group),
+    outside, n_shingles of large buckets' members; sets: rep, sig, text.
+
+    Of a pair in several buckets only the first band's task looks at it; of two outside members only the smaller one's block."""
+    hashes = F.when(F.col("outside"), F.col("n_shingles") + HASHES).otherwise(F.lit(0))
+    cuts = inside.groupBy("key").agg(F.ceil(F.sum(hashes) / BLOCK).cast("long").alias("blocks"), F.ceil(F.count(F.lit(1)) / SHARE).cast("long").alias("shares"))
+    cut = inside.drop("n_shingles").join(cuts.where("blocks > 0"), "key")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    heads = cut.where("outside").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("share", each("shares")).withColumn("head", F.lit(True))
+    tails = cut.withColumn("share", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("shares"))).withColumn("block", each("blocks")).withColumn("head", F.lit(False))
+    rows = heads.unionByName(tails).drop("blocks", "shares").join(sets, "rep")
+    rows = rows.repartition("key", "block", "share").sortWithinPartitions("key", "block", "share", F.desc("head"), "rep")
+    least = np.array(least_matches())
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        at = sigs = None
+        reps, owns, held, texts, whole = [], [], [], [], {}
+        for pdf in it:
+            found = set()
+            for key, block, share, head, band, rep, own, outside, sig, text in zip(*(pdf[c] for c in ("key", "block", "share", "head", "band", "rep", "own", "outside", "sig", "text")), strict=True):
+                if (key, block, share) != at:
+                    at, sigs = (key, block, share), None
+                    reps, owns, held, texts, whole = [], [], [], [], {}
+                got = np.frombuffer(sig, np.uint32)
+                if head:
+                    reps.append(rep)
+                    owns.append(own)
+                    held.append(got)
+                    texts.append(text)
+                    continue
+                if not held:  # no outside member was dealt to this block
+                    continue
+                if sigs is None:
+                    sigs, reps, owns = np.array(held).reshape(-1, HASHES), np.array(reps), np.array(owns)
+                same = sigs == got
+                look = owns != own
+                if outside:
+                    look &= reps < rep
+                look &= same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                look &= (same.reshape(len(sigs), -1, BATCH).sum(axis=2).cumsum(axis=1) >= least).all(axis=1)
+                mine = None
+                for i in np.flatnonzero(look):
+                    link = (min(own, owns[i]), max(own, owns[i]))
+                    if link in found:
+                        continue
+                    if mine is None:
+                        mine = shingle_set(text, words)
+                    if i not in whole:
+                        whole[i] = shingle_set(texts[i], words)
+                    if linked(whole[i], mine):
+                        found.add(link)
+            yield pd.DataFrame(sorted(found), columns=["u", "v"], dtype="int64")
+
+    return rows.mapInPandas(run, "u long, v long")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     df = documents(docs)
@@ -203,8 +266,8 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = f.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes)
     reps = classes.join(f.select("doc_id", "digest", "n_shingles", "sig", "sketch"), (F.col("rep") == F.col("doc_id")) & (classes["digest"] == f["digest"])).select("rep", "n_shingles", "sig", "sketch").dropDuplicates(["rep"])
-    keys = reps.select("rep", F.explode(F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)))).alias("key"))
-    pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
+    keys = reps.select("rep", F.posexplode(F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)))).alias("band", "key"))
+    pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stored(keys.join(pivots, "key"))
     members = buckets.select("rep").distinct()
     sets = stored(df.where("doc_id IS NOT NULL").join(members, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")).join(f.where("sig IS NOT NULL").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"]), "rep"))
@@ -227,10 +290,15 @@ def groups(docs: DataFrame) -> DataFrame:
 
     def compare(pairs: DataFrame) -> None:
         """Confirms pairs and lets their links join groups: components of what is still apart are few and small."""
-        nonlocal tried, labels
+        nonlocal tried
         now = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         tried = now if tried is None else stored(tried.unionByName(now))
-        links = stored(label(label(confirmed(pairs, sets), "u", "ru"), "v", "rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u <> v").distinct())
+        merge(label(label(confirmed(pairs, sets), "u", "ru"), "v", "rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+
+    def merge(links: DataFrame) -> None:
+        """Lets links (u, v) of groups join them."""
+        nonlocal labels
+        links = stored(links.where("u <> v").distinct())
         if not links.isEmpty():
             joined = components(links).select(F.col("v").alias("root"), F.col("root").alias("to"))
             labels = stored(labels.join(joined, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
@@ -244,26 +312,20 @@ def groups(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         compare(pairs)
-    # members outside the group of their bucket's first pivot become pivots themselves, twice as many each round
-    used = None
-    several = 1
-    while True:
-        now = label(label(buckets, "rep", "own"), "pivot", "first")
-        outside = now.where("own <> first").select("key", "rep", "own")
-        if used is not None:
-            outside = outside.join(used, ["key", "rep"], "left_anti")
-        chosen = stored(outside.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("r") <= several).select("key", F.col("rep").alias("p"), F.col("own").alias("p_own")))
-        if chosen.isEmpty():
-            break
-        bucket = sized(now.join(chosen.select("key").distinct(), "key", "left_semi").select("key", "rep", "own"), "rep")
-        apart = (F.col("own") != F.col("p_own")) & near(F.col("n_p"), F.col("n_rep"), F.col("s_p"), F.col("s_rep"))
-        again = sized(chosen, "p").join(bucket, "key").where(apart).select(F.least("p", "rep").alias("x"), F.greatest("p", "rep").alias("y"), "p")
-        again = again.groupBy("x", "y").agg(F.min("p").alias("a")).select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
-        fresh = stored(untried(again))
-        used = stored(chosen.select("key", F.col("p").alias("rep")) if used is None else used.unionByName(chosen.select("key", F.col("p").alias("rep"))))
-        several *= 2
-        if not fresh.isEmpty():
-            compare(fresh)
+    # members outside the largest group of their bucket with all others; the pivot was looked at by all
+    left = label(buckets.where("n > 2 AND rep <> pivot"), "rep", "own")
+    main = left.groupBy("key", "own").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("own", F.struct("size", "own")).alias("main"), F.count(F.lit(1)).alias("several"))
+    left = left.join(main.where("several > 1").drop("several"), "key")
+    inside = left.where(F.col("n") > PAIRWISE).join(short.select("rep", "n_shingles"), "rep").select("key", "band", "rep", "own", (F.col("own") != F.col("main")).alias("outside"), "n_shingles")
+    merge(confirmed_in_blocks(stored(inside), sets))
+    left = stored(label(left.where(F.col("n") <= PAIRWISE).drop("own"), "rep", "own").select("key", "rep", "own", "main"))
+    bucket = sized(left.select("key", "rep", "own"), "rep")
+    chosen = sized(left.where("own <> main").select("key", F.col("rep").alias("p"), F.col("own").alias("p_own")), "p")
+    apart = (F.col("own") != F.col("p_own")) & near(F.col("n_p"), F.col("n_rep"), F.col("s_p"), F.col("s_rep"))
+    again = chosen.join(bucket, "key").where(apart).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    fresh = stored(untried(again))
+    if not fresh.isEmpty():
+        compare(fresh)
     rows = f.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left")
     # rows without a set have no key to be joined by
     rows = rows.select("doc_id", "n_shingles", "rep", "root").unionByName(f.where("digest IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("root")))

@@ -91,8 +91,8 @@ def shingles(text):
     return set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates(docs, none, small_batches):
-    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect() if r["doc_id"] is not None}
+def classes(sets):
+    """The smallest doc_id reachable from each, by comparing all with all."""
     root = {d: d for d in sets}
 
     def find(x):
@@ -105,16 +105,44 @@ def test_near_duplicates(docs, none, small_batches):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
+    return {d: find(d) for d in sets}
+
+
+def test_near_duplicates(docs, none, small_batches):
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect() if r["doc_id"] is not None}
+    root = classes(sets)
     got = minhash.groups(docs).collect()
     assert len(got) == docs.count()
     for r in got:
         if r["doc_id"] is None:
             assert r["component_id"] is None and r["kept"]
         else:
-            assert (r["component_id"], r["kept"], r["n_shingles"]) == (find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"], len(sets[r["doc_id"]]))
+            assert (r["component_id"], r["kept"], r["n_shingles"]) == (root[r["doc_id"]], root[r["doc_id"]] == r["doc_id"], len(sets[r["doc_id"]]))
     assert minhash.groups(none).count() == 0
 
 
+@pytest.mark.parametrize("pairwise,block", [(32, 1 << 17), (2, 700)])
+def test_near_duplicates_far_from_the_pivot(spark, small_batches, monkeypatch, pairwise, block):
+    """A large group of which many are linked to some others only, by pairs and by blocks."""
+    monkeypatch.setattr(minhash, "PAIRWISE", pairwise)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SHARE", 9)
+    r = random.Random(3)
+    first = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = [list(first)]
+    while len(texts) < 90:
+        words = list(texts[r.randrange(len(texts))] if r.random() < 0.5 else first)
+        for _ in range(r.choice([1, 2, 3, 5, 8])):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        texts.append(words)
+    r.shuffle(texts)
+    sets = {i: shingles(" ".join(t)) for i, t in enumerate(texts)}
+    root = classes(sets)
+    assert 3 < len(set(root.values())) < 80
+    got = {x["doc_id"]: x["component_id"] for x in minhash.groups(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == root
+
+
 def test_bayes_never_drops_equal():
     a = np.arange(minhash.HASHES, dtype=np.uint32)
     assert minhash.may_reach(a, a) and not minhash.may_reach(a, a + 1000)
