@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, is_small, words
+from .common import documents, is_small, stored, words
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -94,15 +94,15 @@ def _terms(line: Column) -> Column:
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, share: terms that reveal at least GENERALISE of an entity. found: text, entities."""
-    held = found.where(F.size("entities") > 0).select(F.explode(F.split("text", "\n")).alias("line"))
+    """entity, term, share: terms that reveal at least GENERALISE of an entity. found: text, entities of the documents that hold any."""
+    held = found.select(F.explode(F.split("text", "\n")).alias("line"))
     held = held.where(held["line"].rlike("[0-9]|@")).distinct()
     held = held.select(F.xxhash64("line").alias("h"), _entities(base_spans(F.col("line"))).alias("entities"), "line").where(F.size("entities") > 0)
     pairs = held.select("h", F.explode("entities").alias("entity"), _terms(F.col("line")).alias("terms"))
     n_entity = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("ce")).where(F.col("ce") >= SUPPORT)
     # an entity on fewer lines cannot have a term with enough support
     pairs = pairs.join(n_entity, "entity").select("entity", "ce", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "ce", "term").agg(F.count(F.lit(1)).alias("cet")).where(F.col("cet") >= SUPPORT)
+    pairs = stored(pairs.groupBy("entity", "ce", "term").agg(F.count(F.lit(1)).alias("cet")).where(F.col("cet") >= SUPPORT))
     wanted = pairs.select("term").distinct()
     if is_small(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
@@ -125,8 +125,10 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     df = docs.select(F.struct(*(F.col("doc_id").cast("long").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in own)).alias("_own"), whole.alias("text"))
     df = df.select("_own", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
     df = df.withColumn("entities", _entities({k: F.col(k) for k in KINDS}))
-    shown = disclosures(docs, df)
-    per_doc = df.where(F.size("entities") > 0).select(F.col("text").alias("t"), F.explode("entities").alias("entity")).select(F.sha2("t", 256).alias("th"), "entity").distinct()
+    # written, since both the size check and the result need them
+    held = stored(df.where(F.size("entities") > 0).select("text", "entities"))
+    shown = stored(disclosures(docs, held))
+    per_doc = held.select(F.col("text").alias("t"), F.explode("entities").alias("entity")).select(F.sha2("t", 256).alias("th"), "entity").distinct()
     per_doc = per_doc.join(shown, "entity").groupBy("th", "term").agg(F.max("share").alias("share"))
     per_doc = per_doc.groupBy("th").agg(F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"), F.collect_list(F.when(F.col("share") < REMOVE, F.col("term"))).alias("vague"))
     if is_small(per_doc, BROADCAST_ROWS):
