@@ -276,6 +276,7 @@ class Fitted:
     distinct: int
     class_norm: np.ndarray  # log10 of what a word's smoothed count is divided by, for each class
     head: pd.DataFrame
+    ends: int  # count of the end token, which need not be in the head
     least: int  # words counted so often or more are in the head
     loglik: list[float]
 
@@ -302,12 +303,13 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Fitted:
     for _ in range(rounds):
         model, was = baum_welch(docs, model)
         loglik.append(was)
-    return Fitted(model, counts, int(n.sum()), int(v.sum()), np.log10(n + 0.1 * (v + 1)), head, least, loglik)
+    return Fitted(model, counts, int(n.sum()), int(v.sum()), np.log10(n + 0.1 * (v + 1)), head, int(n[CLASSES]), least, loglik)
 
 
 def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
+    ends_learned = fitted.ends
     shared = spark.sparkContext.broadcast((fitted.model, fitted.class_norm, dict(zip(fitted.head["word"].map(str.encode), fitted.head["c"], strict=True))))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,7 +317,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         of = _Class()
         logs = _Logs({w: float(np.log10(c + 0.1)) for w, c in head.items()})
         log_of = logs.__getitem__
-        end = head.get(b"", 0)
+        end = ends_learned
         end_log = float(np.log10(end + 0.1)) if end else None
         per_class = np.append(class_norm[:-1], 0.0)
         for pdf, words in _batches(it):

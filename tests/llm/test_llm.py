@@ -308,6 +308,16 @@ def test_hidden_markov(docs, none, small_batches, monkeypatch):
     assert hmm.score(none, hmm.fit(none, rounds=1)).count() == 0
 
 
+def test_hidden_markov_end_token_outside_the_head(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 3)
+    df = spark.createDataFrame([(0, "a a b b c c d d"), (1, "")], "doc_id long, text string")
+    f = hmm.fit(df, rounds=1)
+    ends = sum(zlib.crc32(str(i).encode()) % 10 != 0 for i in (0, 1))
+    got = {g["doc_id"]: g for g in hmm.score(df, f).collect()}
+    assert "" not in set(f.head["word"]) and got[1]["n_known"] == (ends > 0)
+    assert abs(got[1]["base_score"] - (np.log10(ends + 0.1) - f.norm)) < 1e-6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
