@@ -1,17 +1,21 @@
 """Hidden Markov language model (operator 10).
 
-Tokens are words, ASCII letters in lower case, then one end token. States emit one of CLASSES word classes (a hash of the
-word; the end token has its own), and a class gives a word by its smoothed share of the class's tokens, so any word has a
-probability and what the states need is bounded. Baum-Welch: each round, every partition adds up expected counts over its
-training texts, the sums over partitions give the next model. Scores are the exact log10 likelihood of the whole text by
-the scaled forward recursion.
+Tokens are words, ASCII letters in lower case, then one end token. Scores are the exact log10 likelihood of the whole text
+by the scaled forward recursion. Baum-Welch: each round, every partition adds up expected counts over its training texts,
+the sums over partitions give the next model. There are two models:
+
+- fit, score: states emit one of CLASSES word classes (a hash of the word; the end token has its own), and a class gives a
+  word by its smoothed share of the class's tokens, so what the states need is bounded.
+- fit_words, score_words (the operator): states emit words. How often each state emitted each word is a table of all
+  training words, which grows with the input; a word's shares of states are smoothed by KAPPA tokens dealt as its class
+  is, so classes are only the back-off of rare and unknown words. Rounds go on until the likelihood has settled.
 
 Both recursions run over stretches of STRETCH tokens at once: the product of a stretch's transition and emission matrices
 is taken for all stretches of a batch together, then chained text by text, which gives the same numbers as one step after
 the other and makes a long text no slower than many short ones.
 
 Word counts cover all training texts and stay in a table. The HEAD most frequent words (a fixed number) go to the workers;
-other words meet their counts in a join, one row for each document and word.
+other words meet their counts in a join, one row for each document and word (in every round of fit_words).
 
 Null and empty texts have the end token only. Repeated rows each count and each give a row. Rows with a null id are scored
 but not learned from, and are not held out. Without any training text all counts are zero and the model is uniform.
@@ -43,6 +47,12 @@ SCALE_EVERY = 8
 #: Added to expected counts.
 SMOOTH = 0.1
 MAX_KEPT = 500_000
+#: Tokens dealt to states as those of its class are that count beside a word's own.
+KAPPA = 1.0
+#: Rounds of fit_words end when the log10 likelihood a token gains less than SETTLED, or after MOST_ROUNDS.
+SETTLED, MOST_ROUNDS = 1e-3, 20
+#: From so many tokens on, rounds over one text in SAMPLE_EVERY come first and only give the start of those over all texts.
+SAMPLE_TOKENS, SAMPLE_EVERY = 3_000_000, 10
 END = ""  # no word is empty
 
 
@@ -356,3 +366,202 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         (logs + F.col("end_log") - F.col("n_tokens") * F.lit(fitted.norm)).alias("base_score"),
         (logs + F.col("inside")).alias("score"),
     )
+
+
+SUMS = [f"e{k}" for k in range(STATES)]
+
+
+@dataclass
+class Words:
+    """States that emit words."""
+
+    start: np.ndarray
+    move: np.ndarray
+    table: DataFrame  # word, c, cls and how often each state emitted the word
+    of_class: np.ndarray  # class, state: shares of the class's tokens
+    norm: np.ndarray  # what the joint weight of a word and a state is divided by
+    head: dict[bytes, int]  # words that go to the workers, the end token first
+    head_counts: np.ndarray
+    head_sums: np.ndarray  # word, state
+    fitted: Fitted
+    texts: DataFrame  # rid, doc_id, text of all rows
+    rare: DataFrame  # rid, k, word: the distinct words of a text outside the head, in no order
+    loglik: list[float]  # log10, of a token, in each round
+
+
+def _settled(loglik: list[float]) -> bool:
+    return len(loglik) > 1 and abs(loglik[-1] - loglik[-2]) < SETTLED
+
+
+def _joint(c: np.ndarray, sums: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Smoothed count of word and state; over the states it adds up to the word's count and 0.1."""
+    return (c[:, None] + 0.1) / (sums.sum(1, keepdims=True) + KAPPA) * (sums + KAPPA * shares)
+
+
+def _shape(w: Words, table: DataFrame) -> None:
+    """Takes over a table of expected counts: shares of classes, norm and the head's rows."""
+    w.table = table
+    each = (F.col("c") + 0.1) / (sum(F.col(x) for x in SUMS) + F.lit(KAPPA))
+    by = table.groupBy("cls").agg(F.sum(each).alias("b"), *(F.sum(each * F.col(x)).alias(f"a_{x}") for x in SUMS), *(F.sum(x).alias(x) for x in SUMS)).toPandas()  # CLASSES rows
+    sums, a, b = np.zeros((CLASSES + 1, STATES)), np.zeros((CLASSES + 1, STATES)), np.zeros(CLASSES + 1)
+    at = by["cls"].to_numpy(int)
+    sums[at], a[at], b[at] = by[SUMS].to_numpy(float), by[[f"a_{x}" for x in SUMS]].to_numpy(float), by["b"].to_numpy(float)
+    whole = (sums.sum(0) + SMOOTH) / (sums.sum() + SMOOTH * STATES)
+    w.of_class = (sums + SMOOTH * whole) / (sums.sum(1, keepdims=True) + SMOOTH)
+    # every class may give one unknown word; the end token's may not
+    unknown = np.r_[np.full(CLASSES, 0.1), 0.0]
+    w.norm = a.sum(0) + ((KAPPA * b + unknown)[:, None] * w.of_class).sum(0)
+    rows = table.where((F.col("c") >= w.fitted.least) | (F.col("word") == END)).toPandas()  # HEAD rows and the end token's
+    rows = rows.sort_values("word", key=lambda x: x != END, kind="stable")
+    if not len(rows) or rows["word"].iloc[0] != END:  # nothing was learned from
+        rows = pd.concat([pd.DataFrame({"word": [END], "c": [0], "cls": [CLASSES]} | {x: [0.0] for x in SUMS}), rows])
+    w.head = {x.encode(): i for i, x in enumerate(rows["word"])}
+    w.head_counts, w.head_sums = rows["c"].to_numpy(float), rows[SUMS].to_numpy(float)
+
+
+class _Numbers(dict):
+    """Number of each word: the head's, then others as they come."""
+
+    def __init__(self, head: dict[bytes, int]) -> None:
+        super().__init__(head)
+        self.known = len(head)
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = got = self.known + len(self.fresh)
+        self.fresh.append(word)
+        return got
+
+    def forget(self) -> None:
+        for word in self.fresh:
+            del self[word]
+        self.fresh = []
+
+
+class _Worker:
+    """The model as one task uses it."""
+
+    def __init__(self, shared: tuple) -> None:
+        self.start, self.move, self.of_class, self.norm, head, self.counts, self.sums = shared
+        self.numbers = _Numbers(head)
+        cls = np.array([zlib.crc32(x) % CLASSES if x else CLASSES for x in head])
+        self.head = _joint(self.counts, self.sums, self.of_class[cls]) / self.norm
+
+    def batches(self, it: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, Pass]]:
+        """Rows, word numbers, lengths, counts by number, recursion."""
+        for pdf, words in _batches(it):
+            self.numbers.forget()
+            lengths = np.array([len(x) + 1 for x in words])
+            flat = np.zeros(lengths.sum(), np.int64)  # the end token is number 0
+            at = 0
+            for x in words:
+                flat[at : at + len(x)] = list(map(self.numbers.__getitem__, x))
+                at += len(x) + 1
+            known, fresh = self.numbers.known, self.numbers.fresh
+            c, sums = np.zeros(len(fresh)), np.zeros((len(fresh), STATES))
+            for names, values in zip(pdf["names"], pdf["values"], strict=True):
+                if names is not None and len(names):
+                    where = [self.numbers[x.encode()] - known for x in names]
+                    got = np.asarray(values, float).reshape(-1, STATES + 1)
+                    c[where], sums[where] = got[:, 0], got[:, 1:]
+            cls = np.array([zlib.crc32(x) % CLASSES for x in fresh], np.int64)
+            emit = np.concatenate([self.head, _joint(c, sums, self.of_class[cls]) / self.norm])
+            yield pdf, flat, lengths, np.concatenate([self.counts, c]), Pass(Model(self.start, self.move, emit.T), flat, lengths)
+
+
+def _shared(w: Words) -> object:
+    return w.texts.sparkSession.sparkContext.broadcast((w.start, w.move, w.of_class, w.norm, w.head, w.head_counts, w.head_sums))
+
+
+def _with_rare(w: Words, which: Column) -> DataFrame:
+    """Texts of some rids with names and values (count, then sums) of their words outside the head that were learned."""
+    texts = w.texts.where(which)
+    found = w.rare.where(which).join(w.table, "word").select("rid", F.struct("word", F.array(F.col("c").cast("double"), *SUMS).alias("x")).alias("r"))
+    found = found.groupBy("rid").agg(F.collect_list("r").alias("r")).select("rid", F.col("r.word").alias("names"), F.flatten("r.x").alias("values"))
+    return texts.join(found, "rid", "left").select("rid", "doc_id", "text", "names", "values")
+
+
+def _words_round(w: Words, which: Column) -> float:
+    """Log10 likelihood of a token over the training texts chosen, from which w is learned anew."""
+    shared = _shared(w)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _Worker(shared.value)
+        known = own.numbers.known
+        heads, start, move, of_text = np.zeros((known, STATES)), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((1, STATES))
+
+        def rows(names: list[bytes | None], i: np.ndarray | int, x: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"word": [n.decode() if n is not None else None for n in names], "i": i} | {c: x[:, k] for k, c in enumerate(SUMS)})
+
+        for _, flat, _, _, p in own.batches(it):
+            one, moves, emit = p.expected()
+            heads += emit[:, :known].T
+            start += one
+            move += moves
+            of_text[0, :2] += p.loglik.sum(), len(flat)
+            if own.numbers.fresh:
+                yield rows(own.numbers.fresh, -1, emit[:, known:].T)
+        at = np.flatnonzero(heads.sum(1))
+        names = list(own.numbers)[:known]
+        yield rows([names[i] for i in at], -1, heads[at])
+        last = np.concatenate([start[None], move, of_text])
+        yield rows([None] * len(last), np.arange(len(last)), last)
+
+    kind = "word string, i int, " + ", ".join(f"{x} double" for x in SUMS)
+    got = _with_rare(w, which).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    got = stored(got.mapInPandas(run, kind).groupBy("word", "i").agg(*(F.sum(x).alias(x) for x in SUMS)))
+    small = got.where("word IS NULL").orderBy("i").toPandas()  # a few rows
+    x = np.zeros((STATES + 2, STATES))
+    x[small["i"]] = small[SUMS].to_numpy(float)
+    start, move = x[0] + SMOOTH, x[1:-1] + SMOOTH
+    w.start, w.move = start / start.sum(), move / move.sum(1, keepdims=True)
+    new = w.fitted.counts.join(got.where("word IS NOT NULL").drop("i"), "word", "left").select("word", "c", "cls", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in SUMS))
+    _shape(w, stored(new))
+    return float(x[-1, 0] / np.log(10) / max(x[-1, 1], 1))
+
+
+def fit_words(docs: DataFrame, most: int = MOST_ROUNDS) -> Words:
+    fitted = fit(docs, rounds=0)
+    spark = docs.sparkSession
+    # states that last and classes dealt out far from evenly at random part sooner than nearly equal states
+    first = Model(fitted.model.start, np.where(np.eye(STATES) > 0, 0.97, 0.03 / (STATES - 1)), fitted.model.emit)
+    shares = (first.emit / first.emit.sum(0)).T ** 4
+    shares /= shares.sum(1, keepdims=True)
+    by_class = F.broadcast(spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(shares)], "cls int, " + ", ".join(f"{x} double" for x in SUMS)))  # CLASSES rows
+    table = fitted.counts.join(by_class, "cls").select("word", "c", "cls", *((F.col("c") * F.col(x)).alias(x) for x in SUMS))
+    texts = stored(documents(docs).withColumn("rid", F.monotonically_increasing_id()))
+    w = Words(first.start, first.move, table, shares, np.ones(STATES), {}, np.zeros(0), np.zeros((0, STATES)), fitted, texts, texts, [])
+    _shape(w, table)
+    shared = spark.sparkContext.broadcast(frozenset(w.head))
+
+    def others(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = shared.value
+        for pdf in it:
+            for rid, text in zip(pdf["rid"], pdf["text"], strict=True):
+                if names := set(tokens(text)) - head:
+                    yield pd.DataFrame({"rid": rid, "word": [x.decode() for x in names]})
+
+    w.rare = stored(texts.select("rid", "text").mapInPandas(others, "rid long, word string"))
+    if fitted.tokens >= SAMPLE_TOKENS:
+        sampled: list[float] = []
+        while len(sampled) < most and not _settled(sampled):
+            sampled.append(_words_round(w, F.xxhash64("rid") % SAMPLE_EVERY == 0))
+    while len(w.loglik) < most and not _settled(w.loglik):
+        w.loglik.append(_words_round(w, F.lit(True)))
+    return w
+
+
+def score_words(w: Words) -> DataFrame:
+    """The columns of score, for every row fit_words was given."""
+    shared = _shared(w)
+    norm, total = w.fitted.norm, w.fitted.tokens
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, flat, lengths, counts, p in _Worker(shared.value).batches(it):
+            first = np.cumsum(lengths) - lengths
+            base = np.add.reduceat(np.log10(counts + 0.1)[flat], first) - lengths * norm
+            known = np.add.reduceat((counts > 0)[flat].astype(np.int64), first)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": lengths, "n_known": known, "base_score": base, "score": p.loglik / np.log(10)})
+
+    out = _with_rare(w, F.lit(True)).mapInPandas(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -63,8 +63,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return hmm.score(docs, hmm.fit(docs))
+    return hmm.score_words(hmm.fit_words(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:

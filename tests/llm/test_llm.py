@@ -308,6 +308,43 @@ def test_hidden_markov(docs, none, small_batches, monkeypatch):
     assert hmm.score(none, hmm.fit(none, rounds=1)).count() == 0
 
 
+def test_hidden_markov_words(spark, docs, none, small_batches, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 60)
+    w = hmm.fit_words(docs, 4)
+    table = {t["word"].encode(): t for t in w.table.collect()}
+    assert sum(t["c"] for t in table.values()) == w.fitted.tokens and len(w.head) < len(table)
+    assert all(abs(sum(t[x] for x in hmm.SUMS) - t["c"]) < 1e-6 * t["c"] for t in table.values())
+
+    def emit(x):
+        c, sums = (table[x]["c"], np.array([table[x][k] for k in hmm.SUMS])) if x in table else (0, np.zeros(hmm.STATES))
+        return (c + 0.1) / (c + hmm.KAPPA) * (sums + hmm.KAPPA * w.of_class[zlib.crc32(x) % hmm.CLASSES if x else hmm.CLASSES]) / w.norm
+
+    want = Counter()
+    for r in docs.collect():
+        ws, state, score = [*hmm.tokens(r["text"] or ""), b""], w.start, 0.0
+        for x in ws:
+            state = (state @ w.move) * emit(x)
+            score += np.log10(state.sum())
+            state = state / state.sum()
+        want[(r["doc_id"], len(ws), sum(x in table for x in ws), round(score, 4))] += 1
+    got = hmm.score_words(w).collect()
+    assert want == Counter((g["doc_id"], g["n_tokens"], g["n_known"], round(g["score"], 4)) for g in got)
+    # the same counts as the class model's, with the end token outside its head
+    old = {(g["doc_id"], g["n_known"], round(g["base_score"], 4)) for g in hmm.score(docs, hmm.fit(docs, rounds=0)).collect()}
+    assert old == {(g["doc_id"], g["n_known"], round(g["base_score"], 4)) for g in got}
+    assert hmm.score_words(hmm.fit_words(none, 1)).count() == 0
+
+
+def test_hidden_markov_tells_words_of_a_class_apart(spark, tmp_path):
+
+    r = random.Random(8)
+    texts = [" ".join(f"{'ab'[i % 2]}{r.randrange(4000)}" for _ in range(60)) for i in range(1200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [g for g in queries.op10_hidden_markov(spark, str(tmp_path)).collect() if g["held_out"]]
+    gain = sum(g["score"] - g["base_score"] for g in got) / sum(g["n_tokens"] for g in got)
+    assert gain > 0.1
+
+
 def test_hidden_markov_end_token_outside_the_head(spark, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 3)
     df = spark.createDataFrame([(0, "a a b b c c d d"), (1, "")], "doc_id long, text string")
