@@ -1,11 +1,12 @@
 """Personal data: patterns, and terms that give the protected entities away (operator 8), without Python on the executors.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers; the values found are the protected
-entities. Information-theoretic sanitisation then asks which other terms disclose them: over distinct lines of the
-corpus, the point-wise mutual information of a term and an entity, as a share of the entity's own information content,
-is the part of it that the term reveals. Terms above REMOVE are removed and terms above GENERALISE are replaced by their
-kind, in the documents that hold the entity. A term must stand beside the entity on at least SUPPORT different lines,
-since one line says nothing about co-occurrence.
+entities. Information-theoretic sanitisation then asks which other terms disclose them: over the distinct texts of the
+corpus, and over its distinct lines, the smoothed point-wise mutual information of a term and an entity, as a share of the
+entity's own information content, is the part of it that the term reveals. Terms above REMOVE are removed and terms above
+GENERALISE are replaced by their kind, in the documents that hold the entity; the greater of both shares counts. How
+often both stand together must be more than chance explains: its tail bound, times the number of terms compared with the
+entity, must be at most CHANCE. This judges an entity on one line as well as a frequent one.
 
 Places are code points, ends exclusive. Nulls count as empty texts, which have no spans. Repeated rows each give a row,
 and their lines count once; rows with a null id are treated as any other. Extra columns are not looked at.
@@ -29,8 +30,10 @@ KINDS = ("email", "ip", "card", "phone")
 PARTS_OK = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}"
 #: Shares of an entity's information that a term reveals, from which on it is generalised or removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Different lines on which term and entity must stand together.
-SUPPORT = 3
+#: Chance at most, over all terms of an entity, that they stand together so often without disclosing it.
+CHANCE = 0.05
+#: Occurrences of a term as if without the entity more than with it, against which its share is smoothed.
+SMOOTH = 0.5
 #: Candidate terms that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 SPAN = "array<struct<s:int,e:int,v:string>>"
@@ -93,26 +96,52 @@ def _terms(line: Column) -> Column:
     return F.filter(w, lambda x: ~x.rlike(r"[@+]|[0-9]{3}|[0-9]\.[0-9]") & (F.length(x) > 1) & x.rlike(r"[\p{L}\p{N}]"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, share: terms that reveal at least GENERALISE of an entity. found: text, entities of the documents that hold any."""
-    held = found.select(F.explode(F.split("text", "\n")).alias("line"))
-    held = held.where(held["line"].rlike("[0-9]|@")).distinct()
-    held = held.select(F.xxhash64("line").alias("h"), _entities(base_spans(F.col("line"))).alias("entities"), "line").where(F.size("entities") > 0)
-    pairs = held.select("h", F.explode("entities").alias("entity"), _terms(F.col("line")).alias("terms"))
-    n_entity = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("ce")).where(F.col("ce") >= SUPPORT)
-    # an entity on fewer lines cannot have a term with enough support
-    pairs = pairs.join(n_entity, "entity").select("entity", "ce", F.explode("terms").alias("term"))
-    pairs = stored(pairs.groupBy("entity", "ce", "term").agg(F.count(F.lit(1)).alias("cet")).where(F.col("cet") >= SUPPORT))
+def _share(cet: Column, ct: Column, ce: Column, n: Column) -> Column:
+    """Part of an entity's information that a term reveals."""
+    p = ce / n
+    return F.log2((cet + F.lit(SMOOTH) * p) / (ct + F.lit(SMOOTH)) / p) / F.greatest(-F.log2(p), F.lit(1e-9))
+
+
+def _beyond_chance(cet: Column, ct: Column, ce: Column, n: Column, compared: Column) -> Column:
+    """Chernoff's bound of a Poisson tail, for one occurrence the tail itself, against CHANCE over all terms compared."""
+    mean = ct * ce / n
+    bound = F.when(cet <= 1, F.log(-F.expm1(-mean))).otherwise(-(cet * F.log(cet / mean) - cet + mean))
+    return (cet > mean) & (bound + F.log(compared) <= F.log(F.lit(CHANCE)))
+
+
+def _disclosed(held: DataFrame, units: DataFrame) -> DataFrame:
+    """entity, term, share over units (lines or texts). held: h, u, entities of the distinct units that hold any; units: u of all, with repeats."""
+    n = units.agg(F.approx_count_distinct("u", 0.01).alias("n")).first()["n"]
+    if not n:
+        n = 1
+    total = F.lit(float(n))
+    own = held.select("h", "entities", F.explode(_terms(F.col("u"))).alias("term"))
+    # on how many units with any entity a term stands is at most on how many units it stands at all
+    seen = own.groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    n_entity = held.select(F.explode("entities").alias("entity"), F.size(_terms(F.col("u"))).alias("k")).groupBy("entity").agg(F.count(F.lit(1)).alias("ce"), F.sum("k").cast("double").alias("compared"))
+    pairs = own.select(F.explode("entities").alias("entity"), "term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("cet"))
+    pairs = pairs.join(n_entity, "entity").join(seen, "term")
+    possible = (_share(F.col("cet"), F.col("least"), F.col("ce"), total) >= GENERALISE) & _beyond_chance(F.col("cet"), F.col("least"), F.col("ce"), total, F.col("compared"))
+    pairs = stored(pairs.where(possible).drop("least"))
     wanted = pairs.select("term").distinct()
     if is_small(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
-    lines = documents(docs).select(F.explode(F.split("text", "\n")).alias("line"))
-    n_lines = lines.agg(F.approx_count_distinct("line", 0.01).alias("n"))
-    words_of = lines.select(F.xxhash64("line").alias("h"), F.explode(F.array_distinct(words(F.col("line")))).alias("term"))
+    words_of = units.select(F.xxhash64("u").alias("h"), F.explode(F.array_distinct(words(F.col("u")))).alias("term"))
     n_term = words_of.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
-    n = n_lines.first()["n"]
-    share = F.log2(F.col("cet") * F.lit(float(n)) / (F.col("ct") * F.col("ce"))) / F.greatest(F.log2(F.lit(float(n)) / F.col("ce")), F.lit(1e-9))
-    return pairs.join(n_term, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    told = _beyond_chance(F.col("cet"), F.col("ct"), F.col("ce"), total, F.col("compared"))
+    return pairs.join(n_term, "term").where(told).select("entity", "term", _share(F.col("cet"), F.col("ct"), F.col("ce"), total).alias("share")).where(F.col("share") >= GENERALISE)
+
+
+def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """entity, term, share: terms that reveal at least GENERALISE of an entity. found: text, entities of the documents that hold any."""
+    whole = found.dropDuplicates(["text"]).select(F.xxhash64("text").alias("h"), F.col("text").alias("u"), "entities")
+    lines = found.select(F.explode(F.split("text", "\n")).alias("u"))
+    lines = lines.where(lines["u"].rlike("[0-9]|@")).distinct()
+    lines = lines.select(F.xxhash64("u").alias("h"), "u", _entities(base_spans(F.col("u"))).alias("entities")).where(F.size("entities") > 0)
+    all_ = documents(docs)
+    by_line = _disclosed(stored(lines), all_.select(F.explode(F.split("text", "\n")).alias("u")))
+    by_text = _disclosed(stored(whole), all_.select(F.col("text").alias("u")))
+    return by_line.unionByName(by_text).groupBy("entity", "term").agg(F.max("share").alias("share"))
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

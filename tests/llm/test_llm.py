@@ -239,6 +239,20 @@ def test_disclosing_terms(spark):
     assert all(got[i]["clean"] == texts[i] for i in range(300))
 
 
+def test_disclosing_terms_of_rare_entities(spark):
+    r = random.Random(7)
+    filler = lambda: " ".join(f"w{r.randrange(40)}" for _ in range(8))
+    texts = [filler() for _ in range(2000)] + [f"{filler()}\nQuorvane\n{filler()} one@x.org Plimsey {filler()}", "Quorvane", f"{filler()} w1 two@x.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {g["doc_id"]: g for g in pii.sanitise(pii.scan(df)).collect()}
+    # on one line, and on another line of the document
+    assert "Plimsey" not in got[2000]["clean"] and "Quorvane" not in got[2000]["clean"]
+    assert got[2001]["clean"] == texts[2001]
+    # words that stand everywhere disclose nothing
+    assert got[2002]["clean"] == texts[2002].replace("two@x.org", "<EMAIL>")
+    assert all(got[i]["clean"] == texts[i] for i in range(2000))
+
+
 def repeats(rows_):
     seen, out = set(), []
     for d, t in sorted(set(rows_), key=lambda x: (x[0] is not None, x[0] or 0)):
