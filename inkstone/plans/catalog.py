@@ -466,6 +466,14 @@ def _(s, d):
     return graph.nearest(q.drop("label"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), skip=skip)
 
 
+@query("TK2_vector_search")
+def _(s, d):
+    e = read(s, d, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), "label")
+    skip = q.join(e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "label"), "label").select("query", "id")
+    return graph.nearest(q.drop("label"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), skip=skip)
+
+
 @query("TK5_recent", "SELECT event_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 9")
 def _(s, d):
     return read(s, d, "events").where("event_type = 'view'").orderBy(F.desc("ts"), F.desc("event_id")).limit(9).select("event_id")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import sqlite3
 
 import pytest
@@ -124,3 +125,21 @@ def test_lexicon_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("lexicon_counts").collect()} == {("a", 2, 1, 4), ("b", 1, 0, 3)}
+
+
+def test_search_takes_every_twentieth(spark, tmp_path, monkeypatch):
+    from inkstone.operators import graph
+    from inkstone.plans import catalog
+
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)], i % 3) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors = {x["vec_id"]: x for x in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    want = set()
+    for q in range(0, 200, 20):
+        score = {i: round(sum(a * b for a, b in zip(vectors[q]["embedding"], x["embedding"], strict=True)), 6) for i, x in vectors.items()}
+        top = sorted(score, key=lambda i: (-score[i], i))[:8]
+        want |= {(q, i) for i in [i for i in top if i != q and not (i % 2 == 0 and i % 3 == q % 3)][:3]}
+    for block in (1024, 4):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        assert {(x["query"], x["id"]) for x in catalog.queries()["TK2_vector_search"](spark, str(tmp_path)).collect()} == want
