@@ -129,6 +129,11 @@ def _(s, d):
     return values(s, "id int, c string", _TITLES).select("id", T.title(c).alias("t"), T.without_title(c).alias("content"))
 
 
+@query("SRC6_blob_round_trip_all")
+def _(s, d):
+    return read(s, d, "documents").select("doc_id", files.extract(F.col("text"), F.lit("text/plain")).alias("content"))
+
+
 @query("SRC6_blob_round_trip", "SELECT doc_id, text AS content FROM documents WHERE lang = 'de'")
 def _(s, d):
     docs = read(s, d, "documents").where("lang = 'de'")
@@ -359,6 +364,13 @@ def _(s, d):
     return read(s, d, "supplier").select("s_suppkey", "s_nationkey").join(c, "s_nationkey").join(F.broadcast(n), "s_nationkey", "left").select("s_suppkey", "c_custkey", "n_name")
 
 
+@query("JN2_two_roles_left_all")
+def _(s, d):
+    n = read(s, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    c = read(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("s_nationkey"))
+    return read(s, d, "supplier").select("s_suppkey", "s_nationkey").join(c, "s_nationkey").join(F.broadcast(n), "s_nationkey", "left").select("s_suppkey", "c_custkey", "n_name")
+
+
 _EDGES = "edges AS (SELECT DISTINCT o_custkey AS from_id, l_suppkey AS to_id, l_returnflag AS edge_type FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
@@ -531,17 +543,17 @@ def _(s, d):
     return m.select("chunk", "text", "s", spans.snippet().alias("snippet"))
 
 
-def mentions(s, d):
+def mentions(s, d, of="p_partkey % 5 = 0"):
     """Words of part names as mentions; nation-like groups as documents."""
-    return read(s, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("doc"), F.lit("N").alias("type"), F.col("p_name").alias("text"))
+    return read(s, d, "part").where(of).select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("doc"), F.lit("N").alias("type"), F.col("p_name").alias("text"))
 
 
 _MENT = "m AS (SELECT p_partkey AS id, p_size % 10 AS doc, p_name AS text FROM part WHERE p_partkey % 5 = 0)"
 _NEAR = "a.text = b.text OR (length(a.text) >= 3 AND length(b.text) >= 3 AND levenshtein(a.text, b.text) < 0.3 * greatest(length(a.text), length(b.text)))"
 
 
-def coreference_roots(s, d):
-    m = mentions(s, d)
+def coreference_roots(s, d, of="p_partkey % 5 = 0"):
+    m = mentions(s, d, of)
     e = spans.coreference_edges(m)
     up = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     label = graph._stored(m.select(F.col("id").alias("v"), F.col("id").alias("root")))
@@ -568,6 +580,21 @@ def _(s, d):
     return spans.parents(mentions(s, d), coreference_roots(s, d))
 
 
+@query("CO3_coreference_edges_all")
+def _(s, d):
+    return spans.coreference_edges(mentions(s, d, "true"))
+
+
+@query("CO4_components_all")
+def _(s, d):
+    return coreference_roots(s, d, "true")
+
+
+@query("CO5_merged_entities_all")
+def _(s, d):
+    return spans.parents(mentions(s, d, "true"), coreference_roots(s, d, "true"))
+
+
 @query("RL1_relations", """
 WITH f AS (SELECT n_regionkey AS w, n_nationkey AS id, substr(n_name, 1, 8) AS t FROM nation), p AS (SELECT a.w, a.t AS ft, b.t AS tt FROM f a JOIN f b ON a.w = b.w WHERE (a.id + b.id) % 3 = 0)
 SELECT from_id, to_id, edge_type, explanation FROM (SELECT a.id AS from_id, b.id AS to_id, 'NEAR' AS edge_type, '' AS explanation, row_number() OVER (PARTITION BY a.id, b.id ORDER BY p.w) n FROM p JOIN f a ON a.w = p.w AND a.t = p.ft JOIN f b ON b.w = p.w AND b.t = p.tt WHERE p.ft <> p.tt AND a.id <> b.id) WHERE n = 1""")
@@ -584,6 +611,12 @@ def _(s, d):
     return spans.promote(edges(s, d).where("from_id % 2 = 0"), c)
 
 
+@query("RL3_promotion_all")
+def _(s, d):
+    c = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.lit(1000000) + F.col("c_nationkey")).cast("long").alias("parent"))
+    return spans.promote(edges(s, d), c)
+
+
 @query("MU6_delete_entity", f"WITH {_EDGES}, g AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 5)) SELECT * FROM edges WHERE from_id NOT IN (SELECT id FROM g) AND to_id NOT IN (SELECT id FROM g)")
 def _(s, d):
     c = read(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.lit(1000000) + F.col("c_nationkey")).alias("parent"))

@@ -143,3 +143,45 @@ def test_search_takes_every_twentieth(spark, tmp_path, monkeypatch):
     for block in (1024, 4):
         monkeypatch.setattr(graph, "BLOCK", block)
         assert {(x["query"], x["id"]) for x in catalog.queries()["TK2_vector_search"](spark, str(tmp_path)).collect()} == want
+
+
+def test_whole_tables(spark):
+    from inkstone.plans import catalog
+
+    d, q = "/root/testdata/sf0.001", catalog.queries()
+    parts = [(x["p_partkey"], x["p_size"] % 10, x["p_name"]) for x in spark.read.parquet(f"{d}/part.parquet").collect()]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    root = {i: i for i, _, _ in parts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, doc, a in parts:
+        for j, other, b in parts:
+            if i < j and doc == other and (a == b or (min(len(a), len(b)) >= 3 and distance(a, b) < 0.3 * max(len(a), len(b)))):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    roots = {i: find(i) for i in root}
+    assert {(x["v"], x["root"]) for x in q["CO4_components_all"](spark, d).collect()} == set(roots.items())
+    sizes = {x: list(roots.values()).count(x) for x in set(roots.values())}
+    assert {(x["root"], x["members"]) for x in q["CO5_merged_entities_all"](spark, d).collect()} == {(x, n) for x, n in sizes.items() if n > 1}
+    assert all(roots[x["u"]] == roots[x["v"]] for x in q["CO3_coreference_edges_all"](spark, d).collect())
+    table = lambda n: spark.read.parquet(f"{d}/{n}.parquet").collect()
+    custs = {x["c_custkey"]: x["c_nationkey"] for x in table("customer")}
+    names = {x["n_nationkey"]: x["n_name"] for x in table("nation") if x["n_regionkey"] < 3}
+    assert {tuple(x) for x in q["JN2_two_roles_left_all"](spark, d).collect()} == {(x["s_suppkey"], c, names.get(n)) for x in table("supplier") for c, n in custs.items() if n == x["s_nationkey"]}
+    orders = {x["o_orderkey"]: x["o_custkey"] for x in table("orders")}
+    up = lambda c: 1000000 + custs[c] if c % 2 == 0 else c
+    ends = {(orders[x["l_orderkey"]], x["l_suppkey"], x["l_returnflag"]) for x in table("lineitem") if x["l_orderkey"] in orders}
+    assert {tuple(x) for x in q["RL3_promotion_all"](spark, d).collect()} == {(up(a), up(b), t) for a, b, t in ends if a in custs and b in custs and up(a) != up(b)}
+    assert {tuple(x) for x in q["SRC6_blob_round_trip_all"](spark, d).collect()} == {(x["doc_id"], x["text"]) for x in table("documents")}
