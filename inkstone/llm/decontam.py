@@ -4,7 +4,8 @@ A window is as many words of a document as the benchmark item has (the whole doc
 compared with ASCII letters in lower case; a shingle is five words (the whole sequence if there are fewer).
 
 1. A window can only be similar to an item if they share a shingle, so shingles of documents are joined with those of the
-   benchmark; each hit puts an item-sized window where the item would begin. No other window is fingerprinted.
+   benchmark; each hit puts an item-sized window where the item would begin. No other window is fingerprinted. An item of
+   fewer than five words is one shingle, so documents are also cut into windows of each such length among the items.
 2. Windows and items get a 64-bit SimHash of their shingles, weighted by how often each occurs. Cut into BLOCKS blocks,
    two fingerprints within RADIUS agree in some block up to RADIUS // BLOCKS bits; items are entered under all values
    that near, so equal joins on (size, block, value) miss no fingerprint within the radius.
@@ -42,6 +43,17 @@ def shingles(w: Column) -> Column:
     return F.when(n >= SHINGLE, many).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
+def short_windows(w: Column, sizes: list[int]) -> Column:
+    """pos, h: each window of each of the sizes (all under SHINGLE), hashed as shingles() hashes a text of that many words."""
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size(w) - n)
+        all_ = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")).alias("h")))
+        return F.when(F.size(w) > n, all_).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+
+    return F.concat(*(of(n) for n in sizes))
+
+
 def simhash(sh: Column) -> Column:
     """Bit b is set if more of the shingles (each as often as it occurs) have it than not."""
 
@@ -91,7 +103,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
         probes = F.broadcast(probes)
     df = documents(docs).where("doc_id IS NOT NULL").select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
     # positions alone go through the join, never texts
-    hits = df.select("doc_id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"))).alias("pos", "h")).join(probes, "h")
+    found = df.select("doc_id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
+    hits = found.join(probes, "h")
+    sizes = sorted(x["n"] for x in it.where(F.col("n") < SHINGLE).select("n").distinct().collect())
+    if sizes:  # four at most
+        short = df.select("doc_id", F.size("w").alias("size"), F.explode(short_windows(F.col("w"), sizes)).alias("x")).select("doc_id", "size", "x.pos", "x.h")
+        hits = hits.unionByName(short.join(probes.where(F.col("n") < SHINGLE), "h").select(*hits.columns))
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("size") - F.col("n")))
     starts = hits.select("doc_id", "n", start.alias("start")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("n", "start")).alias("at"))
     at = stored(starts)

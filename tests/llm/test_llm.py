@@ -160,6 +160,13 @@ def test_decontamination(spark, docs, none):
     assert decontam.scan(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_inside_long_texts(spark):
+    bench = spark.createDataFrame([(1, "one two three"), (2, "lone"), (3, "a b c d"), (4, "v w x y z")], "item_id long, text string")
+    rows_ = [(1, "k " * 30 + "One two three" + " l" * 30), (2, "k k k k k k lone k"), (3, "a b c k d a b c d e f g"), (4, "k v w x y z k"), (5, "one two k three k k")]
+    got = decontam.scan(spark.createDataFrame(rows_, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["start"], r["n_words"]) for r in got} == {(1, 1, 30, 3), (2, 2, 6, 1), (3, 3, 5, 4), (4, 4, 1, 5)}
+
+
 def test_toxicity(spark, none):
     r = random.Random(2)
     words = ["".join(r.choice("aeioubcdf") for _ in range(5)) for _ in range(300)]
