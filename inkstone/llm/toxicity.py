@@ -46,7 +46,7 @@ MAX_KEPT = 500_000
 
 def grams(word: bytes) -> list[int]:
     """Buckets of a word: its character n-grams with < and > at the ends, and the whole word."""
-    w = b"<" + word[:200] + b">"
+    w = b"<" + word + b">"
     n = len(w)
     return [zlib.crc32(w) % BUCKETS] + [zlib.crc32(w[i : i + k]) % BUCKETS for k in NGRAMS for i in range(n - k + 1)]
 

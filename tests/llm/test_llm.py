@@ -188,6 +188,12 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, toxicity.fit(none, lab.limit(0))).count() == 0
 
 
+def test_toxicity_reads_whole_words():
+    a, b = b"x" * 300, b"x" * 250 + b"zxqyr" + b"x" * 45
+    assert set(toxicity.grams(b)) > set(toxicity.grams(a)) - {toxicity.grams(a)[0]}
+    assert len(toxicity.grams(b)) == 1 + sum(302 - k + 1 for k in toxicity.NGRAMS)
+
+
 def test_quality(docs, none):
     for r, g in zip(sorted(docs.where("doc_id < 110").collect(), key=str), sorted(quality.apply(docs.where("doc_id < 110"), quality.RULES).join(docs.select("doc_id", "text").distinct(), "doc_id").collect(), key=str), strict=True):
         del r
