@@ -1,5 +1,9 @@
 """Known license texts and equivalent spellings. Their wording is what licenses are recognised by."""
 
+from __future__ import annotations
+
+from pathlib import Path
+
 #: Spellings that license lists treat as the same; the left one becomes the right one, in this order.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
@@ -86,3 +90,6 @@ TEXTS = {
     "line-GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "line-MIT": "Released under the MIT License.",
 }
+
+#: Full texts by name, as Debian ships them; the SQL has TEXTS only.
+FULL = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "full_licenses").glob("*.txt"))}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import UPPER, LOWER, documents, is_small
-from .license_texts import SPELLINGS, TEXTS
+from .license_texts import FULL, SPELLINGS, TEXTS
 
 #: Known digests that are broadcast at most.
 BROADCAST_ROWS = 100_000
@@ -50,7 +50,7 @@ def digests(texts: DataFrame) -> DataFrame:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in sorted(TEXTS.items())], "license_id string, text string")
+    return spark.createDataFrame([(k, v) for k, v in sorted((TEXTS | FULL).items())], "license_id string, text string")
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from inkstone.llm import decontam, hmm, licenses, minhash, pii, quality, queries, sentencepiece_codec, suffix, token_counts, toxicity
-from inkstone.llm.license_texts import TEXTS
+from inkstone.llm.license_texts import FULL, TEXTS
 from inkstone.llm.pieces import load
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +86,13 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_full_licenses(spark):
+    names = sorted(FULL)
+    assert {"Apache-2.0", "GPL-2", "GPL-3", "LGPL-3", "MPL-2.0"} <= set(names)
+    df = spark.createDataFrame([(i, FULL[n]) for i, n in enumerate(names)], "doc_id long, text string")
+    assert {g["doc_id"]: g["license_id"] for g in licenses.scan(df).collect()} == dict(enumerate(names))
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())
