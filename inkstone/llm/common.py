@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +36,13 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one; a cluster's is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="inkstone-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(d)
     return d
 
@@ -47,7 +52,43 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkstone-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the folders of stored tables that nothing reads any more, such as those of past rounds; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def version(text: Column) -> Column:
+    """Tells texts with the same id apart; a null text is the empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def by_python(docs: DataFrame, run: Callable[[pd.DataFrame], Iterator[dict]], kind: str) -> DataFrame:
+    """docs' doc_id (as it was, null or not) and what `run` gives for each batch: dicts of columns, together a value for each row in order.
+
+    Ids travel as numbers without nulls beside a flag, as pandas would make a column with nulls a float and change large ids."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            at = 0
+            for part in run(pdf):
+                n = len(next(iter(part.values())))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + n].to_numpy(), "no_id": pdf["no_id"].iloc[at : at + n].to_numpy(), **part})
+                at += n
+
+    own = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), *rest)
+    out = own.mapInPandas(rows, f"doc_id long, no_id boolean, {kind}")
+    return out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def is_small(df: DataFrame, rows: int) -> bool:

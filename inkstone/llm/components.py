@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         # now every edge goes from u to a smaller v
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = down.select("u", F.col("m").alias("v")).unionByName(large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        e = stored(small)
+        e, old = stored(small), e
+        discard(old)
         # a sum over all edges that stays as it is only when no edge moved
         now = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0))).first())
         if now == before:

@@ -1,25 +1,27 @@
 """Hidden Markov language model (operator 10).
 
 Tokens are words, ASCII letters in lower case, then one end token. Scores are the exact log10 likelihood of the whole text
-by the scaled forward recursion. Baum-Welch: each round, every partition adds up expected counts over its training texts,
-the sums over partitions give the next model. There are two models:
-
-- fit, score: states emit one of CLASSES word classes (a hash of the word; the end token has its own), and a class gives a
-  word by its smoothed share of the class's tokens, so what the states need is bounded.
-- fit_words, score_words (the operator): states emit words. How often each state emitted each word is a table of all
-  training words, which grows with the input; a word's shares of states are smoothed by KAPPA tokens dealt as its class
-  is, so classes are only the back-off of rare and unknown words. Rounds go on until the likelihood has settled.
-
-Both recursions run over stretches of STRETCH tokens at once: the product of a stretch's transition and emission matrices
-is taken for all stretches of a batch together, then chained text by text, which gives the same numbers as one step after
-the other and makes a long text no slower than many short ones.
-
-Word counts cover all training texts and stay in a table. The HEAD most frequent words (a fixed number) go to the workers;
-other words meet their counts in a join, one row for each document and word (in every round of fit_words).
+by the scaled forward recursion over states that emit words.
+
+1. Words are counted over all training texts, into a table that grows with the input.
+2. Texts are written once as numbers of words. The HEAD most frequent words (a fixed number) go to the workers and have the
+   same number everywhere; a text carries its other words beside it.
+3. Baum-Welch: each round every partition adds up expected counts over its training texts, the sums over partitions give the
+   next model. While rounds go on, the OWN most frequent words have emissions of their own and other words share those of
+   CLASSES classes (a hash of the word), so what goes round is bounded. Rounds over one text in SAMPLE_EVERY come first and
+   only give the start; those over all training texts follow until the likelihood has settled.
+4. One more pass adds up, for every word of the training texts, how often each state emitted it: a table of all words. A word's
+   shares of states are smoothed by KAPPA tokens dealt as its class is, so classes are the back-off of rare and unknown words.
+   In scoring, head words are at hand and other words meet the table in a join, one row for each document and word.
+
+The recursions run over stretches of STRETCH tokens, all stretches of a batch at once. Where a text has several, the product
+of a stretch's transition and emission matrices gives the state before the next one, which gives the same numbers as one step
+after the other and makes a long text no slower than many short ones.
 
 Null and empty texts have the end token only. Repeated rows each count and each give a row. Rows with a null id are scored
-but not learned from, and are not held out. Without any training text all counts are zero and the model is uniform.
-Extra columns are not looked at.
+but not learned from, and are not held out. Equally frequent words are in the head or outside it together. Without any
+training text all counts are zero and the model is uniform; an empty table gives no rows. Extra columns are not looked at.
+Very long texts need memory in proportion to their own length.
 """
 
 from __future__ import annotations
@@ -28,212 +30,60 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import discard, documents, stored
 
 STATES = 4
-CLASSES = 4096
-ROUNDS = 3
-STRETCH = 64
+OWN, CLASSES = 16_384, 4096
 HEAD = 200_000
-BATCH_TOKENS = 400_000
+STRETCH = 256
+BATCH_TOKENS = 200_000
 #: Steps after which numbers are scaled; what so many emissions multiply to is far from what a double can hold.
 SCALE_EVERY = 8
 #: Added to expected counts.
 SMOOTH = 0.1
-MAX_KEPT = 500_000
+MAX_KEPT = 250_000
 #: Tokens dealt to states as those of its class are that count beside a word's own.
 KAPPA = 1.0
-#: Rounds of fit_words end when the log10 likelihood a token gains less than SETTLED, or after MOST_ROUNDS.
+#: Rounds end when the log10 likelihood a token gains less than SETTLED, or after MOST_ROUNDS.
 SETTLED, MOST_ROUNDS = 1e-3, 20
-#: From so many tokens on, rounds over one text in SAMPLE_EVERY come first and only give the start of those over all texts.
-SAMPLE_TOKENS, SAMPLE_EVERY = 3_000_000, 10
+#: One text in so many is in the first rounds, and its table has so many times fewer partitions.
+SAMPLE_EVERY = 10
 END = ""  # no word is empty
+SUMS = [f"e{k}" for k in range(STATES)]
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
-def learned(docs: DataFrame) -> DataFrame:
-    return documents(docs).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+def learned() -> Column:
+    return F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
 
 
 def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-class _Class(dict):
-    """Class of each word, kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        got = zlib.crc32(word) % CLASSES
-        if len(self) >= MAX_KEPT:
-            self.clear()
-        self[word] = got
-        return got
-
-
-class _Logs(dict):
-    """Logarithms of the head's counts; other words are put aside."""
-
-    def __init__(self, head: dict[bytes, float]) -> None:
-        super().__init__(head)
-        self.rare: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> float:
-        self.rare.append(word)
-        return 0.0
-
-
-@dataclass
-class Model:
-    start: np.ndarray  # state before the first token
-    move: np.ndarray  # from, to
-    emit: np.ndarray  # state, class; the last class is the end token
-
-    @staticmethod
-    def first(class_counts: np.ndarray, seed: int = 11) -> Model:
-        rng = np.random.default_rng(seed)
-        emit = (class_counts + SMOOTH)[None, :] * np.exp(rng.normal(0, 0.5, (STATES, len(class_counts))))
-        move = np.full((STATES, STATES), 1.0) + 3 * np.eye(STATES)
-        return Model(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-
-
-def _stretches(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of so many tokens one after the other: text, number within it, first token and length of each stretch."""
-    n = -(-lengths // STRETCH)
-    text = np.repeat(np.arange(len(lengths)), n)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    first = np.repeat(np.cumsum(lengths) - lengths, n) + number * STRETCH
-    return text, number, first, np.minimum(STRETCH, np.repeat(lengths, n) - number * STRETCH)
-
-
-class Pass:
-    """Forward (and backward) recursion over texts given as one array of classes and their lengths (at least 1 each)."""
-
-    def __init__(self, model: Model, classes: np.ndarray, lengths: np.ndarray) -> None:
-        self.model, self.classes, self.lengths = model, classes, lengths
-        text, number, first, size = _stretches(lengths)
-        order = np.argsort(-size, kind="stable")  # shorter stretches drop out at the end
-        self.text, self.number, self.size = text[order], number[order], size[order]
-        self.at = first[order][:, None] + np.arange(STRETCH)[None, :]
-        inside = np.arange(STRETCH)[None, :] < self.size[:, None]
-        self.cls = np.where(inside, classes[np.minimum(self.at, len(classes) - 1)], 0)
-        self.active = inside.sum(0)
-        self.emitted = model.emit.T[self.cls.T]  # step, stretch, state
-        self._products()
-        self._chain()
-
-    def _products(self) -> None:
-        n, k = len(self.size), STATES
-        m = np.broadcast_to(np.eye(k), (n, k, k)).copy()
-        logs = np.zeros(n)
-        for t, a in enumerate(self.active):
-            if not a:
-                break
-            x = (m[:a].reshape(a * k, k) @ self.model.move).reshape(a, k, k)
-            x *= self.emitted[t, :a, None, :]
-            if t % SCALE_EVERY == SCALE_EVERY - 1:
-                total = x.reshape(a, k * k).sum(1)
-                x /= total[:, None, None]
-                logs[:a] += np.log(total)
-            m[:a] = x
-        self.product, self.logs = m, logs
-
-    def _chain(self) -> None:
-        """State before each stretch, and the likelihood of each text."""
-        n_texts = len(self.lengths)
-        state = np.broadcast_to(self.model.start, (n_texts, STATES)).copy()
-        self.loglik = np.zeros(n_texts)
-        self.before = np.empty((len(self.size), STATES))
-        by_number = np.argsort(self.number, kind="stable")
-        cuts = np.searchsorted(self.number[by_number], np.arange(self.number.max() + 2))
-        self.levels = [by_number[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        for level in self.levels:
-            who = self.text[level]
-            self.before[level] = state[who]
-            x = np.einsum("ni,nij->nj", state[who], self.product[level])
-            total = x.sum(1)
-            state[who] = x / total[:, None]
-            self.loglik[who] += np.log(total) + self.logs[level]
-
-    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of the start state, of moves and of emissions."""
-        n = len(self.size)
-        after = np.empty((n, STATES))
-        right = np.ones((len(self.lengths), STATES))
-        for level in reversed(self.levels):
-            who = self.text[level]
-            after[level] = right[who]
-            x = np.einsum("nij,nj->ni", self.product[level], right[who])
-            right[who] = x / x.sum(1, keepdims=True)
-        start = self.model.start * right
-        start = (start / start.sum(1, keepdims=True)).sum(0)
-        alpha = np.empty((STRETCH + 1, n, STATES))
-        alpha[0] = self.before
-        for t, a in enumerate(self.active):
-            x = (alpha[t, :a] @ self.model.move) * self.emitted[t, :a]
-            alpha[t + 1, :a] = x / x.sum(1, keepdims=True) if t % SCALE_EVERY == SCALE_EVERY - 1 else x
-        beta = after
-        move = np.zeros((STATES, STATES))
-        emit = np.zeros_like(self.model.emit)
-        gamma = np.empty((STRETCH, n, STATES))
-        for t in range(STRETCH - 1, -1, -1):
-            a = self.active[t]
-            g = alpha[t + 1, :a] * beta[:a]
-            gamma[t, :a] = g / g.sum(1, keepdims=True)
-            ahead = self.emitted[t, :a] * beta[:a]
-            back = ahead @ self.model.move.T
-            total = (alpha[t, :a] * back).sum(1, keepdims=True)
-            move += (alpha[t, :a] / total).T @ ahead
-            beta[:a] = back / back.sum(1, keepdims=True) if t % SCALE_EVERY == 0 else back
-        inside = (np.arange(STRETCH)[:, None] < self.size[None, :]).ravel()
-        cls = self.cls.T.ravel()[inside]
-        for s in range(STATES):
-            emit[s] = np.bincount(cls, weights=gamma[:, :, s].ravel()[inside], minlength=emit.shape[1])
-        return start, move * self.model.move, emit
-
-
-def _batches(texts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
-    """Rows with their tokens, about BATCH_TOKENS at a time."""
-    for pdf in texts:
-        words: list[list[bytes]] = []
-        size = first = 0
-        for i, text in enumerate(pdf["text"]):
-            words.append(tokens(text))
-            size += len(words[-1]) + 1
-            if size >= BATCH_TOKENS:
-                yield pdf.iloc[first : i + 1], words
-                words, size, first = [], 0, i + 1
-        if words:
-            yield pdf.iloc[first:], words
-
-
-def _classes(words: list[list[bytes]], of: _Class) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(w) + 1 for w in words])
-    flat = np.full(lengths.sum(), CLASSES, np.int64)
-    at = 0
-    for w in words:
-        flat[at : at + len(w)] = list(map(of.__getitem__, w))
-        at += len(w) + 1
-    return flat, lengths
+def class_of(word: bytes) -> int:
+    return zlib.crc32(word) % CLASSES if word else CLASSES
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c, cls: how often each token occurs in training texts. The end token is the empty word."""
+    """word, c, cls: how often each token occurs in training texts. The end token is the empty word, with a class of its own."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[bytes] = Counter()
         ends = 0
 
         def rows() -> pd.DataFrame:
-            return pd.DataFrame({"word": [w.decode() for w in counts], "c": list(counts.values()), "cls": [zlib.crc32(w) % CLASSES for w in counts]})
+            return pd.DataFrame({"word": [w.decode() for w in counts], "c": list(counts.values()), "cls": [class_of(w) for w in counts]})
 
         for pdf in it:
             for text in pdf["text"]:
@@ -247,321 +97,350 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if ends:
             yield pd.DataFrame({"word": [END], "c": [ends], "cls": [CLASSES]})
 
-    parts = learned(docs).mapInPandas(run, "word string, c long, cls int")
+    parts = documents(docs).where(learned()).select("text").mapInPandas(run, "word string, c long, cls int")
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.first("cls").alias("cls"))
 
 
-def baum_welch(docs: DataFrame, model: Model) -> tuple[Model, float]:
-    """One round over all training texts, and the log10 likelihood under the model given."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # STATES x CLASSES numbers
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, of = shared.value, _Class()
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES + 1))
-        loglik = 0.0
-        for _, words in _batches(it):
-            p = Pass(own, *_classes(words, of))
-            for total, x in zip((start, move, emit), p.expected(), strict=True):
-                total += x
-            loglik += p.loglik.sum()
-        flat = np.concatenate([start, move.ravel(), emit.ravel(), [loglik]])
-        at = np.flatnonzero(flat)
-        yield pd.DataFrame({"i": at, "x": flat[at]})
-
-    sums = learned(docs).select("text").mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-    flat = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1) + 1)
-    flat[sums["i"]] = sums["x"]
-    cut = np.cumsum([STATES, STATES * STATES])
-    start, move, emit = flat[: cut[0]], flat[cut[0] : cut[1]].reshape(STATES, STATES), flat[cut[1] : -1].reshape(STATES, CLASSES + 1)
-    start, move, emit = start + SMOOTH, move + SMOOTH, emit + SMOOTH
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)), float(flat[-1] / np.log(10))
-
-
-@dataclass
-class Fitted:
-    model: Model
-    counts: DataFrame  # word, c, cls
-    tokens: int
-    distinct: int
-    class_norm: np.ndarray  # log10 of what a word's smoothed count is divided by, for each class
-    head: pd.DataFrame
-    ends: int  # count of the end token, which need not be in the head
-    least: int  # words counted so often or more are in the head
-    loglik: list[float]
-
-    @property
-    def norm(self) -> float:
-        return float(np.log10(self.tokens + 0.1 * (self.distinct + 1)))
-
-
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> Fitted:
-    counts = stored(word_counts(docs))
-    by_class = counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # CLASSES rows
-    n, v = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    n[by_class["cls"]], v[by_class["cls"]] = by_class["n"], by_class["v"]
-    # the count from which on words are in the head: from how many words have which count, largest first
-    sizes = counts.groupBy(F.least(F.col("c"), F.lit(1 << 20)).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c"))
+def _least(counts: DataFrame) -> int:
+    """The count from which on words are in the head: from how many words have which count, largest first."""
+    sizes = counts.where(F.col("word") != END).groupBy(F.least(F.col("c"), F.lit(1 << 20)).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c"))
     least, total = 1 << 62, 0
     for row in sizes.limit(HEAD).toLocalIterator():
         total += row["k"]
         if total > HEAD:
             break
         least = row["c"]
-    head = counts.where(F.col("c") >= least).select("word", "c").toPandas()
-    model, loglik = Model.first(n), []
-    for _ in range(rounds):
-        model, was = baum_welch(docs, model)
-        loglik.append(was)
-    return Fitted(model, counts, int(n.sum()), int(v.sum()), np.log10(n + 0.1 * (v + 1)), head, int(n[CLASSES]), least, loglik)
+    return least
 
 
-def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
-    ends_learned = fitted.ends
-    shared = spark.sparkContext.broadcast((fitted.model, fitted.class_norm, dict(zip(fitted.head["word"].map(str.encode), fitted.head["c"], strict=True))))
+class Recursion:
+    """Forward (and backward) recursion over texts, given as one array of numbers and their lengths (at least 1 each).
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, class_norm, head = shared.value
-        of = _Class()
-        logs = _Logs({w: float(np.log10(c + 0.1)) for w, c in head.items()})
-        log_of = logs.__getitem__
-        end = ends_learned
-        end_log = float(np.log10(end + 0.1)) if end else None
-        per_class = np.append(class_norm[:-1], 0.0)
-        for pdf, words in _batches(it):
-            flat, lengths = _classes(words, of)
-            p = Pass(model, flat, lengths)
-            ends = np.cumsum(lengths)
-            inside = np.add.reduceat(per_class[flat], ends - lengths)
-            rid, doc_id = pdf["rid"].to_numpy(), pdf["doc_id"].reset_index(drop=True)
-            known, log_counts, rare = [], [], ([], [], [])
-            for r, w in zip(rid, words, strict=True):
-                log_counts.append(sum(map(log_of, w)))
-                known.append(len(w) - len(logs.rare))
-                if logs.rare:
-                    tf = Counter(logs.rare)
-                    logs.rare.clear()
-                    rare[0].extend([r] * len(tf))
-                    rare[1].extend(map(bytes.decode, tf))
-                    rare[2].extend(tf.values())
-            # the end token: its class has nothing else, so the class gives it for certain
-            yield pd.DataFrame({"rid": rid, "doc_id": doc_id, "word": None, "tf": 0, "n_tokens": lengths, "n_known": np.array(known) + (end > 0), "log_counts": log_counts, "inside": p.loglik / np.log(10) - inside, "end_log": end_log if end_log is not None else -1.0})
-            if rare[0]:
-                yield pd.DataFrame({"rid": rare[0], "doc_id": 0, "word": rare[1], "tf": rare[2], "n_tokens": 0, "n_known": 0, "log_counts": 0.0, "inside": 0.0, "end_log": 0.0})
-
-    kind = "rid long, doc_id long, word string, tf long, n_tokens long, n_known long, log_counts double, inside double, end_log double"
-    out = stored(documents(docs).withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, kind))
-    rare = out.where("word IS NOT NULL").select("rid", "word", "tf").join(fitted.counts.select("word", "c"), "word", "left")
-    rare = rare.groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    df = out.where("word IS NULL").join(rare, "rid", "left")
-    logs = F.col("log_counts") + F.coalesce("rare_logs", F.lit(0.0))
-    return df.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(fitted.tokens).cast("long").alias("train_tokens"),
-        (logs + F.col("end_log") - F.col("n_tokens") * F.lit(fitted.norm)).alias("base_score"),
-        (logs + F.col("inside")).alias("score"),
-    )
+    emit: number, state. Stretches lie side by side, longest first, so those that go on at a step are the first ones."""
 
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.start, self.move, self.lengths = start, move, lengths
+        n = -(-lengths // STRETCH)
+        text = np.repeat(np.arange(len(lengths)), n)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        first = np.repeat(np.cumsum(lengths) - lengths, n) + number * STRETCH
+        size = np.minimum(STRETCH, np.repeat(lengths, n) - number * STRETCH)
+        order = np.argsort(-size, kind="stable")
+        self.text, self.number, self.size = text[order], number[order], size[order]
+        self.active = len(size) - np.searchsorted(np.sort(size), np.arange(1, size.max() + 1))
+        self.offset = np.cumsum(self.active) - self.active
+        total = int(self.active.sum())
+        step = np.repeat(np.arange(len(self.active)), self.active)
+        self.row = np.arange(total) - self.offset[step]
+        self.flat = flat[first[order][self.row] + step]
+        self.step = step
+        self.emitted = emit[self.flat]
+        self.before = np.broadcast_to(start, (len(size), STATES)).copy()
+        self.levels: list[np.ndarray] = []
+        if n.max() > 1:
+            self._chain(np.flatnonzero(n[self.text] > 1))
+        self._forward()
+
+    def _chain(self, rows: np.ndarray) -> None:
+        """State before each stretch of the texts that have several: the products of their matrices, chained text by text."""
+        k = len(rows)
+        m, size = np.broadcast_to(np.eye(STATES), (k, STATES, STATES)).copy(), self.size[rows]
+        going = k - np.searchsorted(np.sort(size), np.arange(1, size.max() + 1))
+        for t, a in enumerate(going):
+            x = (m[:a].reshape(a * STATES, STATES) @ self.move).reshape(a, STATES, STATES)
+            x *= self.emitted[self.offset[t] + rows[:a]][:, None, :]
+            if t % SCALE_EVERY == SCALE_EVERY - 1:
+                x /= x.reshape(a, -1).sum(1)[:, None, None]
+            m[:a] = x
+        self.product = m
+        by_number = np.argsort(self.number[rows], kind="stable")
+        cuts = np.searchsorted(self.number[rows][by_number], np.arange(self.number[rows].max() + 2))
+        self.levels = [by_number[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.rows = rows
+        state = np.broadcast_to(self.start, (len(self.lengths), STATES)).copy()
+        for level in self.levels:
+            who = self.text[rows[level]]
+            self.before[rows[level]] = state[who]
+            x = np.einsum("ni,nij->nj", state[who], m[level])
+            state[who] = x / x.sum(1, keepdims=True)
+
+    def _forward(self) -> None:
+        self.alpha = np.empty_like(self.emitted)
+        logs, last = np.zeros(len(self.size)), self.before
+        for t, (o, a) in enumerate(zip(self.offset, self.active, strict=True)):
+            x = np.matmul(last[:a], self.move, out=self.alpha[o : o + a])
+            x *= self.emitted[o : o + a]
+            if t % SCALE_EVERY == SCALE_EVERY - 1:
+                s = x.sum(1)
+                x /= s[:, None]
+                logs[:a] += np.log(s)
+            last = x
+        ends = self.alpha[self.offset[self.size - 1] + np.arange(len(self.size))]
+        self.loglik = np.bincount(self.text, logs + np.log(ends.sum(1)), len(self.lengths))
+
+    def expected(self, numbers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of the start state, of moves, and of numbers by state."""
+        after = np.ones((len(self.size), STATES))
+        right = np.ones((len(self.lengths), STATES))
+        for level in reversed(self.levels):
+            rows = self.rows[level]
+            who = self.text[rows]
+            after[rows] = right[who]
+            x = np.einsum("nij,nj->ni", self.product[level], right[who])
+            right[who] = x / x.sum(1, keepdims=True)
+        beta, b, back = np.empty_like(self.alpha), after, self.move.T.copy()
+        for t in range(len(self.active) - 1, -1, -1):
+            o, a = self.offset[t], self.active[t]
+            beta[o : o + a] = b[:a]
+            x = (self.emitted[o : o + a] * b[:a]) @ back
+            if t % SCALE_EVERY == 0:
+                x /= x.sum(1, keepdims=True)
+            b[:a] = x
+        begins = self.number == 0
+        start = self.start * b[begins]
+        start = (start / start.sum(1, keepdims=True)).sum(0)
+        gamma = self.alpha * beta
+        gamma /= gamma.sum(1, keepdims=True)
+        n = len(self.size)
+        past = np.concatenate([self.before, self.alpha[self.offset[self.step[n:] - 1] + self.row[n:]]])
+        beta *= self.emitted
+        past /= ((past @ self.move) * beta).sum(1, keepdims=True)
+        emit = np.stack([np.bincount(self.flat, gamma[:, s], numbers) for s in range(STATES)], 1)
+        return start, (past.T @ beta) * self.move, emit
+
+
+def _batches(it: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows with their numbers, about BATCH_TOKENS at a time."""
+    for pdf in it:
+        kept: list[np.ndarray] = []
+        size = first = 0
+        for i, raw in enumerate(pdf["codes"]):
+            kept.append(np.frombuffer(raw, np.int32))
+            size += len(kept[-1])
+            if size >= BATCH_TOKENS:
+                yield pdf.iloc[first : i + 1], kept
+                kept, size, first = [], 0, i + 1
+        if kept:
+            yield pdf.iloc[first:], kept
 
-SUMS = [f"e{k}" for k in range(STATES)]
+
+def _with_rare(pdf: pd.DataFrame, codes: list[np.ndarray], known: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All numbers one after the other, lengths, and the words outside the head, which are numbered from known on."""
+    rare: list[bytes] = []
+    parts = []
+    for x, names in zip(codes, pdf["rare"], strict=True):
+        if len(names):
+            x = np.where(x >= known, x + len(rare), x)
+            rare.extend([w.encode() for w in names])
+        parts.append(x)
+    return np.concatenate(parts), np.array([len(x) for x in codes]), rare
 
 
 @dataclass
 class Words:
-    """States that emit words."""
+    """A trained model. Numbers: 0 the end token, then the head's words, the most frequent first."""
 
     start: np.ndarray
     move: np.ndarray
     table: DataFrame  # word, c, cls and how often each state emitted the word
     of_class: np.ndarray  # class, state: shares of the class's tokens
     norm: np.ndarray  # what the joint weight of a word and a state is divided by
-    head: dict[bytes, int]  # words that go to the workers, the end token first
-    head_counts: np.ndarray
-    head_sums: np.ndarray  # word, state
-    fitted: Fitted
-    texts: DataFrame  # rid, doc_id, text of all rows
-    rare: DataFrame  # rid, k, word: the distinct words of a text outside the head, in no order
-    loglik: list[float]  # log10, of a token, in each round
+    head: list[bytes]
+    counts: np.ndarray  # of the head
+    sums: np.ndarray  # head, state
+    tokens: int
+    distinct: int
+    texts: DataFrame  # rid, doc_id, learn, codes, rare of all rows
+    loglik: list[float]  # log10, of a token, in each round over all training texts
+
+
+def _encoded(docs: DataFrame, head: list[bytes]) -> DataFrame:
+    """rid, doc_id (0 for none), no_id, learn, codes, rare: texts as numbers; those from len(head) on are places in rare."""
+    shared = docs.sparkSession.sparkContext.broadcast(head)  # HEAD words
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {w: i for i, w in enumerate(shared.value) if w}
+        known = len(shared.value)
+        get, none = number.get, repeat(-1)
+        for pdf in it:
+            codes, rare = [], []
+            for text in pdf["text"]:
+                w = tokens(text)
+                x = np.zeros(len(w) + 1, np.int32)
+                x[:-1] = list(map(get, w, none))
+                own: dict[bytes, int] = {}
+                for i in np.flatnonzero(x < 0):
+                    x[i] = known + own.setdefault(w[i], len(own))
+                codes.append(x.tobytes())
+                rare.append([r.decode() for r in own])
+            yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "learn": pdf["learn"], "codes": codes, "rare": rare})
+
+    own = documents(docs).select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), learned().alias("learn"), "text")
+    return own.mapInPandas(run, "rid long, doc_id long, no_id boolean, learn boolean, codes binary, rare array<string>")
+
+
+def _round(texts: DataFrame, units: object, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One round over texts: the next start, moves and emissions (unit, state), and the log10 likelihood of a token under those given."""
+    shared = texts.sparkSession.sparkContext.broadcast((start, move, emit))  # units x states numbers
+    n_units = len(emit)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, move, emit = shared.value
+        unit = units.value
+        sums, one, moves, of_text = np.zeros((n_units, STATES)), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((1, STATES))
+        for pdf, codes in _batches(it):
+            flat, lengths, rare = _with_rare(pdf, codes, len(unit))
+            own = np.concatenate([unit, np.array([n_units - CLASSES + class_of(w) for w in rare], np.int32)])
+            r = Recursion(start, move, emit, own[flat], lengths)
+            a, b, c = r.expected(n_units)
+            one += a
+            moves += b
+            sums += c
+            of_text[0, :2] += r.loglik.sum(), len(flat)
+        x = np.concatenate([sums, one[None], moves, of_text])
+        at = np.flatnonzero(x.any(1))
+        yield pd.DataFrame({"i": at} | {c: x[at, k] for k, c in enumerate(SUMS)})
+
+    kind = "i int, " + ", ".join(f"{x} double" for x in SUMS)
+    got = texts.select("codes", "rare").mapInPandas(run, kind).groupBy("i").agg(*(F.sum(x).alias(x) for x in SUMS)).toPandas()
+    x = np.zeros((n_units + STATES + 2, STATES))
+    x[got["i"]] = got[SUMS].to_numpy(float)
+    emit, start, move = x[:n_units] + SMOOTH, x[n_units] + SMOOTH, x[n_units + 1 : -1] + SMOOTH
+    return start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), float(x[-1, 0] / np.log(10) / max(x[-1, 1], 1))
 
 
 def _settled(loglik: list[float]) -> bool:
     return len(loglik) > 1 and abs(loglik[-1] - loglik[-2]) < SETTLED
 
 
+def _by_word(texts: DataFrame, head: list[bytes], units: object, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> DataFrame:
+    """word and how often each state emitted it, over the training texts."""
+    shared = texts.sparkSession.sparkContext.broadcast((start, move, emit, head))
+    n_units = len(emit)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, move, emit, head = shared.value
+        unit = units.value
+        own = emit[unit]
+        heads = np.zeros((len(head), STATES))
+
+        def rows(names: list[bytes], x: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"word": [n.decode() for n in names]} | {c: x[:, k] for k, c in enumerate(SUMS)})
+
+        for pdf, codes in _batches(it):
+            flat, lengths, rare = _with_rare(pdf, codes, len(head))
+            every = np.concatenate([own, emit[[n_units - CLASSES + class_of(w) for w in rare]]]) if rare else own
+            sums = Recursion(start, move, every, flat, lengths).expected(len(every))[2]
+            heads += sums[: len(head)]
+            if rare:
+                yield rows(rare, sums[len(head) :])
+        at = np.flatnonzero(heads.any(1))
+        if len(at):
+            yield rows([head[i] for i in at], heads[at])
+
+    kind = "word string, " + ", ".join(f"{x} double" for x in SUMS)
+    return texts.select("codes", "rare").mapInPandas(run, kind).groupBy("word").agg(*(F.sum(x).alias(x) for x in SUMS))
+
+
 def _joint(c: np.ndarray, sums: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Smoothed count of word and state; over the states it adds up to the word's count and 0.1."""
     return (c[:, None] + 0.1) / (sums.sum(1, keepdims=True) + KAPPA) * (sums + KAPPA * shares)
 
 
-def _shape(w: Words, table: DataFrame) -> None:
-    """Takes over a table of expected counts: shares of classes, norm and the head's rows."""
-    w.table = table
+def _shares(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of states in each class, and the norm of each state."""
     each = (F.col("c") + 0.1) / (sum(F.col(x) for x in SUMS) + F.lit(KAPPA))
     by = table.groupBy("cls").agg(F.sum(each).alias("b"), *(F.sum(each * F.col(x)).alias(f"a_{x}") for x in SUMS), *(F.sum(x).alias(x) for x in SUMS)).toPandas()  # CLASSES rows
     sums, a, b = np.zeros((CLASSES + 1, STATES)), np.zeros((CLASSES + 1, STATES)), np.zeros(CLASSES + 1)
     at = by["cls"].to_numpy(int)
     sums[at], a[at], b[at] = by[SUMS].to_numpy(float), by[[f"a_{x}" for x in SUMS]].to_numpy(float), by["b"].to_numpy(float)
     whole = (sums.sum(0) + SMOOTH) / (sums.sum() + SMOOTH * STATES)
-    w.of_class = (sums + SMOOTH * whole) / (sums.sum(1, keepdims=True) + SMOOTH)
+    of_class = (sums + SMOOTH * whole) / (sums.sum(1, keepdims=True) + SMOOTH)
     # every class may give one unknown word; the end token's may not
     unknown = np.r_[np.full(CLASSES, 0.1), 0.0]
-    w.norm = a.sum(0) + ((KAPPA * b + unknown)[:, None] * w.of_class).sum(0)
-    rows = table.where((F.col("c") >= w.fitted.least) | (F.col("word") == END)).toPandas()  # HEAD rows and the end token's
-    rows = rows.sort_values("word", key=lambda x: x != END, kind="stable")
-    if not len(rows) or rows["word"].iloc[0] != END:  # nothing was learned from
-        rows = pd.concat([pd.DataFrame({"word": [END], "c": [0], "cls": [CLASSES]} | {x: [0.0] for x in SUMS}), rows])
-    w.head = {x.encode(): i for i, x in enumerate(rows["word"])}
-    w.head_counts, w.head_sums = rows["c"].to_numpy(float), rows[SUMS].to_numpy(float)
-
-
-class _Numbers(dict):
-    """Number of each word: the head's, then others as they come."""
-
-    def __init__(self, head: dict[bytes, int]) -> None:
-        super().__init__(head)
-        self.known = len(head)
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = got = self.known + len(self.fresh)
-        self.fresh.append(word)
-        return got
-
-    def forget(self) -> None:
-        for word in self.fresh:
-            del self[word]
-        self.fresh = []
-
-
-class _Worker:
-    """The model as one task uses it."""
-
-    def __init__(self, shared: tuple) -> None:
-        self.start, self.move, self.of_class, self.norm, head, self.counts, self.sums = shared
-        self.numbers = _Numbers(head)
-        cls = np.array([zlib.crc32(x) % CLASSES if x else CLASSES for x in head])
-        self.head = _joint(self.counts, self.sums, self.of_class[cls]) / self.norm
-
-    def batches(self, it: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, Pass]]:
-        """Rows, word numbers, lengths, counts by number, recursion."""
-        for pdf, words in _batches(it):
-            self.numbers.forget()
-            lengths = np.array([len(x) + 1 for x in words])
-            flat = np.zeros(lengths.sum(), np.int64)  # the end token is number 0
-            at = 0
-            for x in words:
-                flat[at : at + len(x)] = list(map(self.numbers.__getitem__, x))
-                at += len(x) + 1
-            known, fresh = self.numbers.known, self.numbers.fresh
-            c, sums = np.zeros(len(fresh)), np.zeros((len(fresh), STATES))
-            for names, values in zip(pdf["names"], pdf["values"], strict=True):
-                if names is not None and len(names):
-                    where = [self.numbers[x.encode()] - known for x in names]
-                    got = np.asarray(values, float).reshape(-1, STATES + 1)
-                    c[where], sums[where] = got[:, 0], got[:, 1:]
-            cls = np.array([zlib.crc32(x) % CLASSES for x in fresh], np.int64)
-            emit = np.concatenate([self.head, _joint(c, sums, self.of_class[cls]) / self.norm])
-            yield pdf, flat, lengths, np.concatenate([self.counts, c]), Pass(Model(self.start, self.move, emit.T), flat, lengths)
-
-
-def _shared(w: Words) -> object:
-    return w.texts.sparkSession.sparkContext.broadcast((w.start, w.move, w.of_class, w.norm, w.head, w.head_counts, w.head_sums))
-
-
-def _with_rare(w: Words, which: Column) -> DataFrame:
-    """Texts of some rids with names and values (count, then sums) of their words outside the head that were learned."""
-    texts = w.texts.where(which)
-    found = w.rare.where(which).join(w.table, "word").select("rid", F.struct("word", F.array(F.col("c").cast("double"), *SUMS).alias("x")).alias("r"))
-    found = found.groupBy("rid").agg(F.collect_list("r").alias("r")).select("rid", F.col("r.word").alias("names"), F.flatten("r.x").alias("values"))
-    return texts.join(found, "rid", "left").select("rid", "doc_id", "text", "names", "values")
-
-
-def _words_round(w: Words, which: Column) -> float:
-    """Log10 likelihood of a token over the training texts chosen, from which w is learned anew."""
-    shared = _shared(w)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = _Worker(shared.value)
-        known = own.numbers.known
-        heads, start, move, of_text = np.zeros((known, STATES)), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((1, STATES))
-
-        def rows(names: list[bytes | None], i: np.ndarray | int, x: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"word": [n.decode() if n is not None else None for n in names], "i": i} | {c: x[:, k] for k, c in enumerate(SUMS)})
-
-        for _, flat, _, _, p in own.batches(it):
-            one, moves, emit = p.expected()
-            heads += emit[:, :known].T
-            start += one
-            move += moves
-            of_text[0, :2] += p.loglik.sum(), len(flat)
-            if own.numbers.fresh:
-                yield rows(own.numbers.fresh, -1, emit[:, known:].T)
-        at = np.flatnonzero(heads.sum(1))
-        names = list(own.numbers)[:known]
-        yield rows([names[i] for i in at], -1, heads[at])
-        last = np.concatenate([start[None], move, of_text])
-        yield rows([None] * len(last), np.arange(len(last)), last)
-
-    kind = "word string, i int, " + ", ".join(f"{x} double" for x in SUMS)
-    got = _with_rare(w, which).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    got = stored(got.mapInPandas(run, kind).groupBy("word", "i").agg(*(F.sum(x).alias(x) for x in SUMS)))
-    small = got.where("word IS NULL").orderBy("i").toPandas()  # a few rows
-    x = np.zeros((STATES + 2, STATES))
-    x[small["i"]] = small[SUMS].to_numpy(float)
-    start, move = x[0] + SMOOTH, x[1:-1] + SMOOTH
-    w.start, w.move = start / start.sum(), move / move.sum(1, keepdims=True)
-    new = w.fitted.counts.join(got.where("word IS NOT NULL").drop("i"), "word", "left").select("word", "c", "cls", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in SUMS))
-    _shape(w, stored(new))
-    return float(x[-1, 0] / np.log(10) / max(x[-1, 1], 1))
-
-
-def fit_words(docs: DataFrame, most: int = MOST_ROUNDS) -> Words:
-    fitted = fit(docs, rounds=0)
-    spark = docs.sparkSession
-    # states that last and classes dealt out far from evenly at random part sooner than nearly equal states
-    first = Model(fitted.model.start, np.where(np.eye(STATES) > 0, 0.97, 0.03 / (STATES - 1)), fitted.model.emit)
-    shares = (first.emit / first.emit.sum(0)).T ** 4
-    shares /= shares.sum(1, keepdims=True)
-    by_class = F.broadcast(spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(shares)], "cls int, " + ", ".join(f"{x} double" for x in SUMS)))  # CLASSES rows
-    table = fitted.counts.join(by_class, "cls").select("word", "c", "cls", *((F.col("c") * F.col(x)).alias(x) for x in SUMS))
-    texts = stored(documents(docs).withColumn("rid", F.monotonically_increasing_id()))
-    w = Words(first.start, first.move, table, shares, np.ones(STATES), {}, np.zeros(0), np.zeros((0, STATES)), fitted, texts, texts, [])
-    _shape(w, table)
-    shared = spark.sparkContext.broadcast(frozenset(w.head))
-
-    def others(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = shared.value
-        for pdf in it:
-            for rid, text in zip(pdf["rid"], pdf["text"], strict=True):
-                if names := set(tokens(text)) - head:
-                    yield pd.DataFrame({"rid": rid, "word": [x.decode() for x in names]})
+    return of_class, a.sum(0) + ((KAPPA * b + unknown)[:, None] * of_class).sum(0)
 
-    w.rare = stored(texts.select("rid", "text").mapInPandas(others, "rid long, word string"))
-    if fitted.tokens >= SAMPLE_TOKENS:
-        sampled: list[float] = []
-        while len(sampled) < most and not _settled(sampled):
-            sampled.append(_words_round(w, F.xxhash64("rid") % SAMPLE_EVERY == 0))
-    while len(w.loglik) < most and not _settled(w.loglik):
-        w.loglik.append(_words_round(w, F.lit(True)))
-    return w
 
-
-def score_words(w: Words) -> DataFrame:
-    """The columns of score, for every row fit_words was given."""
-    shared = _shared(w)
-    norm, total = w.fitted.norm, w.fitted.tokens
+def fit(docs: DataFrame, most: int = MOST_ROUNDS, seed: int = 11) -> Words:
+    spark = docs.sparkSession
+    counts = stored(word_counts(docs))
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
+    frequent = counts.where((F.col("c") >= _least(counts)) & (F.col("word") != END))
+    rows = frequent.select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])  # HEAD rows
+    head = [b"", *map(str.encode, rows["word"])]
+    head_counts = np.r_[float(total["ends"]), rows["c"].to_numpy(float)]
+    texts = stored(_encoded(docs, head))
+    # the units of the rounds: the end token, the most frequent words, classes of all others
+    n_own = min(OWN + 1, len(head))
+    n_units = n_own + CLASSES
+    unit = np.arange(len(head), dtype=np.int32)
+    unit[n_own:] = [n_own + class_of(w) for w in head[n_own:]]
+    units = spark.sparkContext.broadcast(unit)
+    by_class = counts.where((F.col("word") != END)).groupBy("cls").agg(F.sum("c").alias("n")).toPandas()  # CLASSES rows
+    n = np.zeros(n_units)
+    n[n_own + by_class["cls"].to_numpy(int)] = by_class["n"]
+    n[:n_own] = head_counts[:n_own]
+    np.subtract.at(n, [n_own + class_of(w) for w in head[1:n_own]], head_counts[1:n_own])
+    # states that last and units dealt out far from evenly at random part sooner than nearly equal states
+    rng = np.random.default_rng(seed)
+    start = np.full(STATES, 1 / STATES)
+    move = np.where(np.eye(STATES) > 0, 0.97, 0.03 / (STATES - 1))
+    emit = np.exp(rng.normal(0, 2, (n_units, STATES)))
+    emit = emit / emit.sum(1, keepdims=True) * (n + SMOOTH)[:, None]
+    emit /= emit.sum(0)
+    train = texts.where("learn")
+    parts = texts.rdd.getNumPartitions()
+    sample = stored(train.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE_EVERY)) == 0).select("codes", "rare").coalesce(max(1, parts // SAMPLE_EVERY)))
+    sampled: list[float] = []
+    while len(sampled) < most and not _settled(sampled):
+        start, move, emit, was = _round(sample, units, start, move, emit)
+        sampled.append(was)
+    discard(sample)
+    loglik: list[float] = []
+    while len(loglik) < most and not _settled(loglik):
+        start, move, emit, was = _round(train, units, start, move, emit)
+        loglik.append(was)
+    sums = _by_word(train, head, units, start, move, emit)
+    table = stored(counts.join(sums, "word", "left").select("word", "c", "cls", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in SUMS)))
+    discard(counts)
+    of_class, norm = _shares(table)
+    own = table.where((F.col("c") >= (int(head_counts[1:].min()) if len(head) > 1 else 1 << 62)) | (F.col("word") == END)).toPandas()  # HEAD rows and the end token's
+    head_sums = np.zeros((len(head), STATES))
+    place = {w: i for i, w in enumerate(head)}
+    head_sums[[place[w.encode()] for w in own["word"]]] = own[SUMS].to_numpy(float)
+    return Words(start, move, table, of_class, norm, head, head_counts, head_sums, int(total["n"]), int(total["v"]), texts, loglik)
+
+
+def score(w: Words) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row that fit was given."""
+    emit = _joint(w.counts, w.sums, w.of_class[[class_of(x) for x in w.head]]) / w.norm
+    shared = w.texts.sparkSession.sparkContext.broadcast((w.start, w.move, w.of_class, w.norm, w.counts, emit))  # HEAD x STATES numbers
+    norm = float(np.log10(w.tokens + 0.1 * (w.distinct + 1)))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, flat, lengths, counts, p in _Worker(shared.value).batches(it):
+        start, move, of_class, state_norm, counts, emit = shared.value
+        for pdf, codes in _batches(it):
+            flat, lengths, rare = _with_rare(pdf, codes, len(emit))
+            c, sums, at = np.zeros(len(rare)), np.zeros((len(rare), STATES)), 0
+            for names, found in zip(pdf["rare"], pdf["found"], strict=True):
+                if found is not None and len(found):
+                    x = np.asarray(found, float).reshape(-1, STATES + 2)
+                    where = at + x[:, 0].astype(int)
+                    c[where], sums[where] = x[:, 1], x[:, 2:]
+                at += len(names)
+            every, n = emit, counts
+            if rare:
+                every = np.concatenate([emit, _joint(c, sums, of_class[[class_of(x) for x in rare]]) / state_norm])
+                n = np.concatenate([counts, c])
+            r = Recursion(start, move, every, flat, lengths)
             first = np.cumsum(lengths) - lengths
-            base = np.add.reduceat(np.log10(counts + 0.1)[flat], first) - lengths * norm
-            known = np.add.reduceat((counts > 0)[flat].astype(np.int64), first)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_tokens": lengths, "n_known": known, "base_score": base, "score": p.loglik / np.log(10)})
-
-    out = _with_rare(w, F.lit(True)).mapInPandas(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+            base = np.add.reduceat(np.log10(n + 0.1)[flat], first) - lengths * norm
+            known = np.add.reduceat((n > 0)[flat].astype(np.int64), first)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "no_id": pdf["no_id"].to_numpy(), "n_tokens": lengths, "n_known": known, "base_score": base, "score": r.loglik / np.log(10)})
+
+    each = w.texts.where(F.size("rare") > 0).select("rid", F.posexplode("rare").alias("k", "word"))
+    found = each.join(w.table, "word").select("rid", F.array(F.col("k").cast("double"), F.col("c").cast("double"), *SUMS).alias("x"))
+    found = found.groupBy("rid").agg(F.flatten(F.collect_list("x")).alias("found"))
+    out = w.texts.drop("learn").join(found, "rid", "left").select("doc_id", "no_id", "codes", "rare", "found").mapInPandas(run, "doc_id long, no_id boolean, n_tokens long, n_known long, base_score double, score double")
+    out = out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(w.tokens).cast("long").alias("train_tokens"), "base_score", "score")

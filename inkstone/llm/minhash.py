@@ -4,10 +4,10 @@ Words have ASCII letters in lower case; a document's set is its distinct shingle
 there are fewer; nothing without words). Two documents are linked if the Jaccard similarity of their sets is at least 0.75,
 and documents joined by links form a group, of which the smallest doc_id stays.
 
-1. Documents with the same set (a 128-bit digest) are one class; from here on there is a row for each class only.
+1. Documents with the same set (a 128-bit digest) are one class; from here on there is a row, with a number, for each class only.
 2. A signature of BANDS x ROWS minima is cut into bands; classes that agree in a band are in one bucket. Two sets at the
    threshold miss each other in all bands with a chance of (1 - 0.75^ROWS)^BANDS, 5 in a million, and less above it.
-3. In each bucket, members are compared with a pivot, its smallest member; a member looks at one of its buckets' pivots,
+3. In each bucket, members are compared with a pivot, the one with the least number; a member looks at one of its buckets' pivots,
    then at four, then at all, but never at one that is in its group by then. A bucket of n near copies costs about n
    comparisons and not n squared. What is left are members outside the largest group of their bucket; each is compared with
    all of the bucket that are not in its group, so every pair that could join two groups is looked at. In buckets of up to
@@ -21,9 +21,9 @@ and documents joined by links form a group, of which the smallest doc_id stays.
 5. Groups are the connected components of confirmed links.
 
 Texts that are null or empty have the empty set, are linked with nothing and stay. Rows with a null id are linked with
-nothing and stay, with a null component. Rows that repeat a doc_id count as one document in links (its smallest text stands
-for it) and each give a row. Ties: the smallest doc_id. Extra columns are not looked at. Very long texts need memory in
-proportion to their own length.
+nothing and stay, with a null component. Rows that repeat a doc_id each give a row; those with different texts are documents
+of their own, which share no more than the id, and `version` tells them apart. Ties: the smallest doc_id. Extra columns are
+not looked at. An empty table gives none. Very long texts need memory in proportion to their own length.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import by_python, discard, documents, stored, version
 from .components import components
 
 SHINGLE = 5
@@ -55,7 +55,7 @@ DEAL = 256
 PAIRWISE = 32
 #: Shingles and minima of outside members that a task holds while a bucket streams by, and members that stream by in one task.
 BLOCK, SHARE = 1 << 17, 1024
-MAX_KEPT = 500_000
+MAX_KEPT = 250_000
 _MASK = (1 << 64) - 1
 
 
@@ -111,22 +111,24 @@ def sketch(sig: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (null without shingles), sig, sketch."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for pdf in it:
-            n, digest, sig, short = [], [], [], []
-            for text in pdf["text"]:
-                s = shingle_set(text, words)
-                n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                least = signature(s) if len(s) else None
-                sig.append(None if least is None else least.tobytes())
-                short.append(None if least is None else sketch(least))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "digest": digest, "sig": sig, "sketch": short})
-
-    return documents(docs).mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary, sketch array<long>")
+    """doc_id, version, n_shingles, digest (null without shingles), sig, sketch. docs: doc_id, version, text."""
+    kept: list[Words] = []
+
+    def run(pdf: pd.DataFrame) -> Iterator[dict]:
+        if not kept:  # once a task
+            kept.append(Words())
+        out: dict[str, list] = {c: [] for c in ("version", "n_shingles", "digest", "sig", "sketch")}
+        out["version"] = pdf["version"].tolist()
+        for text in pdf["text"]:
+            s = shingle_set(text, kept[0])
+            least = signature(s) if len(s) else None
+            out["n_shingles"].append(len(s))
+            out["digest"].append(None if least is None else xxhash.xxh3_128_digest(s.tobytes()))
+            out["sig"].append(None if least is None else least.tobytes())
+            out["sketch"].append(None if least is None else sketch(least))
+        yield out
+
+    return by_python(docs, run, "version long, n_shingles long, digest binary, sig binary, sketch array<long>")
 
 
 @lru_cache(maxsize=1)
@@ -175,9 +177,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     many partners is dealt out in parts."""
     parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / DEAL).cast("long").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets, F.col("a") == F.col("rep")).select("a", "part", F.lit(None).cast("long").alias("b"), "sig", "text")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets, F.col("a") == F.col("rep")).select("a", "part", F.lit(-1).cast("long").alias("b"), "sig", "text")
     tails = dealt.join(sets, F.col("b") == F.col("rep")).select("a", "part", "b", "sig", "text")
-    rows = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    # numbers of classes are not negative, so the head comes first
+    rows = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", "b")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -187,7 +190,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             u, v = [], []
             for a, b, s, t in zip(pdf["a"], pdf["b"], pdf["sig"], pdf["text"], strict=True):
                 got = np.frombuffer(s, np.uint32)
-                if b != b or b is None:
+                if b < 0:
                     sig, text, whole = got, t, None
                 elif may_reach(sig, got):
                     if whole is None:
@@ -259,19 +262,20 @@ def confirmed_in_blocks(inside: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    df = documents(docs)
+    """doc_id, n_shingles, component_id, kept, version (of the text) for every row."""
+    df = documents(docs).withColumn("version", version(F.col("text")))
     f = stored(features(df))
-    # of each class the smallest id stands for it
-    classes = f.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes)
-    reps = classes.join(f.select("doc_id", "digest", "n_shingles", "sig", "sketch"), (F.col("rep") == F.col("doc_id")) & (classes["digest"] == f["digest"])).select("rep", "n_shingles", "sig", "sketch").dropDuplicates(["rep"])
-    keys = reps.select("rep", F.posexplode(F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)))).alias("band", "key"))
+    # a class goes by a number of its own, as ids may repeat; of its documents the one with the smallest id stands for it
+    first = F.min(F.struct("doc_id", "version")).alias("first")
+    classes = f.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("first.doc_id").alias("least"), "first.version", "n_shingles", "sig", "sketch"))
+    keys = classes.select("rep", F.posexplode(F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)))).alias("band", "key"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stored(keys.join(pivots, "key"))
     members = buckets.select("rep").distinct()
-    sets = stored(df.where("doc_id IS NOT NULL").join(members, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")).join(f.where("sig IS NOT NULL").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"]), "rep"))
-    short = stored(reps.join(members, "rep", "left_semi").select("rep", "n_shingles", "sketch"))
+    chosen = classes.join(members, "rep", "left_semi").select(F.col("least").alias("doc_id"), "version", "rep", "sig")
+    sets = stored(df.where("doc_id IS NOT NULL").join(chosen, ["doc_id", "version"]).groupBy("rep").agg(F.min("text").alias("text"), F.min("sig").alias("sig")))
+    short = stored(classes.join(members, "rep", "left_semi").select("rep", "n_shingles", "sketch"))
     labels = stored(members.select(F.col("rep").alias("v"), F.col("rep").alias("root")))
     tried = None
 
@@ -292,7 +296,7 @@ def groups(docs: DataFrame) -> DataFrame:
         """Confirms pairs and lets their links join groups: components of what is still apart are few and small."""
         nonlocal tried
         now = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        tried = now if tried is None else stored(tried.unionByName(now))
+        tried = now if tried is None else tried.unionByName(now)
         merge(label(label(confirmed(pairs, sets), "u", "ru"), "v", "rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
 
     def merge(links: DataFrame) -> None:
@@ -301,7 +305,8 @@ def groups(docs: DataFrame) -> DataFrame:
         links = stored(links.where("u <> v").distinct())
         if not links.isEmpty():
             joined = components(links).select(F.col("v").alias("root"), F.col("root").alias("to"))
-            labels = stored(labels.join(joined, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+            labels, old = stored(labels.join(joined, "root", "left").select("v", F.coalesce("to", "root").alias("root"))), labels
+            discard(old)
 
     # every member with its buckets' first pivots: one of them, then four, then all; those already in its group are passed over
     firsts = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
@@ -315,7 +320,7 @@ def groups(docs: DataFrame) -> DataFrame:
     # members outside the largest group of their bucket with all others; the pivot was looked at by all
     left = label(buckets.where("n > 2 AND rep <> pivot"), "rep", "own")
     main = left.groupBy("key", "own").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("own", F.struct("size", "own")).alias("main"), F.count(F.lit(1)).alias("several"))
-    left = left.join(main.where("several > 1").drop("several"), "key")
+    left = stored(left.join(main.where("several > 1").drop("several"), "key"))
     inside = left.where(F.col("n") > PAIRWISE).join(short.select("rep", "n_shingles"), "rep").select("key", "band", "rep", "own", (F.col("own") != F.col("main")).alias("outside"), "n_shingles")
     merge(confirmed_in_blocks(stored(inside), sets))
     left = stored(label(left.where(F.col("n") <= PAIRWISE).drop("own"), "rep", "own").select("key", "rep", "own", "main"))
@@ -326,9 +331,13 @@ def groups(docs: DataFrame) -> DataFrame:
     fresh = stored(untried(again))
     if not fresh.isEmpty():
         compare(fresh)
-    rows = f.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left")
+    # a class's component, by the smallest id of all classes it is joined with
+    of_class = classes.select("rep", "digest", "least").join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left").select("digest", "least", F.coalesce("root", "rep").alias("root"))
+    least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = of_class.join(least, "root").select("digest", "component_id")
+    rows = f.where("digest IS NOT NULL").select("doc_id", "version", "n_shingles", "digest").join(of_class, "digest", "left").drop("digest")
     # rows without a set have no key to be joined by
-    rows = rows.select("doc_id", "n_shingles", "rep", "root").unionByName(f.where("digest IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("root")))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "rep", "doc_id"))
+    rows = rows.unionByName(f.where("digest IS NULL").select("doc_id", "version", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     rows = rows.withColumn("component_id", component)
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "version")

@@ -19,7 +19,7 @@ import ahocorasick
 
 SPACE = "▁"
 #: Stretches whose tables one worker keeps; beyond that all are dropped and built anew.
-MAX_KEPT = 600_000
+MAX_KEPT = 300_000
 #: Longer stretches are not kept.
 MAX_KEPT_CHARS = 40
 

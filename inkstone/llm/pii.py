@@ -8,8 +8,13 @@ GENERALISE are replaced by their kind, in the documents that hold the entity; th
 often both stand together must be more than chance explains: its tail bound, times the number of terms compared with the
 entity, must be at most CHANCE. This judges an entity on one line as well as a frequent one.
 
+Equal lines (and equal texts) count once. No line travels for that: a line found n times counts 1/n each time, and n is a
+count over 64-bit hashes, kept for lines found more than once only. Counts of terms are then added up before they are sent.
+
 Places are code points, ends exclusive. Nulls count as empty texts, which have no spans. Repeated rows each give a row,
-and their lines count once; rows with a null id are treated as any other. Extra columns are not looked at.
+rows with a null id are treated as any other, an empty table gives none. Terms with equal shares are all kept; of spans that
+begin at one place `sanitise` takes the longest, then the first kind by name. Columns to keep travel inside one struct, so
+their names clash with nothing; other columns are not looked at. Very long texts are read whole.
 
 The patterns are written so that a match begins at the leftmost place and no engine backtracks: a run that fails is not
 tried again from its middle. Long runs without a match therefore cost time in proportion to their length.
@@ -34,7 +39,7 @@ GENERALISE, REMOVE = 0.8, 0.95
 CHANCE = 0.05
 #: Occurrences of a term as if without the entity more than with it, against which its share is smoothed.
 SMOOTH = 0.5
-#: Candidate terms that are broadcast at most; more are joined by a shuffle.
+#: Candidate terms, or repeated lines, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
@@ -109,12 +114,14 @@ def _beyond_chance(cet: Column, ct: Column, ce: Column, n: Column, compared: Col
     return (cet > mean) & (bound + F.log(compared) <= F.log(F.lit(CHANCE)))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if is_small(df, BROADCAST_ROWS) else df
+
+
 def _disclosed(held: DataFrame, units: DataFrame) -> DataFrame:
     """entity, term, share over units (lines or texts). held: h, u, entities of the distinct units that hold any; units: u of all, with repeats."""
-    n = units.agg(F.approx_count_distinct("u", 0.01).alias("n")).first()["n"]
-    if not n:
-        n = 1
-    total = F.lit(float(n))
+    again = stored(units.groupBy(F.xxhash64("u").alias("h")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    total = F.lit(float(max(1, units.count() - (again.agg(F.sum(F.col("times") - 1).alias("n")).first()["n"] or 0))))
     own = held.select("h", "entities", F.explode(_terms(F.col("u"))).alias("term"))
     # on how many units with any entity a term stands is at most on how many units it stands at all
     seen = own.groupBy("term").agg(F.count(F.lit(1)).alias("least"))
@@ -123,11 +130,15 @@ def _disclosed(held: DataFrame, units: DataFrame) -> DataFrame:
     pairs = pairs.join(n_entity, "entity").join(seen, "term")
     possible = (_share(F.col("cet"), F.col("least"), F.col("ce"), total) >= GENERALISE) & _beyond_chance(F.col("cet"), F.col("least"), F.col("ce"), total, F.col("compared"))
     pairs = stored(pairs.where(possible).drop("least"))
-    wanted = pairs.select("term").distinct()
-    if is_small(wanted, BROADCAST_ROWS):
-        wanted = F.broadcast(wanted)
-    words_of = units.select(F.xxhash64("u").alias("h"), F.explode(F.array_distinct(words(F.col("u")))).alias("term"))
-    n_term = words_of.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
+    wanted = _small(pairs.select("term").distinct())
+
+    def counted(df: DataFrame, weight: Column) -> DataFrame:
+        words_of = df.select(weight.alias("w"), F.explode(F.array_distinct(words(F.col("u")))).alias("term"))
+        return words_of.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("w").alias("w"))
+
+    # all occurrences, less what repeats of a unit have too much
+    repeats = units.withColumn("h", F.xxhash64("u")).join(_small(again), "h")
+    n_term = counted(units, F.lit(1.0)).unionByName(counted(repeats, 1 / F.col("times") - 1)).groupBy("term").agg(F.round(F.sum("w")).alias("ct"))
     told = _beyond_chance(F.col("cet"), F.col("ct"), F.col("ce"), total, F.col("compared"))
     return pairs.join(n_term, "term").where(told).select("entity", "term", _share(F.col("cet"), F.col("ct"), F.col("ce"), total).alias("share")).where(F.col("share") >= GENERALISE)
 
@@ -145,35 +156,34 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns to keep), text, n_email, n_ip, n_card, n_phone, base and spans: arrays of kind, s, e in the order of kinds, then places.
+    """doc_id (or a struct `own` of the columns to keep), text, n_email, n_ip, n_card, n_phone, base and spans: arrays of kind, s, e
+    in the order of kinds, then places.
 
     kind is one of KINDS, or `remove` or `generalise` for terms that disclose an entity of the document."""
-    own = keep if keep is not None else ["doc_id"]
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # columns to keep travel as one, so their names cannot clash
-    df = docs.select(F.struct(*(F.col("doc_id").cast("long").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in own)).alias("_own"), whole.alias("text"))
-    df = df.select("_own", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
+    own = F.col("doc_id").cast("long").alias("doc_id") if keep is None else F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in keep)).alias("own")
+    first = "doc_id" if keep is None else "own"
+    df = docs.select(own, whole.alias("text"))
+    df = df.select(first, "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
     df = df.withColumn("entities", _entities({k: F.col(k) for k in KINDS}))
     # written, since both the size check and the result need them
     held = stored(df.where(F.size("entities") > 0).select("text", "entities"))
     shown = stored(disclosures(docs, held))
     per_doc = held.select(F.col("text").alias("t"), F.explode("entities").alias("entity")).select(F.sha2("t", 256).alias("th"), "entity").distinct()
     per_doc = per_doc.join(shown, "entity").groupBy("th", "term").agg(F.max("share").alias("share"))
-    per_doc = per_doc.groupBy("th").agg(F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"), F.collect_list(F.when(F.col("share") < REMOVE, F.col("term"))).alias("vague"))
-    if is_small(per_doc, BROADCAST_ROWS):
-        per_doc = F.broadcast(per_doc)
+    per_doc = stored(per_doc.groupBy("th").agg(F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"), F.collect_list(F.when(F.col("share") < REMOVE, F.col("term"))).alias("vague")))
     # only texts with an entity can have such terms; the others get keys of their own, which match nothing and spread
     df = df.withColumn("th", F.when(F.size("entities") > 0, F.sha2("text", 256)).otherwise(F.xxhash64("text").cast("string")))
-    df = df.join(per_doc, "th", "left")
+    df = df.join(_small(per_doc), "th", "left")
 
     def term_places(terms: Column) -> Column:
-        either = F.array_join(F.transform(F.array_sort(terms), lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))), "|")
-        return F.when(F.size(F.coalesce(terms, F.array().cast("array<string>"))) > 0, places(F.col("text"), F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), either, F.lit(r")(?![^\x20\x09-\x0D])")))).otherwise(F.array().cast(SPAN))
+        plain = F.transform(F.array_sort(terms), lambda x: F.regexp_replace(x, r"([^\p{L}\p{N}])", r"\\$1"))
+        return F.when(F.size(F.coalesce(terms, F.array().cast("array<string>"))) > 0, places(F.col("text"), F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(plain, "|"), F.lit(r")(?![^\x20\x09-\x0D])")))).otherwise(F.array().cast(SPAN))
 
     named = lambda k, c: F.transform(c, lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     df = df.withColumn("base", F.concat(*(named(k, F.col(k)) for k in KINDS)))
     df = df.withColumn("spans", F.concat("base", named("remove", term_places(F.col("gone"))), named("generalise", term_places(F.col("vague")))))
-    return df.select("_own.*", "text", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), "base", "spans")
+    return df.select(first, "text", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), "base", "spans")
 
 
 def as_text(spans: Column) -> Column:

@@ -35,7 +35,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.groups(table(spark, sf_dir, "documents"))
+    return minhash.groups(table(spark, sf_dir, "documents")).drop("version")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("version")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.score_words(hmm.fit_words(table(spark, sf_dir, "documents")))
+    return hmm.score(hmm.fit(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:

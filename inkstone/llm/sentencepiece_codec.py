@@ -4,7 +4,8 @@
 shuffle, no state beyond a bounded table of stretches in each worker, so a lost task is simply run again.
 
 Nulls count as the empty text, which has no ids and decodes to the empty text. Extra columns are not looked at.
-Repeated rows each give a row. Very long texts need memory in proportion to their own length only.
+Repeated rows each give a row, rows with a null id too; an empty table gives none. Very long texts need memory in
+proportion to their own length only.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import by_python, documents
 from .pieces import Kept, load
 
+#: Characters of texts whose results are handed on together.
+PART = 4_000_000
+
 
 @lru_cache(maxsize=2)
 def _kept(path: str) -> tuple[Kept, Kept]:
@@ -29,30 +34,33 @@ def _kept(path: str) -> tuple[Kept, Kept]:
 
 
 def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, ids (array of int, if asked for), n_tokens, ids_sha256, decoded_sha256, decoded."""
-    kind = "doc_id long, " + ("ids array<int>, decoded string, " if with_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    """doc_id, ids (array of int) and decoded (both if asked for), n_tokens, ids_sha256, decoded_sha256."""
+    names = (["ids", "decoded"] if with_ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kind = ("ids array<int>, decoded string, " if with_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> Iterator[dict]:
         model = load(model_path)
         ids_of, bytes_of = _kept(model_path)
         id_text, raw_bytes = ids_of.__getitem__, bytes_of.__getitem__
-        for pdf in batches:
-            out: dict[str, list] = {"doc_id": pdf["doc_id"], "ids": [], "decoded": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for text in pdf["text"]:
-                stretches = model.stretches(text)
-                ids = ",".join(map(id_text, stretches))
-                raw = b"".join(map(raw_bytes, stretches))
-                decoded = model.text_of(raw)
-                out["n_tokens"].append(ids.count(",") + bool(ids))
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    out["ids"].append([int(x) for x in ids.split(",")] if ids else [])
-                    out["decoded"].append(decoded)
-                ids_of.trim()
-                bytes_of.trim()
-            if not with_ids:
-                del out["ids"], out["decoded"]
-            yield pd.DataFrame(out)
-
-    return documents(docs).mapInPandas(run, kind)
+        out: dict[str, list] = {c: [] for c in names}
+        size = 0
+        for text in pdf["text"]:
+            stretches = model.stretches(text)
+            ids = ",".join(map(id_text, stretches))
+            decoded = model.text_of(b"".join(map(raw_bytes, stretches)))
+            out["n_tokens"].append(ids.count(",") + bool(ids))
+            out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+            if with_ids:
+                out["ids"].append(np.array(ids.split(",") if ids else [], np.int32))
+                out["decoded"].append(decoded)
+            ids_of.trim()
+            bytes_of.trim()
+            size += len(text)
+            if size >= PART:
+                yield out
+                out, size = {c: [] for c in names}, 0
+        if out["n_tokens"]:
+            yield out
+
+    return by_python(documents(docs), run, kind)

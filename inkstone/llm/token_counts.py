@@ -1,16 +1,20 @@
 """Token counts at every prefix (operator 5).
 
 `PrefixCounts` holds, for one text, the exact number of tokens of each prefix: one running total for each stretch that
-no token crosses, and inside a stretch the counts of its own prefix table. So truncation and budget questions need no
-second encoding. `count` is the narrow pass over a table; it needs no shuffle.
-
-Nulls count as the empty text, which has no tokens. Repeated rows each give a row; extra columns are not looked at.
+no token crosses, and inside a stretch its own prefix table (see `pieces`), filled from left to right: the number of a
+prefix is one more than that of the prefix before its last token. Ids are never recovered: the total is the last entry of
+the table, and truncation and budget questions are answered from it without a second encoding. `count` is the narrow pass
+over a table; it needs no shuffle.
+
+Nulls count as the empty text, which has no tokens. Repeated rows each give a row, rows with a null id too; an empty table
+gives none; extra columns are not looked at. Very long texts need memory in proportion to their own length. Of prefixes with
+equally many tokens the longest counts for a budget.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
@@ -18,74 +22,77 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import by_python, documents
 from .pieces import Kept, PieceModel, load
 
+Table = Sequence[int]
+
+
+def table(model: PieceModel, stretch: str) -> Table:
+    """Tokens of every prefix of the stretch, the empty one first; as bytes if they are small."""
+    counts = model.table(stretch)[1]
+    return bytes(counts) if max(counts) < 256 else counts
+
 
 class PrefixCounts:
     """Number of tokens of every prefix of a text. Prefixes are counted in code points."""
 
-    def __init__(self, model: PieceModel, text: str, totals: Mapping[str, int] | None = None) -> None:
-        """totals: tokens of whole stretches, if kept elsewhere."""
-        self.text, self.model = text, model
-        total = self._last if totals is None else totals.__getitem__
-        self.parts = model.stretches(text)
-        #: Code points (of the text with its dummy space) and tokens up to each stretch.
-        self.starts = [0, *accumulate(map(len, self.parts))]
-        self.totals = [0, *accumulate(map(total, self.parts))]
+    def __init__(self, model: PieceModel, text: str, tables: Mapping[str, Table] | None = None) -> None:
+        """tables: prefix tables of stretches, if kept elsewhere."""
+        self.text = text
+        parts = model.stretches(text)
+        own = (lambda x: table(model, x)) if tables is None else tables.__getitem__
+        #: Prefix table of each stretch, and the tokens up to it.
+        self.inside = list(map(own, parts))
+        self.totals = [0, *accumulate([x[-1] for x in self.inside])]
 
-    def _last(self, stretch: str) -> int:
-        return len(self.model.tokens(stretch)[0])
+    def _starts(self) -> list[int]:
+        """Code points (of the text with its dummy space) up to each stretch."""
+        return [0, *accumulate([len(x) - 1 for x in self.inside])]
 
     def at(self, n_chars: int) -> int:
         """Tokens of the first n_chars code points, as encoding just them would give."""
-        if n_chars <= 0 or not self.parts:
+        if n_chars <= 0 or not self.inside:
             return 0
-        x = min(n_chars, len(self.text)) + 1
-        k = bisect_right(self.starts, x) - 1
-        if k == len(self.parts):
-            return self.totals[k]
-        return self.totals[k] + self.model.tokens(self.parts[k])[1][x - self.starts[k]]
+        x, starts = min(n_chars, len(self.text)) + 1, self._starts()
+        k = bisect_right(starts, x) - 1
+        return self.totals[k] + (self.inside[k][x - starts[k]] if k < len(self.inside) else 0)
 
     def total(self) -> int:
         return self.totals[-1]
 
     def fit(self, budget: int) -> int:
         """The longest prefix, in code points, of which neither it nor a shorter one has more tokens than the budget."""
-        k = 0
-        while k < len(self.parts) and self.totals[k + 1] <= budget and max(self.model.tokens(self.parts[k])[1]) + self.totals[k] <= budget:
-            k += 1
-        if k == len(self.parts):
+        if budget >= 4 * len(self.text) + 1:  # a code point is four tokens at most
             return len(self.text)
-        inside = self.model.tokens(self.parts[k])[1]
-        j = 0
-        while j + 1 < len(inside) and self.totals[k] + inside[j + 1] <= budget:
-            j += 1
-        return max(0, self.starts[k] + j - 1)
+        k, length = 0, 0
+        for k, counts in enumerate(self.inside):
+            left = budget - self.totals[k]
+            if max(counts) > left:
+                return max(0, length + next(j for j, c in enumerate(counts) if c > left) - 2)
+            length += len(counts) - 1
+        return len(self.text)
 
 
 @lru_cache(maxsize=2)
-def _totals(path: str) -> Kept:
+def _tables(path: str) -> Kept:
     model = load(path)
-    return Kept(lambda stretch: len(model.tokens(stretch)[0]))
-
-
-def count(docs: DataFrame, model_path: str, limit: int = 4096, budget: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit; with a budget also fit_chars, the length of the longest prefix within it."""
-    kind = "doc_id long, n_bytes long, n_tokens long" + (", fit_chars long" if budget is not None else "")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, totals = load(model_path), _totals(model_path)
-        for pdf in batches:
-            out: dict[str, list] = {"doc_id": pdf["doc_id"], "n_bytes": [len(t.encode()) for t in pdf["text"]], "n_tokens": []}
-            if budget is not None:
-                out["fit_chars"] = []
-            for text in pdf["text"]:
-                counts = PrefixCounts(model, text, totals)
-                out["n_tokens"].append(counts.total())
-                if budget is not None:
-                    out["fit_chars"].append(counts.fit(budget))
-                totals.trim()
-            yield pd.DataFrame(out)
-
-    return documents(docs).mapInPandas(run, kind).withColumn("over_limit", F.col("n_tokens") > limit)
+    return Kept(lambda stretch: table(model, stretch))
+
+
+def count(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars: the length of the longest prefix within the limit."""
+
+    def run(pdf: pd.DataFrame) -> Iterator[dict]:
+        model, tables = load(model_path), _tables(model_path)
+        n_bytes, n_tokens, fit_chars = [], [], []
+        for text in pdf["text"]:
+            counts = PrefixCounts(model, text, tables)
+            n_bytes.append(len(text.encode()))
+            n_tokens.append(counts.total())
+            fit_chars.append(counts.fit(limit))
+            tables.trim()
+        yield {"n_bytes": n_bytes, "n_tokens": n_tokens, "fit_chars": fit_chars}
+
+    out = by_python(documents(docs), run, "n_bytes long, n_tokens long, fit_chars long")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")

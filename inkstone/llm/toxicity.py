@@ -2,21 +2,25 @@
 
 A word's vector is the mean of the vectors of its character n-grams (with border marks, hashed into a fixed number of
 buckets), a text's vector is the mean over its words, and a softmax on top gives the score. Vectors and softmax are
-trained together in numpy, on the driver, from a bounded sample of labelled rows; unseen spellings share n-grams with
-seen ones. As everything below the softmax is a mean, a trained model gives each n-gram one number, and scoring is a
-narrow pass that adds up numbers kept for each distinct word.
-
-Null and empty texts have no words and get the score of the bias alone. Labels and documents whose id is null are not
-learned from; rows with a null id are scored as any other. Repeated rows each give a row. Of several labels for one
-doc_id the largest counts. Extra columns are not looked at. If no labelled row is there, or only one class, the score
-is the share of label 1 (0 without any).
+trained together in numpy, in one task, from a bounded sample of labelled rows (TRAIN_ROWS); texts go through it one by
+one and only their bags stay, and the driver gets the weights alone. Unseen spellings share n-grams with seen ones. Words
+that occur in fewer than LEAST_TEXTS of the sampled texts are left out of training, if any others are there. As everything below the
+softmax is a mean, a trained model gives each n-gram one number, and scoring is a narrow pass that adds up numbers kept
+for each distinct word.
+
+Null and empty texts have no words and get the score of the bias alone. Very long texts are read whole and need memory in
+proportion to their own length. Labels and documents whose id is null are not learned from; rows with a null id are scored
+as any other. Repeated rows each give a row; labelled ones are each learned from, in the order of id and text. Of several
+labels for one doc_id the largest counts. Scores equal to the threshold count as toxic. Extra columns are not looked at. If
+no labelled row is there, or only one class, the score is the share of label 1 (0 without any); an empty table gives none.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import by_python, documents, version
 
 #: The most labelled texts that are learned from, about: labels are taken by a hash of their id. All are taken if there are no more.
 TRAIN_ROWS = 4000
@@ -40,8 +44,11 @@ DECAY = 3e-6
 #: (or number of times) beyond which the same word counts no more.
 PAD = 20
 MOST_SHARE, MOST_TIMES = 0.02, 3
+#: Sampled texts that a word must occur in to be trained on.
+LEAST_TEXTS = 3
+NOTHING = 10
 #: Words whose number is kept by a worker at a time.
-MAX_KEPT = 500_000
+MAX_KEPT = 250_000
 
 
 def grams(word: bytes) -> list[int]:
@@ -107,22 +114,42 @@ class _Sparse:
         return self._times(self.b, x, self.shape[1])
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """Vectors of n-grams and softmax, fitted together by full-batch Adam."""
-    y = np.asarray(labels).astype(int)
+def _cells(rows: Iterable[tuple[str, int]]) -> tuple[dict[bytes, int], _Sparse, np.ndarray]:
+    """Words by number, weights of texts and words, labels. Texts are dropped one by one, their bags kept as plain numbers.
+
+    For each NOTHING texts an empty one with label 0 is added: a text that says nothing is not toxic."""
+    numbers: dict[bytes, int] = {}
+    words, weights, sizes, labels = array("i"), array("f"), array("i"), array("b")
+    for text, label in rows:
+        own = bag(text)
+        words.extend([numbers.setdefault(w, len(numbers)) for w, _ in own])
+        weights.extend([x for _, x in own])
+        sizes.append(len(own))
+        labels.append(label)
+    nothing = -(-len(labels) // NOTHING) if any(labels) else 0
+    sizes.extend([0] * nothing)
+    labels.extend([0] * nothing)
+    w, d = np.frombuffer(words, np.int32) if words else np.zeros(0, np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    v = np.frombuffer(weights, np.float32) if weights else np.zeros(0, np.float32)
+    often = np.bincount(w, minlength=len(numbers)) >= LEAST_TEXTS
+    if not often.any():
+        often[:] = True
+    place = np.cumsum(often, dtype=np.int32) - 1
+    used = often[w]
+    kept = {x: int(place[i]) for x, i in numbers.items() if often[i]}
+    return kept, _Sparse(d[used], place[w[used]], v[used], (len(sizes), len(kept))), np.array(labels, int)
+
+
+def train(rows: Iterable[tuple[str, int]], seed: int = 7) -> Model:
+    """Vectors of n-grams and softmax, fitted together by full-batch Adam, from texts with their labels."""
+    ids, docs, y = _cells(rows)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS), 0.0, float(y.mean()) if len(y) else 0.0)
-    bags = [bag(t) for t in texts]
-    seen = Counter(w for b in bags for w, _ in b)
-    ids = {w: i for i, w in enumerate(w for w, n in seen.items() if n > 2)}
-    if not ids:
-        ids = {w: i for i, w in enumerate(seen)}
-    cells = [(d, ids[w], x) for d, b in enumerate(bags) for w, x in b if w in ids]
-    del bags, seen
-    d, w, v = (np.array(x) for x in zip(*cells, strict=True)) if cells else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    docs = _Sparse(d, w, v, (len(texts), len(ids)))
-    parts = [grams(x) for x in ids]
-    subs = _Sparse(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate([np.array(p) for p in parts]) if parts else np.zeros(0, int), np.concatenate([np.full(len(p), 1 / len(p)) for p in parts]) if parts else np.zeros(0), (len(ids), BUCKETS))
+    parts = [np.array(grams(x), np.int32) for x in ids]
+    sizes = [len(p) for p in parts]
+    inside = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    subs = _Sparse(np.repeat(np.arange(len(parts), dtype=np.int32), sizes), inside, np.repeat(1 / np.maximum(np.array(sizes, np.float32), 1), sizes), (len(ids), BUCKETS))
+    del parts, inside, ids
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (DIM, BUCKETS)).astype(np.float32), rng.normal(0, 0.3, (2, DIM)).astype(np.float32), np.log([[1 - y.mean()], [y.mean()]]).astype(np.float32)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -158,8 +185,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    sample = documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    return train(list(sample["text"]), sample["toxic"].to_numpy())
+    # about `rows` texts, so one task holds them; it meets them in an order of their own
+    sample = documents(docs).join(F.broadcast(known), "doc_id").repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = train((t, y) for pdf in it for t, y in zip(pdf["text"], pdf["toxic"].tolist(), strict=True))
+        yield pd.DataFrame({"weight": [model.weight.astype(np.float64).tobytes()], "bias": [model.bias], "share": [-1.0 if model.share is None else model.share]})
+
+    got = sample.mapInPandas(run, "weight binary, bias double, share double").first()  # BUCKETS numbers
+    if got is None:
+        return Model(np.zeros(BUCKETS), 0.0, 0.0)
+    return Model(np.frombuffer(got["weight"], np.float64), got["bias"], None if got["share"] < 0 else got["share"])
 
 
 class _Numbers(dict):
@@ -174,17 +210,16 @@ class _Numbers(dict):
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row."""
+    """doc_id, held_out, score, predicted, version (of the text) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
+    kept: list[_Numbers] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> Iterator[dict]:
         own = shared.value
-        numbers = _Numbers(own)
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                out.append(own.probability(sum([x * numbers[w] for w, x in bag(text)])))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": out})
-
-    scored = documents(docs).mapInPandas(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        if not kept:  # once a task
+            kept.append(_Numbers(own))
+        numbers = kept[0]
+        yield {"score": [own.probability(sum([x * numbers[w] for w, x in bag(text)])) for text in pdf["text"]], "version": pdf["version"]}
+
+    scored = by_python(documents(docs).withColumn("version", version(F.col("text"))), run, "score double, version long")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "version")

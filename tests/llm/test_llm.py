@@ -64,7 +64,16 @@ def test_pieces_like_the_library(docs, none):
         ids = sp.encode(text)
         seen[(doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())] += 1
     assert seen == Counter((g["doc_id"], g["n_tokens"], g["ids_sha256"], g["decoded_sha256"]) for g in got)
-    assert Counter(g["n_tokens"] for g in got) == Counter(c["n_tokens"] for c in token_counts.count(docs, queries.piece_model(), budget=20).collect())
+    # counts and prefixes within a limit, by encoding prefixes anew
+    most, counted = Counter(), Counter()
+    for doc_id, text in texts.elements():
+        n, fit = len(sp.encode(text)), len(text)
+        if n > 20:
+            fit = next(i for i in range(len(text) + 1) if len(sp.encode(text[: i + 1])) > 20)
+        most[(doc_id, len(text.encode()), n, n > 20, fit)] += 1
+    for c in token_counts.count(docs, queries.piece_model(), limit=20).collect():
+        counted[(c["doc_id"], c["n_bytes"], c["n_tokens"], c["over_limit"], c["fit_chars"])] += 1
+    assert most == counted
     assert sentencepiece_codec.encode(none, queries.piece_model()).count() == 0
     model = load(queries.piece_model())
     r = random.Random(1)
@@ -312,46 +321,21 @@ def test_suffix_sorter():
 
 def test_hidden_markov(docs, none, small_batches, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 60)
-    monkeypatch.setattr(hmm, "SMOOTH", 1e-6)  # only plain maximum likelihood never falls
-    f = hmm.fit(docs, rounds=3)
-    got = hmm.score(docs, f).collect()
-    assert f.loglik == sorted(f.loglik) and f.head["c"].min() >= 2 and len(f.head) <= 60
+    monkeypatch.setattr(hmm, "OWN", 20)
+    monkeypatch.setattr(hmm, "STRETCH", 50)
+    w = hmm.fit(docs, 4)
+    table = {t["word"].encode(): t for t in w.table.collect()}
     counts = Counter()
     for r in docs.collect():
         if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10:
             counts.update([*hmm.tokens(r["text"] or ""), b""])
-    n, v = sum(counts.values()), len(counts)
-    cls = lambda w: zlib.crc32(w) % hmm.CLASSES if w else hmm.CLASSES
-    cn, cv = Counter(), Counter()
-    for w, c in counts.items():
-        cn[cls(w)] += c
-        cv[cls(w)] += 1
-    want = Counter()
-    for r in docs.collect():
-        ws = [*hmm.tokens(r["text"] or ""), b""]
-        state, score = f.model.start, 0.0
-        for w in ws:
-            state = (state @ f.model.move) * f.model.emit[:, cls(w)]
-            score += np.log10(state.sum())
-            state = state / state.sum()
-            if w:
-                score += np.log10((counts[w] + 0.1) / (cn[cls(w)] + 0.1 * (cv[cls(w)] + 1)))
-        b = sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        want[(r["doc_id"], len(ws), sum(counts[w] > 0 for w in ws), n, round(b, 4), round(score, 4))] += 1
-    assert want == Counter((g["doc_id"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 4), round(g["score"], 4)) for g in got)
-    assert hmm.score(none, hmm.fit(none, rounds=1)).count() == 0
-
-
-def test_hidden_markov_words(spark, docs, none, small_batches, monkeypatch):
-    monkeypatch.setattr(hmm, "HEAD", 60)
-    w = hmm.fit_words(docs, 4)
-    table = {t["word"].encode(): t for t in w.table.collect()}
-    assert sum(t["c"] for t in table.values()) == w.fitted.tokens and len(w.head) < len(table)
+    assert {k: t["c"] for k, t in table.items()} == counts and len(w.head) <= 61 < len(table)
     assert all(abs(sum(t[x] for x in hmm.SUMS) - t["c"]) < 1e-6 * t["c"] for t in table.values())
+    n, v = sum(counts.values()), len(counts)
 
     def emit(x):
         c, sums = (table[x]["c"], np.array([table[x][k] for k in hmm.SUMS])) if x in table else (0, np.zeros(hmm.STATES))
-        return (c + 0.1) / (c + hmm.KAPPA) * (sums + hmm.KAPPA * w.of_class[zlib.crc32(x) % hmm.CLASSES if x else hmm.CLASSES]) / w.norm
+        return (c + 0.1) / (c + hmm.KAPPA) * (sums + hmm.KAPPA * w.of_class[hmm.class_of(x)]) / w.norm
 
     want = Counter()
     for r in docs.collect():
@@ -360,17 +344,43 @@ def test_hidden_markov_words(spark, docs, none, small_batches, monkeypatch):
             state = (state @ w.move) * emit(x)
             score += np.log10(state.sum())
             state = state / state.sum()
-        want[(r["doc_id"], len(ws), sum(x in table for x in ws), round(score, 4))] += 1
-    got = hmm.score_words(w).collect()
-    assert want == Counter((g["doc_id"], g["n_tokens"], g["n_known"], round(g["score"], 4)) for g in got)
-    # the same counts as the class model's, with the end token outside its head
-    old = {(g["doc_id"], g["n_known"], round(g["base_score"], 4)) for g in hmm.score(docs, hmm.fit(docs, rounds=0)).collect()}
-    assert old == {(g["doc_id"], g["n_known"], round(g["base_score"], 4)) for g in got}
-    assert hmm.score_words(hmm.fit_words(none, 1)).count() == 0
-
-
-def test_hidden_markov_tells_words_of_a_class_apart(spark, tmp_path):
-
+        b = sum(np.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in ws)
+        want[(r["doc_id"], len(ws), sum(x in table for x in ws), n, round(b, 4), round(score, 4))] += 1
+    got = hmm.score(w).collect()
+    assert want == Counter((g["doc_id"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 4), round(g["score"], 4)) for g in got)
+    assert hmm.score(hmm.fit(none, 1)).count() == 0
+
+
+def test_hidden_markov_recursion(monkeypatch):
+    """Likelihood and expected counts against sums over all paths, one step after the other."""
+    monkeypatch.setattr(hmm, "STRETCH", 4)
+    r = np.random.default_rng(4)
+    start, move, emit = r.dirichlet(np.ones(hmm.STATES)), r.dirichlet(np.ones(hmm.STATES), hmm.STATES), r.dirichlet(np.ones(7), hmm.STATES).T
+    lengths = np.array([1, 4, 5, 13, 8, 2])
+    flat = r.integers(0, 7, lengths.sum())
+    own = hmm.Recursion(start, move, emit, flat, lengths)
+    begins, moves, emits = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((7, hmm.STATES))
+    at = 0
+    for k, n in enumerate(lengths):
+        x = flat[at : at + n]
+        at += n
+        alpha, beta = [start], [np.ones(hmm.STATES)]
+        for c in x:
+            alpha.append((alpha[-1] @ move) * emit[c])
+        for c in x[::-1]:
+            beta.insert(0, move @ (emit[c] * beta[0]))
+        total = alpha[-1].sum()
+        assert abs(own.loglik[k] - np.log(total)) < 1e-9
+        begins += start * beta[0] / total
+        for t, c in enumerate(x):
+            moves += alpha[t][:, None] * move * (emit[c] * beta[t + 1])[None] / total
+            emits[c] += alpha[t + 1] * beta[t + 1] / total
+    for a, b in zip(own.expected(7), (begins, moves, emits), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_hidden_markov_learns(spark, tmp_path):
+    """Rounds raise the likelihood, and words of a class are told apart."""
     r = random.Random(8)
     texts = [" ".join(f"{'ab'[i % 2]}{r.randrange(4000)}" for _ in range(60)) for i in range(1200)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -382,18 +392,99 @@ def test_hidden_markov_tells_words_of_a_class_apart(spark, tmp_path):
 def test_hidden_markov_end_token_outside_the_head(spark, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 3)
     df = spark.createDataFrame([(0, "a a b b c c d d"), (1, "")], "doc_id long, text string")
-    f = hmm.fit(df, rounds=1)
+    w = hmm.fit(df, 1)
     ends = sum(zlib.crc32(str(i).encode()) % 10 != 0 for i in (0, 1))
-    got = {g["doc_id"]: g for g in hmm.score(df, f).collect()}
-    assert "" not in set(f.head["word"]) and got[1]["n_known"] == (ends > 0)
-    assert abs(got[1]["base_score"] - (np.log10(ends + 0.1) - f.norm)) < 1e-6
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns, name
-        assert out.count() <= docs.count()
+    got = {g["doc_id"]: g for g in hmm.score(w).collect()}
+    assert w.head == [b""] and w.counts[0] == ends and got[1]["n_known"] == (ends > 0)
+    assert abs(got[1]["base_score"] - (np.log10(ends + 0.1) - np.log10(w.tokens + 0.1 * (w.distinct + 1)))) < 1e-6
+
+
+BIG = (1 << 60) + 1
+
+
+def test_large_ids_beside_null_ones(spark):
+    """Ids that no float holds come back as they were, and links between them are not lost."""
+    r = random.Random(9)
+    first = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(10):
+        words = list(first)
+        words[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows_ = [(BIG + 2 * i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
+    want = sorted([d for d, _ in rows_], key=str)
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0)
+    found = [sentencepiece_codec.encode(df, queries.piece_model()), token_counts.count(df, queries.piece_model()), toxicity.score(df, model), suffix.dedup(df), hmm.score(hmm.fit(df, 2)), minhash.groups(df)]
+    for out in found:
+        assert sorted([g["doc_id"] for g in out.collect()], key=str) == want
+    assert {g["component_id"] for g in found[-1].collect()} == {BIG, None}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    r = random.Random(10)
+    text = lambda: [f"w{r.randrange(10**6)}" for _ in range(60)]
+    a, z = text(), text()
+    near = [*z[:-1], "other"]
+    rows_ = [(5, a), (5, z), (7, z), (11, near), (4, a), (4, text())]
+    got = minhash.groups(spark.createDataFrame([(d, " ".join(t)) for d, t in rows_], "doc_id long, text string")).collect()
+    assert sorted((g["doc_id"], g["component_id"]) for g in got) == [(4, 4), (4, 4), (5, 4), (5, 5), (7, 5), (11, 5)]
+
+
+def test_repeated_rows_of_scores(spark, docs):
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0)
+    assert len([g for g in toxicity.score(docs, model).collect() if g["doc_id"] == 103]) == 2
+    assert len([g for g in pii.scan(docs).collect() if g["doc_id"] == 103]) == 2
+
+
+def test_disclosing_terms_are_quoted(spark):
+    r = random.Random(12)
+    filler = lambda: " ".join(f"w{r.randrange(40)}" for _ in range(8))
+    odd = ["C:\\Email", "a.b*c", "x\\Q[y", "$1(z", "😀|q"]
+    texts = [filler() for _ in range(2000)] + [f"{filler()} {o} m{i}@x.org {filler()}" for i, o in enumerate(odd)]
+    got = {g["doc_id"]: g["clean"] for g in pii.sanitise(pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, o in enumerate(odd):
+        assert got[2000 + i] == texts[2000 + i].replace(o, "<TERM>" if "<TERM>" in got[2000 + i] else "").replace(f"m{i}@x.org", "<EMAIL>")
+
+
+def disclosed(units):
+    """entity, term: shares by the formulas over distinct units, in plain Python."""
+    distinct = sorted(set(units))
+    n, holds, stands = len(distinct), {}, Counter()
+    for k, u in enumerate(distinct):
+        found = {f"{kind}:{u[s:e].lower()}" for kind, s, e in base(u)}
+        for w in set(u.split()):
+            stands[w] += 1
+        for x in found:
+            holds.setdefault(x, []).append(k)
+    out = {}
+    for x, where in holds.items():
+        ce, p = len(where), len(where) / n
+        with_ = Counter(w for k in where for w in set(distinct[k].split()) if len(w) > 1 and not re.search(r"[@+]|[0-9]{3}|[0-9]\.[0-9]", w))
+        for w, cet in with_.items():
+            mean = stands[w] * ce / n
+            bound = np.log(-np.expm1(-mean)) if cet <= 1 else -(cet * np.log(cet / mean) - cet + mean)
+            share = np.log2((cet + pii.SMOOTH * p) / (stands[w] + pii.SMOOTH) / p) / max(-np.log2(p), 1e-9)
+            if cet > mean and bound + np.log(sum(with_.values())) <= np.log(pii.CHANCE) and share >= pii.GENERALISE:
+                out[(x, w)] = round(share, 9)
+    return out
+
+
+@pytest.mark.parametrize("limit", [100_000, 1])
+def test_disclosure_measure(spark, monkeypatch, limit):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+    r = random.Random(13)
+    word = lambda: f"w{min(int(r.paretovariate(0.7)), 3000)}"
+    texts = []
+    for i in range(400):
+        lines = [" ".join(word() for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 5))]
+        if i % 3 == 0:
+            lines[0] += f" u{i % 17}@x.org v{i % 17}q"
+        texts.append("\n".join(lines))
+    texts += texts[:60] + [texts[5].split("\n")[0]] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = pii.scan(df).where("n_email > 0").select("text", pii._entities(pii.base_spans(pii.F.col("text"))).alias("entities"))
+    got = {(g["entity"], g["term"]): round(g["share"], 9) for g in pii.disclosures(df, held).collect()}
+    by_line, by_text = disclosed([x for t in texts for x in t.split("\n")]), disclosed(texts)
+    want = {k: max(by_line.get(k, 0), by_text.get(k, 0)) for k in by_line.keys() | by_text.keys()}
+    assert len(want) > 10 and got == want
