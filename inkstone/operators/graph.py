@@ -9,9 +9,11 @@ from ..sources.files import OPERATORS
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the session's shared folder (a temporary one only if it names none)."""
+    """Cuts the lineage by a reliable checkpoint in the session's shared folder; only a local master may do without one."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkstone-"))
