@@ -4,15 +4,16 @@ Tokens are words, ASCII letters in lower case, then one end token. Scores are th
 by the scaled forward recursion over states that emit words.
 
 1. Words are counted over all training texts, into a table that grows with the input.
-2. Texts are written once as numbers of words. The HEAD most frequent words (a fixed number) go to the workers and have the
-   same number everywhere; a text carries its other words beside it.
+2. Texts are written once as numbers: of the HEAD most frequent words (a fixed number, so they go to the workers), and of
+   CLASSES classes (a hash of the word) for all others, which a text carries beside it.
 3. Baum-Welch: each round every partition adds up expected counts over its training texts, the sums over partitions give the
    next model. While rounds go on, the OWN most frequent words have emissions of their own and other words share those of
-   CLASSES classes (a hash of the word), so what goes round is bounded. Rounds over one text in SAMPLE_EVERY come first and
-   only give the start; those over all training texts follow until the likelihood has settled.
-4. One more pass adds up, for every word of the training texts, how often each state emitted it: a table of all words. A word's
-   shares of states are smoothed by KAPPA tokens dealt as its class is, so classes are the back-off of rare and unknown words.
-   In scoring, head words are at hand and other words meet the table in a join, one row for each document and word.
+   their classes, so what goes round is bounded. Rounds over one text in SAMPLE_EVERY come first and only give the start;
+   those over all training texts follow until the likelihood has settled.
+4. One more pass adds up how often each state emitted each head word and each class. A state emits a word by the word's
+   smoothed count, from the table of all words, times the state's share in it: a head word's own share, smoothed by KAPPA
+   tokens dealt as its class is, and the class's share for words outside the head and unknown ones. That count is the same
+   factor in every state, so words outside the head meet the table in one join beside the recursion, not within it.
 
 The recursions run over stretches of STRETCH tokens, all stretches of a batch at once. Where a text has several, the product
 of a stretch's transition and emission matrices gives the state before the next one, which gives the same numbers as one step
@@ -54,7 +55,7 @@ KAPPA = 1.0
 #: Rounds end when the log10 likelihood a token gains less than SETTLED, or after MOST_ROUNDS.
 SETTLED, MOST_ROUNDS = 1e-3, 20
 #: One text in so many is in the first rounds, and its table has so many times fewer partitions.
-SAMPLE_EVERY = 10
+SAMPLE_EVERY = 20
 END = ""  # no word is empty
 SUMS = [f"e{k}" for k in range(STATES)]
 
@@ -210,7 +211,7 @@ class Recursion:
 
 
 def _batches(it: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """Rows with their numbers, about BATCH_TOKENS at a time."""
+    """Rows with their texts' numbers, about BATCH_TOKENS at a time."""
     for pdf in it:
         kept: list[np.ndarray] = []
         size = first = 0
@@ -224,38 +225,24 @@ def _batches(it: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np
             yield pdf.iloc[first:], kept
 
 
-def _with_rare(pdf: pd.DataFrame, codes: list[np.ndarray], known: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """All numbers one after the other, lengths, and the words outside the head, which are numbered from known on."""
-    rare: list[bytes] = []
-    parts = []
-    for x, names in zip(codes, pdf["rare"], strict=True):
-        if len(names):
-            x = np.where(x >= known, x + len(rare), x)
-            rare.extend([w.encode() for w in names])
-        parts.append(x)
-    return np.concatenate(parts), np.array([len(x) for x in codes]), rare
-
-
 @dataclass
 class Words:
-    """A trained model. Numbers: 0 the end token, then the head's words, the most frequent first."""
+    """A trained model. Numbers: 0 the end token, then the head's words, the most frequent first, then classes."""
 
     start: np.ndarray
     move: np.ndarray
-    table: DataFrame  # word, c, cls and how often each state emitted the word
-    of_class: np.ndarray  # class, state: shares of the class's tokens
-    norm: np.ndarray  # what the joint weight of a word and a state is divided by
+    emit: np.ndarray  # number, state: weights; for classes without the word's count
+    counts: DataFrame  # word, c, cls
     head: list[bytes]
-    counts: np.ndarray  # of the head
-    sums: np.ndarray  # head, state
+    head_counts: np.ndarray
     tokens: int
     distinct: int
-    texts: DataFrame  # rid, doc_id, learn, codes, rare of all rows
+    texts: DataFrame  # rid, doc_id, no_id, learn, codes, rare of all rows
     loglik: list[float]  # log10, of a token, in each round over all training texts
 
 
 def _encoded(docs: DataFrame, head: list[bytes]) -> DataFrame:
-    """rid, doc_id (0 for none), no_id, learn, codes, rare: texts as numbers; those from len(head) on are places in rare."""
+    """rid, doc_id (0 for none), no_id, learn, codes (texts as numbers), rare (the words outside the head)."""
     shared = docs.sparkSession.sparkContext.broadcast(head)  # HEAD words
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,30 +255,30 @@ def _encoded(docs: DataFrame, head: list[bytes]) -> DataFrame:
                 w = tokens(text)
                 x = np.zeros(len(w) + 1, np.int32)
                 x[:-1] = list(map(get, w, none))
-                own: dict[bytes, int] = {}
-                for i in np.flatnonzero(x < 0):
-                    x[i] = known + own.setdefault(w[i], len(own))
+                at = np.flatnonzero(x < 0)
+                others = [w[i] for i in at.tolist()]
+                x[at] = [known + zlib.crc32(o) % CLASSES for o in others]
                 codes.append(x.tobytes())
-                rare.append([r.decode() for r in own])
+                rare.append([o.decode() for o in others])
             yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "learn": pdf["learn"], "codes": codes, "rare": rare})
 
     own = documents(docs).select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), learned().alias("learn"), "text")
     return own.mapInPandas(run, "rid long, doc_id long, no_id boolean, learn boolean, codes binary, rare array<string>")
 
 
-def _round(texts: DataFrame, units: object, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """One round over texts: the next start, moves and emissions (unit, state), and the log10 likelihood of a token under those given."""
+def _round(texts: DataFrame, units: object, n_units: int, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and units (by state) over texts, and the log10 likelihood of a token under the model given.
+
+    units: the unit of each number, None if numbers are units."""
     shared = texts.sparkSession.sparkContext.broadcast((start, move, emit))  # units x states numbers
-    n_units = len(emit)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start, move, emit = shared.value
-        unit = units.value
+        unit = units.value if units is not None else None
         sums, one, moves, of_text = np.zeros((n_units, STATES)), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((1, STATES))
-        for pdf, codes in _batches(it):
-            flat, lengths, rare = _with_rare(pdf, codes, len(unit))
-            own = np.concatenate([unit, np.array([n_units - CLASSES + class_of(w) for w in rare], np.int32)])
-            r = Recursion(start, move, emit, own[flat], lengths)
+        for _, codes in _batches(it):
+            flat = np.concatenate(codes)
+            r = Recursion(start, move, emit, flat if unit is None else unit[flat], np.array([len(x) for x in codes]))
             a, b, c = r.expected(n_units)
             one += a
             moves += b
@@ -299,84 +286,62 @@ def _round(texts: DataFrame, units: object, start: np.ndarray, move: np.ndarray,
             of_text[0, :2] += r.loglik.sum(), len(flat)
         x = np.concatenate([sums, one[None], moves, of_text])
         at = np.flatnonzero(x.any(1))
-        yield pd.DataFrame({"i": at} | {c: x[at, k] for k, c in enumerate(SUMS)})
+        if len(at):
+            yield pd.DataFrame({"i": at} | {c: x[at, k] for k, c in enumerate(SUMS)})
 
     kind = "i int, " + ", ".join(f"{x} double" for x in SUMS)
-    got = texts.select("codes", "rare").mapInPandas(run, kind).groupBy("i").agg(*(F.sum(x).alias(x) for x in SUMS)).toPandas()
+    got = texts.select("codes").mapInPandas(run, kind).groupBy("i").agg(*(F.sum(x).alias(x) for x in SUMS)).toPandas()
     x = np.zeros((n_units + STATES + 2, STATES))
     x[got["i"]] = got[SUMS].to_numpy(float)
-    emit, start, move = x[:n_units] + SMOOTH, x[n_units] + SMOOTH, x[n_units + 1 : -1] + SMOOTH
-    return start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), float(x[-1, 0] / np.log(10) / max(x[-1, 1], 1))
-
-
-def _settled(loglik: list[float]) -> bool:
-    return len(loglik) > 1 and abs(loglik[-1] - loglik[-2]) < SETTLED
+    return x[n_units], x[n_units + 1 : -1], x[:n_units], float(x[-1, 0] / np.log(10) / max(x[-1, 1], 1))
 
 
-def _by_word(texts: DataFrame, head: list[bytes], units: object, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> DataFrame:
-    """word and how often each state emitted it, over the training texts."""
-    shared = texts.sparkSession.sparkContext.broadcast((start, move, emit, head))
-    n_units = len(emit)
+def _next(start: np.ndarray, move: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start, move, sums = start + SMOOTH, move + SMOOTH, sums + SMOOTH
+    return start / start.sum(), move / move.sum(1, keepdims=True), sums / sums.sum(0)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, move, emit, head = shared.value
-        unit = units.value
-        own = emit[unit]
-        heads = np.zeros((len(head), STATES))
-
-        def rows(names: list[bytes], x: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"word": [n.decode() for n in names]} | {c: x[:, k] for k, c in enumerate(SUMS)})
-
-        for pdf, codes in _batches(it):
-            flat, lengths, rare = _with_rare(pdf, codes, len(head))
-            every = np.concatenate([own, emit[[n_units - CLASSES + class_of(w) for w in rare]]]) if rare else own
-            sums = Recursion(start, move, every, flat, lengths).expected(len(every))[2]
-            heads += sums[: len(head)]
-            if rare:
-                yield rows(rare, sums[len(head) :])
-        at = np.flatnonzero(heads.any(1))
-        if len(at):
-            yield rows([head[i] for i in at], heads[at])
 
-    kind = "word string, " + ", ".join(f"{x} double" for x in SUMS)
-    return texts.select("codes", "rare").mapInPandas(run, kind).groupBy("word").agg(*(F.sum(x).alias(x) for x in SUMS))
-
-
-def _joint(c: np.ndarray, sums: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Smoothed count of word and state; over the states it adds up to the word's count and 0.1."""
-    return (c[:, None] + 0.1) / (sums.sum(1, keepdims=True) + KAPPA) * (sums + KAPPA * shares)
+def _settled(loglik: list[float]) -> bool:
+    return len(loglik) > 1 and abs(loglik[-1] - loglik[-2]) < SETTLED
 
 
-def _shares(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of states in each class, and the norm of each state."""
-    each = (F.col("c") + 0.1) / (sum(F.col(x) for x in SUMS) + F.lit(KAPPA))
-    by = table.groupBy("cls").agg(F.sum(each).alias("b"), *(F.sum(each * F.col(x)).alias(f"a_{x}") for x in SUMS), *(F.sum(x).alias(x) for x in SUMS)).toPandas()  # CLASSES rows
-    sums, a, b = np.zeros((CLASSES + 1, STATES)), np.zeros((CLASSES + 1, STATES)), np.zeros(CLASSES + 1)
-    at = by["cls"].to_numpy(int)
-    sums[at], a[at], b[at] = by[SUMS].to_numpy(float), by[[f"a_{x}" for x in SUMS]].to_numpy(float), by["b"].to_numpy(float)
+def _weights(sums: np.ndarray, head: list[bytes], counts: np.ndarray, by_class: pd.DataFrame) -> np.ndarray:
+    """number, state: what a state emits a number with, so that its words, one unknown word of each class among them, add up to one."""
+    known = len(head)
+    cls = np.array([class_of(w) for w in head], int)
+    of_class = np.zeros((CLASSES + 1, STATES))
+    np.add.at(of_class, cls, sums[:known])
+    of_class[:CLASSES] += sums[known:]
     whole = (sums.sum(0) + SMOOTH) / (sums.sum() + SMOOTH * STATES)
-    of_class = (sums + SMOOTH * whole) / (sums.sum(1, keepdims=True) + SMOOTH)
-    # every class may give one unknown word; the end token's may not
-    unknown = np.r_[np.full(CLASSES, 0.1), 0.0]
-    return of_class, a.sum(0) + ((KAPPA * b + unknown)[:, None] * of_class).sum(0)
+    of_class = (of_class + SMOOTH * whole) / (of_class.sum(1, keepdims=True) + SMOOTH)
+    own = (sums[:known] + KAPPA * of_class[cls]) / (sums[:known].sum(1, keepdims=True) + KAPPA) * (counts[:, None] + 0.1)
+    # smoothed counts of the words outside the head, and of an unknown one, in each class
+    rest = np.full(CLASSES, 0.1)
+    at = by_class["cls"].to_numpy(int)
+    rest[at] += by_class["n"].to_numpy(float) + 0.1 * by_class["v"].to_numpy(float)
+    np.subtract.at(rest, cls[1:], counts[1:] + 0.1)
+    weights = np.concatenate([own, of_class[:CLASSES]])
+    return weights / (own.sum(0) + (np.maximum(rest, 0.1)[:, None] * of_class[:CLASSES]).sum(0))
 
 
 def fit(docs: DataFrame, most: int = MOST_ROUNDS, seed: int = 11) -> Words:
     spark = docs.sparkSession
     counts = stored(word_counts(docs))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
+    by_class = counts.where(F.col("word") != END).groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # CLASSES rows
     frequent = counts.where((F.col("c") >= _least(counts)) & (F.col("word") != END))
     rows = frequent.select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])  # HEAD rows
     head = [b"", *map(str.encode, rows["word"])]
     head_counts = np.r_[float(total["ends"]), rows["c"].to_numpy(float)]
+    known = len(head)
     texts = stored(_encoded(docs, head))
     # the units of the rounds: the end token, the most frequent words, classes of all others
-    n_own = min(OWN + 1, len(head))
+    n_own = min(OWN + 1, known)
     n_units = n_own + CLASSES
-    unit = np.arange(len(head), dtype=np.int32)
-    unit[n_own:] = [n_own + class_of(w) for w in head[n_own:]]
+    unit = np.arange(known + CLASSES, dtype=np.int32)
+    unit[n_own:known] = [n_own + class_of(w) for w in head[n_own:]]
+    unit[known:] = n_own + np.arange(CLASSES)
     units = spark.sparkContext.broadcast(unit)
-    by_class = counts.where((F.col("word") != END)).groupBy("cls").agg(F.sum("c").alias("n")).toPandas()  # CLASSES rows
     n = np.zeros(n_units)
     n[n_own + by_class["cls"].to_numpy(int)] = by_class["n"]
     n[:n_own] = head_counts[:n_own]
@@ -390,57 +355,49 @@ def fit(docs: DataFrame, most: int = MOST_ROUNDS, seed: int = 11) -> Words:
     emit /= emit.sum(0)
     train = texts.where("learn")
     parts = texts.rdd.getNumPartitions()
-    sample = stored(train.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE_EVERY)) == 0).select("codes", "rare").coalesce(max(1, parts // SAMPLE_EVERY)))
-    sampled: list[float] = []
-    while len(sampled) < most and not _settled(sampled):
-        start, move, emit, was = _round(sample, units, start, move, emit)
-        sampled.append(was)
+    sample = stored(train.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE_EVERY)) == 0).select("codes").coalesce(max(1, parts // SAMPLE_EVERY)))
+    logs: dict[bool, list[float]] = {True: [], False: []}
+    for some in (True, False):
+        while len(logs[some]) < most and not _settled(logs[some]):
+            *sums, was = _round(sample if some else train, units, n_units, start, move, emit)
+            start, move, emit = _next(*sums)
+            logs[some].append(was)
     discard(sample)
-    loglik: list[float] = []
-    while len(loglik) < most and not _settled(loglik):
-        start, move, emit, was = _round(train, units, start, move, emit)
-        loglik.append(was)
-    sums = _by_word(train, head, units, start, move, emit)
-    table = stored(counts.join(sums, "word", "left").select("word", "c", "cls", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in SUMS)))
-    discard(counts)
-    of_class, norm = _shares(table)
-    own = table.where((F.col("c") >= (int(head_counts[1:].min()) if len(head) > 1 else 1 << 62)) | (F.col("word") == END)).toPandas()  # HEAD rows and the end token's
-    head_sums = np.zeros((len(head), STATES))
-    place = {w: i for i, w in enumerate(head)}
-    head_sums[[place[w.encode()] for w in own["word"]]] = own[SUMS].to_numpy(float)
-    return Words(start, move, table, of_class, norm, head, head_counts, head_sums, int(total["n"]), int(total["v"]), texts, loglik)
+    # once more, with sums of each head word's own
+    *_, sums, _was = _round(train, None, known + CLASSES, start, move, emit[unit])
+    return Words(start, move, _weights(sums, head, head_counts, by_class), counts, head, head_counts, int(total["n"]), int(total["v"]), texts, logs[False])
 
 
 def score(w: Words) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row that fit was given."""
-    emit = _joint(w.counts, w.sums, w.of_class[[class_of(x) for x in w.head]]) / w.norm
-    shared = w.texts.sparkSession.sparkContext.broadcast((w.start, w.move, w.of_class, w.norm, w.counts, emit))  # HEAD x STATES numbers
+    # numbers of classes stand for words whose counts are added later
+    n_log = np.r_[np.log10(w.head_counts + 0.1), np.zeros(CLASSES)]
+    is_known = np.r_[w.head_counts > 0, np.zeros(CLASSES, bool)]
+    shared = w.texts.sparkSession.sparkContext.broadcast((w.start, w.move, w.emit, n_log, is_known))  # HEAD x STATES numbers
     norm = float(np.log10(w.tokens + 0.1 * (w.distinct + 1)))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, move, of_class, state_norm, counts, emit = shared.value
+        start, move, emit, n_log, is_known = shared.value
         for pdf, codes in _batches(it):
-            flat, lengths, rare = _with_rare(pdf, codes, len(emit))
-            c, sums, at = np.zeros(len(rare)), np.zeros((len(rare), STATES)), 0
-            for names, found in zip(pdf["rare"], pdf["found"], strict=True):
-                if found is not None and len(found):
-                    x = np.asarray(found, float).reshape(-1, STATES + 2)
-                    where = at + x[:, 0].astype(int)
-                    c[where], sums[where] = x[:, 1], x[:, 2:]
-                at += len(names)
-            every, n = emit, counts
-            if rare:
-                every = np.concatenate([emit, _joint(c, sums, of_class[[class_of(x) for x in rare]]) / state_norm])
-                n = np.concatenate([counts, c])
-            r = Recursion(start, move, every, flat, lengths)
+            flat, lengths = np.concatenate(codes), np.array([len(x) for x in codes])
             first = np.cumsum(lengths) - lengths
-            base = np.add.reduceat(np.log10(n + 0.1)[flat], first) - lengths * norm
-            known = np.add.reduceat((n > 0)[flat].astype(np.int64), first)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "no_id": pdf["no_id"].to_numpy(), "n_tokens": lengths, "n_known": known, "base_score": base, "score": r.loglik / np.log(10)})
-
-    each = w.texts.where(F.size("rare") > 0).select("rid", F.posexplode("rare").alias("k", "word"))
-    found = each.join(w.table, "word").select("rid", F.array(F.col("k").cast("double"), F.col("c").cast("double"), *SUMS).alias("x"))
-    found = found.groupBy("rid").agg(F.flatten(F.collect_list("x")).alias("found"))
-    out = w.texts.drop("learn").join(found, "rid", "left").select("doc_id", "no_id", "codes", "rare", "found").mapInPandas(run, "doc_id long, no_id boolean, n_tokens long, n_known long, base_score double, score double")
-    out = out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id")))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(w.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            base = np.add.reduceat(n_log[flat], first) - lengths * norm
+            known = np.add.reduceat(is_known[flat].astype(np.int64), first)
+            r = Recursion(start, move, emit, flat, lengths)
+            yield pd.DataFrame({"rid": pdf["rid"].to_numpy(), "doc_id": pdf["doc_id"].to_numpy(), "no_id": pdf["no_id"].to_numpy(), "n_tokens": lengths, "known": known, "base": base, "inside": r.loglik / np.log(10)})
+
+    kind = "rid long, doc_id long, no_id boolean, n_tokens long, known long, base double, inside double"
+    out = w.texts.select("rid", "doc_id", "no_id", "codes").mapInPandas(run, kind)
+    rare = w.texts.select("rid", F.explode("rare").alias("word")).join(w.counts.select("word", "c"), "word", "left")
+    rare = rare.groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("logs"), F.count("c").alias("rare_known"))
+    out = out.join(rare, "rid", "left").withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id")))
+    logs = F.coalesce("logs", F.lit(0.0))
+    return out.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "n_tokens",
+        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(w.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + logs).alias("base_score"),
+        (F.col("inside") + logs).alias("score"),
+    )

@@ -324,18 +324,21 @@ def test_hidden_markov(docs, none, small_batches, monkeypatch):
     monkeypatch.setattr(hmm, "OWN", 20)
     monkeypatch.setattr(hmm, "STRETCH", 50)
     w = hmm.fit(docs, 4)
-    table = {t["word"].encode(): t for t in w.table.collect()}
+    table = {t["word"].encode(): t["c"] for t in w.counts.collect()}
     counts = Counter()
     for r in docs.collect():
         if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10:
             counts.update([*hmm.tokens(r["text"] or ""), b""])
-    assert {k: t["c"] for k, t in table.items()} == counts and len(w.head) <= 61 < len(table)
-    assert all(abs(sum(t[x] for x in hmm.SUMS) - t["c"]) < 1e-6 * t["c"] for t in table.values())
+    assert table == counts and 50 < len(w.head) <= 61 < len(table)
     n, v = sum(counts.values()), len(counts)
+    number = {x: i for i, x in enumerate(w.head)}
+    # each state's words, and an unknown one of each class, add up to one
+    every = w.emit[: len(w.head)].sum(0) + 0.1 * w.emit[len(w.head) :].sum(0)
+    every += sum((c + 0.1) * w.emit[len(w.head) + hmm.class_of(x)] for x, c in counts.items() if x not in number)
+    assert np.allclose(every, 1)
 
     def emit(x):
-        c, sums = (table[x]["c"], np.array([table[x][k] for k in hmm.SUMS])) if x in table else (0, np.zeros(hmm.STATES))
-        return (c + 0.1) / (c + hmm.KAPPA) * (sums + hmm.KAPPA * w.of_class[hmm.class_of(x)]) / w.norm
+        return w.emit[number[x]] if x in number else (counts[x] + 0.1) * w.emit[len(w.head) + hmm.class_of(x)]
 
     want = Counter()
     for r in docs.collect():
@@ -395,7 +398,7 @@ def test_hidden_markov_end_token_outside_the_head(spark, monkeypatch):
     w = hmm.fit(df, 1)
     ends = sum(zlib.crc32(str(i).encode()) % 10 != 0 for i in (0, 1))
     got = {g["doc_id"]: g for g in hmm.score(w).collect()}
-    assert w.head == [b""] and w.counts[0] == ends and got[1]["n_known"] == (ends > 0)
+    assert w.head == [b""] and w.head_counts[0] == ends and got[1]["n_known"] == (ends > 0)
     assert abs(got[1]["base_score"] - (np.log10(ends + 0.1) - np.log10(w.tokens + 0.1 * (w.distinct + 1)))) < 1e-6
 
 
@@ -447,7 +450,7 @@ def test_disclosing_terms_are_quoted(spark):
         assert got[2000 + i] == texts[2000 + i].replace(o, "<TERM>" if "<TERM>" in got[2000 + i] else "").replace(f"m{i}@x.org", "<EMAIL>")
 
 
-def disclosed(units):
+def disclosed(units, compared):
     """entity, term: shares by the formulas over distinct units, in plain Python."""
     distinct = sorted(set(units))
     n, holds, stands = len(distinct), {}, Counter()
@@ -465,7 +468,7 @@ def disclosed(units):
             mean = stands[w] * ce / n
             bound = np.log(-np.expm1(-mean)) if cet <= 1 else -(cet * np.log(cet / mean) - cet + mean)
             share = np.log2((cet + pii.SMOOTH * p) / (stands[w] + pii.SMOOTH) / p) / max(-np.log2(p), 1e-9)
-            if cet > mean and bound + np.log(sum(with_.values())) <= np.log(pii.CHANCE) and share >= pii.GENERALISE:
+            if cet > mean and bound + np.log(compared) <= np.log(pii.CHANCE) and share >= pii.GENERALISE:
                 out[(x, w)] = round(share, 9)
     return out
 
@@ -485,6 +488,7 @@ def test_disclosure_measure(spark, monkeypatch, limit):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     held = pii.scan(df).where("n_email > 0").select("text", pii._entities(pii.base_spans(pii.F.col("text"))).alias("entities"))
     got = {(g["entity"], g["term"]): round(g["share"], 9) for g in pii.disclosures(df, held).collect()}
-    by_line, by_text = disclosed([x for t in texts for x in t.split("\n")]), disclosed(texts)
+    compared = len({w for t in texts for w in t.split()})
+    by_line, by_text = disclosed([x for t in texts for x in t.split("\n")], compared), disclosed(texts, compared)
     want = {k: max(by_line.get(k, 0), by_text.get(k, 0)) for k in by_line.keys() | by_text.keys()}
     assert len(want) > 10 and got == want
