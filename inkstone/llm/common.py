@@ -51,7 +51,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkstone-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -5,11 +5,13 @@ entities. Information-theoretic sanitisation then asks which other terms disclos
 corpus, and over its distinct lines, the smoothed point-wise mutual information of a term and an entity, as a share of the
 entity's own information content, is the part of it that the term reveals. Terms above REMOVE are removed and terms above
 GENERALISE are replaced by their kind, in the documents that hold the entity; the greater of both shares counts. How
-often both stand together must be more than chance explains: its tail bound, times the number of terms compared with the
-entity, must be at most CHANCE. This judges an entity on one line as well as a frequent one.
+often both stand together must be more than chance explains: its tail bound, times the number of different words in the
+corpus (each could have met the entity; a HyperLogLog estimate, which enters as a logarithm), must be at most CHANCE. This
+judges an entity on one line as well as a frequent one: one meeting proves much where few words are rare, and nothing in a
+corpus in which most texts have words of their own.
 
 Equal lines (and equal texts) count once. No line travels for that: a line found n times counts 1/n each time, and n is a
-count over 64-bit hashes, kept for lines found more than once only. Counts of terms are then added up before they are sent.
+count over 64-bit hashes, kept for lines found more than once only. Of the words of lines only candidates are counted.
 
 Places are code points, ends exclusive. Nulls count as empty texts, which have no spans. Repeated rows each give a row,
 rows with a null id are treated as any other, an empty table gives none. Terms with equal shares are all kept; of spans that
@@ -35,11 +37,11 @@ KINDS = ("email", "ip", "card", "phone")
 PARTS_OK = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}"
 #: Shares of an entity's information that a term reveals, from which on it is generalised or removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Chance at most, over all terms of an entity, that they stand together so often without disclosing it.
+#: Chance at most, over all words of the corpus, that one stands beside an entity so often without disclosing it.
 CHANCE = 0.05
 #: Occurrences of a term as if without the entity more than with it, against which its share is smoothed.
 SMOOTH = 0.5
-#: Candidate terms, or repeated lines, that are broadcast at most; more are joined by a shuffle.
+#: Candidate terms, or documents with disclosing ones, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
@@ -108,7 +110,7 @@ def _share(cet: Column, ct: Column, ce: Column, n: Column) -> Column:
 
 
 def _beyond_chance(cet: Column, ct: Column, ce: Column, n: Column, compared: Column) -> Column:
-    """Chernoff's bound of a Poisson tail, for one occurrence the tail itself, against CHANCE over all terms compared."""
+    """Chernoff's bound of a Poisson tail, for one occurrence the tail itself, against CHANCE over all words compared."""
     mean = ct * ce / n
     bound = F.when(cet <= 1, F.log(-F.expm1(-mean))).otherwise(-(cet * F.log(cet / mean) - cet + mean))
     return (cet > mean) & (bound + F.log(compared) <= F.log(F.lit(CHANCE)))
@@ -118,40 +120,36 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df, BROADCAST_ROWS) else df
 
 
-def _disclosed(held: DataFrame, units: DataFrame) -> DataFrame:
-    """entity, term, share over units (lines or texts). held: h, u, entities of the distinct units that hold any; units: u of all, with repeats."""
+def _disclosed(held: DataFrame, units: DataFrame, compared: int) -> DataFrame:
+    """entity, term, share over units (lines or texts). held: u, entities of the distinct units that hold any; units: u of all, with repeats."""
     again = stored(units.groupBy(F.xxhash64("u").alias("h")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     total = F.lit(float(max(1, units.count() - (again.agg(F.sum(F.col("times") - 1).alias("n")).first()["n"] or 0))))
-    own = held.select("h", "entities", F.explode(_terms(F.col("u"))).alias("term"))
+    words_ = F.lit(float(max(1, compared)))
+    own = held.select("entities", F.explode(_terms(F.col("u"))).alias("term"))
     # on how many units with any entity a term stands is at most on how many units it stands at all
     seen = own.groupBy("term").agg(F.count(F.lit(1)).alias("least"))
-    n_entity = held.select(F.explode("entities").alias("entity"), F.size(_terms(F.col("u"))).alias("k")).groupBy("entity").agg(F.count(F.lit(1)).alias("ce"), F.sum("k").cast("double").alias("compared"))
+    n_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
     pairs = own.select(F.explode("entities").alias("entity"), "term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("cet"))
     pairs = pairs.join(n_entity, "entity").join(seen, "term")
-    possible = (_share(F.col("cet"), F.col("least"), F.col("ce"), total) >= GENERALISE) & _beyond_chance(F.col("cet"), F.col("least"), F.col("ce"), total, F.col("compared"))
+    possible = (_share(F.col("cet"), F.col("least"), F.col("ce"), total) >= GENERALISE) & _beyond_chance(F.col("cet"), F.col("least"), F.col("ce"), total, words_)
     pairs = stored(pairs.where(possible).drop("least"))
     wanted = _small(pairs.select("term").distinct())
-
-    def counted(df: DataFrame, weight: Column) -> DataFrame:
-        words_of = df.select(weight.alias("w"), F.explode(F.array_distinct(words(F.col("u")))).alias("term"))
-        return words_of.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("w").alias("w"))
-
-    # all occurrences, less what repeats of a unit have too much
-    repeats = units.withColumn("h", F.xxhash64("u")).join(_small(again), "h")
-    n_term = counted(units, F.lit(1.0)).unionByName(counted(repeats, 1 / F.col("times") - 1)).groupBy("term").agg(F.round(F.sum("w")).alias("ct"))
-    told = _beyond_chance(F.col("cet"), F.col("ct"), F.col("ce"), total, F.col("compared"))
+    hits = units.select(F.xxhash64("u").alias("h"), F.explode(F.array_distinct(words(F.col("u")))).alias("term")).join(wanted, "term", "left_semi")
+    n_term = hits.join(again, "h", "left").groupBy("term").agg(F.round(F.sum(1 / F.coalesce("times", F.lit(1)))).alias("ct"))
+    told = _beyond_chance(F.col("cet"), F.col("ct"), F.col("ce"), total, words_)
     return pairs.join(n_term, "term").where(told).select("entity", "term", _share(F.col("cet"), F.col("ct"), F.col("ce"), total).alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity, term, share: terms that reveal at least GENERALISE of an entity. found: text, entities of the documents that hold any."""
-    whole = found.dropDuplicates(["text"]).select(F.xxhash64("text").alias("h"), F.col("text").alias("u"), "entities")
+    whole = found.dropDuplicates(["text"]).select(F.col("text").alias("u"), "entities")
     lines = found.select(F.explode(F.split("text", "\n")).alias("u"))
     lines = lines.where(lines["u"].rlike("[0-9]|@")).distinct()
-    lines = lines.select(F.xxhash64("u").alias("h"), "u", _entities(base_spans(F.col("u"))).alias("entities")).where(F.size("entities") > 0)
+    lines = lines.select("u", _entities(base_spans(F.col("u"))).alias("entities")).where(F.size("entities") > 0)
     all_ = documents(docs)
-    by_line = _disclosed(stored(lines), all_.select(F.explode(F.split("text", "\n")).alias("u")))
-    by_text = _disclosed(stored(whole), all_.select(F.col("text").alias("u")))
+    compared = all_.select(F.explode(words(F.col("text"))).alias("w")).agg(F.approx_count_distinct("w", 0.01).alias("n")).first()["n"]
+    by_line = _disclosed(stored(lines), all_.select(F.explode(F.split("text", "\n")).alias("u")), compared)
+    by_text = _disclosed(stored(whole), all_.select(F.col("text").alias("u")), compared)
     return by_line.unionByName(by_text).groupBy("entity", "term").agg(F.max("share").alias("share"))
 
 
