@@ -78,13 +78,13 @@ def _wade(base: str) -> str:
     if final == "i" and initial in ("zh", "ch", "sh", "r"):
         return WADE_INITIALS[initial] + "ih"
     if final == "i" and initial in ("z", "c", "s"):
-        return {"z": "tzŭ", "c": "tz'ŭ", "s": "ssŭ"}[initial]
+        return {"z": "tzu", "c": "tz'u", "s": "ssu"}[initial]
+    if base == "me":
+        return base
     if final == "uo" and initial in ("g", "k", "h", "sh"):
         return WADE_INITIALS[initial] + "uo"
     if final == "ui" and initial in ("g", "k"):
         return WADE_INITIALS[initial] + "uei"
-    if final == "e" and initial in ("g", "k", "h"):
-        return WADE_INITIALS[initial] + "o"
     return WADE_INITIALS[initial] + WADE_FINALS[final]
 
 

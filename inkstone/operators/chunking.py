@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import char_count
+
 #: Sizes in characters. Fixed values.
 LEAST, GOOD, MOST = 100, 200, 700
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
@@ -96,7 +98,7 @@ def chunk_spans(text: str) -> list[tuple[int, int]]:
 
 
 def chunks(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """key, chunk_order, s, e, text, char_count for every chunk of every text."""
+    """key, chunk_order, s, e, text, char_count (ideographs) for every chunk of every text."""
 
     @F.pandas_udf("array<struct<s:int,e:int>>")
     def run(x: pd.Series) -> pd.Series:
@@ -104,4 +106,5 @@ def chunks(docs: DataFrame, key: str, content: str) -> DataFrame:
 
     clean = F.replace(content, F.lit("\r\n"), F.lit("\n"))
     df = docs.select(key, clean.alias("_t")).select(key, "_t", F.posexplode(run("_t")).alias("chunk_order", "x"))
-    return df.select(key, "chunk_order", "x.s", "x.e", F.expr("substring(_t, x.s + 1, x.e - x.s)").alias("text"))
+    df = df.select(key, "chunk_order", "x.s", "x.e", F.expr("substring(_t, x.s + 1, x.e - x.s)").alias("text"))
+    return df.withColumn("char_count", char_count(F.col("text")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import OPERATORS
@@ -14,12 +17,20 @@ def _stored(df: DataFrame) -> DataFrame:
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkstone-"))
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the session's shared place, or on a local master's disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="inkstone-")
+    return f"{base}/inkstone-{uuid.uuid4().hex}"
+
+
 def closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """node: seeds (node) and all their ancestors over links (parent, child). Safe for cycles: each round follows new nodes only."""
     seen = _stored(seeds.select("node").distinct())
@@ -31,6 +42,27 @@ def closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
     return seen
 
 
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """v, root: for every node (id) the smallest one it is joined with over edges (u, v).
+
+    Each round moves every node's larger neighbours to its smallest one, then the smaller ones, so rounds grow with the logarithm
+    of the longest chain. Edges do not grow in number; smallest neighbours come from partial aggregation."""
+    e = _stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    last = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"))
+        up = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = up.groupBy("u").agg(F.min("v").alias("low"))
+        e = _stored(up.join(low, "u").select("v", "low").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v"))).distinct())
+        now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+        if now == last:
+            break
+        last = now
+    joined = e.groupBy("u").agg(F.min("v").alias("root"))
+    return nodes.select(F.col("id").alias("v")).distinct().join(joined.select(F.col("u").alias("v"), "root"), "v", "left").select("v", F.coalesce("root", "v").alias("root"))
+
+
 def direct_containers(chars: DataFrame, links: DataFrame, character: str) -> DataFrame:
     """character: those whose root has an edge to a root of the given one. chars: character, root."""
     roots = chars.where(F.col("character") == character).select(F.col("root").alias("child"))
@@ -87,21 +119,23 @@ def structure_search(template: dict, chars: DataFrame, nodes: DataFrame, links:
 
 
 def tree(folders: DataFrame, documents: DataFrame) -> DataFrame:
-    """path, depth, kind, id in reading order: folders by name before documents by title (file name if it has none).
+    """path, depth, kind, id in reading order: folders by name before documents by title (file name if it has none), ties by id.
 
-    Folders and documents whose parent is missing, and cycles, are not reached."""
-    place = lambda p, kind, name, i: F.concat(p, F.lit("/"), F.lit(kind), name, F.lit("#"), i.cast("string"))
-    frontier = _stored(folders.where("parent IS NULL").select("id", F.lit(0).alias("depth"), place(F.lit(""), "0", F.col("name"), F.col("id")).alias("path")))
+    Places are compared name by name, never as one string, so a name may hold anything and a name comes before its
+    continuations. Folders and documents whose parent is missing, and cycles, are not reached."""
+    step = lambda rank, name, i: F.array(F.struct(F.lit(rank).alias("rank"), name.alias("name"), i.alias("id")))
+    frontier = _stored(folders.where("parent IS NULL").select("id", F.lit(0).alias("depth"), step(0, F.col("name"), F.col("id")).alias("place")))
     seen = frontier
     while not frontier.isEmpty():
         f = folders.alias("f").join(frontier.alias("p"), F.col("f.parent") == F.col("p.id"))
-        frontier = _stored(f.select(F.col("f.id").alias("id"), (F.col("p.depth") + 1).alias("depth"), place(F.col("p.path"), "0", F.col("f.name"), F.col("f.id")).alias("path")))
+        frontier = _stored(f.select(F.col("f.id").alias("id"), (F.col("p.depth") + 1).alias("depth"), F.concat("p.place", step(0, F.col("f.name"), F.col("f.id"))).alias("place")))
         seen = seen.unionByName(frontier)
     seen = _stored(seen)
     name = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("filename"))
-    inside = documents.alias("d").join(seen.alias("p"), F.col("d.parent") == F.col("p.id")).select(F.col("d.id").alias("id"), (F.col("p.depth") + 1).alias("depth"), place(F.col("p.path"), "1", name, F.col("d.id")).alias("path"))
-    loose = documents.where("parent IS NULL").select("id", F.lit(0).alias("depth"), place(F.lit(""), "1", name, F.col("id")).alias("path"))
-    return seen.select("path", "depth", F.lit("folder").alias("kind"), "id").unionByName(inside.unionByName(loose).select("path", "depth", F.lit("document").alias("kind"), "id")).orderBy("path")
+    inside = documents.alias("d").join(seen.alias("p"), F.col("d.parent") == F.col("p.id")).select(F.col("d.id").alias("id"), (F.col("p.depth") + 1).alias("depth"), F.concat("p.place", step(1, name, F.col("d.id"))).alias("place"))
+    loose = documents.where("parent IS NULL").select("id", F.lit(0).alias("depth"), step(1, name, F.col("id")).alias("place"))
+    rows = seen.select("place", "depth", F.lit("folder").alias("kind"), "id").unionByName(inside.unionByName(loose).select("place", "depth", F.lit("document").alias("kind"), "id"))
+    return rows.orderBy("place").select(F.array_join(F.transform("place", lambda x: x["name"]), "/").alias("path"), "depth", "kind", "id")
 
 
 #: Queries that are broadcast at a time.

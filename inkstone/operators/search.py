@@ -9,7 +9,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.text import ascii_lower, like
 
@@ -17,13 +16,22 @@ HEADWORDS = ("simplified", "traditional", "pinyin")
 COLUMNS = (*HEADWORDS, "definitions_text")
 
 
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn").lower()
+
+
+#: Letters of the basic plane that lose a mark and become another single letter, and what they become.
+MARKED = "".join(c for c in map(chr, range(0xC0, 0x2000)) if len(_plain(c)) == 1 and _plain(c) != c.lower())
+PLAIN = "".join(map(_plain, MARKED))
+
+
 def fold(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn").lower()
+    return "".join(c for c in s.translate(str.maketrans(MARKED, PLAIN)) if unicodedata.category(c) != "Mn").lower()
 
 
-@F.pandas_udf(StringType())
-def folded(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: "" if x is None else fold(x))
+def folded(c: Column) -> Column:
+    """`fold` without Python: combining marks go, letters with marks become plain ones, all in lower case."""
+    return F.lower(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), MARKED, PLAIN), r"\p{Mn}", ""))
 
 
 def tokens(c: Column, diacritics: bool = True) -> Column:
@@ -75,20 +83,69 @@ def parse(expression: str, columns: tuple[str, ...] = ()) -> list[Term]:
     return out
 
 
-def match(index: DataFrame, terms: list[Term]) -> DataFrame:
-    """id of entries that hold every term: one pass over the index and one aggregation, however many terms there are."""
-    hits = []
-    for k, t in enumerate(terms):
+#: An expression: a term's number, or an operator with two expressions.
+Tree = int | tuple[str, "Tree", "Tree"]
+
+
+def parse_operators(parts: list[Term | str]) -> tuple[list[Term], Tree]:
+    """Terms and the expression over them. Terms side by side must all match and bind closest, then NOT, AND and OR."""
+    terms: list[Term] = []
+
+    def cut(rest: list[Term | str], names: tuple[str, ...]) -> Tree:
+        if not names:
+            if not rest or any(isinstance(x, str) for x in rest):
+                raise Malformed("an operator without a term")
+            first = len(terms)
+            terms.extend(rest)
+            out: Tree = first
+            for k in range(first + 1, len(terms)):
+                out = ("AND", out, k)
+            return out
+        name, out, at = names[0], None, 0
+        for end in [i for i, x in enumerate(rest) if x == name] + [len(rest)]:
+            side = cut(rest[at:end], names[1:])
+            out, at = side if out is None else (name, out, side), end + 1
+        return out
+
+    tree = cut(parts, ("OR", "AND", "NOT"))
+    return terms, tree
+
+
+def parse_definition(expression: str) -> list[Term | str]:
+    """Terms and operators (in capitals) of a search in definitions, whose column filter binds to the first term only."""
+    out: list[Term | str] = []
+    for part in expression.split():
+        out += [part] if part in ("AND", "OR", "NOT") else parse(part, () if any(isinstance(x, Term) for x in out) else ("definitions_text",))
+    return out
+
+
+def match(index: DataFrame, terms: list[Term], tree: Tree | None = None) -> DataFrame:
+    """id of entries that hold every term, or for which the expression holds: one pass over the rows of the index that fit any
+    term and one aggregation, however many terms there are."""
+
+    def fits(t: Term) -> Column:
         c = F.col("token").startswith(t.text) if t.prefix else F.col("token") == t.text
-        hits.append(F.max(F.when(c & F.col("col").isin(*t.columns) if t.columns else c, 1).otherwise(0)).alias(f"t{k}"))
-    out = index.groupBy("id").agg(*hits)
-    for k in range(len(terms)):
-        out = out.where(F.col(f"t{k}") == 1)
-    return out.select("id")
+        return c & F.col("col").isin(*t.columns) if t.columns else c
+
+    def holds(x: Tree) -> Column:
+        if isinstance(x, int):
+            return F.col(f"t{x}")
+        a, b = holds(x[1]), holds(x[2])
+        return a | b if x[0] == "OR" else a & ~b if x[0] == "NOT" else a & b
 
+    some = fits(terms[0])
+    for t in terms[1:]:
+        some = some | fits(t)
+    out = index.where(some).groupBy("id").agg(*(F.bool_or(fits(t)).alias(f"t{k}") for k, t in enumerate(terms)))
+    if tree is None:
+        tree = parse_operators(list(terms))[1]
+    return out.where(holds(tree)).select("id")
 
-def search(entries: DataFrame, q: str = "", definition: str = "", tone: str = "", headwords: bool = False, limit: int = 50, substring: bool = False, diacritics: bool = True) -> DataFrame:
-    """Entries found, ranked by length of the headword. entries: id, simplified, traditional, pinyin, definitions_text."""
+
+def search(entries: DataFrame, q: str = "", definition: str = "", tone: str = "", headwords: bool = False, limit: int = 50, substring: bool = False, diacritics: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """Entries found, ranked by length of the headword. entries: id, simplified, traditional, pinyin, definitions_text.
+
+    index: what `postings` gave for the entries, if it is stored; else it is made anew."""
     if not isinstance(limit, int) or limit < 0:
         raise ValueError("limit must be a whole number, not negative")
     q, definition = sanitise(q), sanitise(definition)
@@ -102,11 +159,13 @@ def search(entries: DataFrame, q: str = "", definition: str = "", tone: str = ""
             df = df.where(like(F.col("definitions_text"), f"%{definition}%"))
     elif q or definition:
         try:
-            terms = parse(with_wildcards(q), HEADWORDS if headwords else ()) if q else []
-            terms += parse(definition if definition.endswith("*") else f"{definition}*", ("definitions_text",)) if definition else []
+            parts: list[Term | str] = list(parse(with_wildcards(q), HEADWORDS if headwords else ())) if q else []
+            if definition:
+                parts += (["AND"] if parts else []) + parse_definition(definition if definition.endswith("*") else f"{definition}*")
+            terms, tree = parse_operators(parts)
         except Malformed:
             return df.limit(0)
-        df = df.join(match(postings(df, diacritics=diacritics), terms), "id", "left_semi")
+        df = df.join(match(postings(df, diacritics=diacritics) if index is None else index, terms, tree), "id", "left_semi")
     elif by_tone is None:
         return df.limit(0)
     if by_tone is not None:
@@ -135,23 +194,32 @@ def client_query(typed: str) -> dict[str, str]:
     return out | ({"text": " ".join(text)} if text else {})
 
 
-def occurrences(queries: DataFrame, forms: DataFrame, longest: int = 20) -> DataFrame:
-    """query_id, pos, form, ids: where forms (form, ids) stand in queries (query_id, text). Substrings meet forms in an equal join."""
-    n = F.least(F.length("text"), F.lit(longest))
+#: Characters of a query that the dictionary's own endpoint reads.
+ENDPOINT = 20
+
+
+def occurrences(queries: DataFrame, forms: DataFrame, longest: int | None = None) -> DataFrame:
+    """query_id, pos, form, ids: where forms (form, ids) stand in queries (query_id, text). Substrings meet forms in an equal join.
+
+    longest: only so many characters of a query are read (ENDPOINT does as the endpoint); None reads all. Substrings are no longer
+    than the longest form."""
+    n = F.length("text") if longest is None else F.least(F.length("text"), F.lit(longest))
+    most = forms.agg(F.max(F.length("form")).alias("n")).first()["n"] or 0
     at = F.explode(F.sequence(F.lit(1), n)).alias("pos")
     df = queries.where("text <> ''").select("query_id", "text", n.alias("n"), at)
-    df = df.select("query_id", "text", "pos", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("pos") + 1)).alias("len"))
+    df = df.select("query_id", "text", "pos", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most), F.col("n") - F.col("pos") + 1)))).alias("len"))
     return df.select("query_id", "pos", F.expr("substring(text, pos, len)").alias("form")).join(forms, "form")
 
 
-def segmentations(queries: DataFrame, forms: DataFrame, top: int = 5) -> DataFrame:
+def segmentations(queries: DataFrame, forms: DataFrame, top: int = 5, longest: int | None = None) -> DataFrame:
     """query_id, rank, segments, score: the best full covers by the sum of squared lengths, ties by their text.
 
-    Each query's places and forms (at most 20 characters) go to one call that keeps the `top` best covers of each prefix, which
+    Each query's places and forms (of at most `longest` characters, if given) go to one call that keeps the `top` best covers of each prefix, which
     is exact as a score is a sum over segments."""
     top = max(1, min(10, top))
-    found = occurrences(queries, forms.select("form").distinct())
-    per = found.groupBy("query_id").agg(F.collect_list(F.struct("pos", "form")).alias("at")).join(queries.select("query_id", F.least(F.length("text"), F.lit(20)).alias("n")), "query_id")
+    found = occurrences(queries, forms.select("form").distinct(), longest)
+    n = F.length("text") if longest is None else F.least(F.length("text"), F.lit(longest))
+    per = found.groupBy("query_id").agg(F.collect_list(F.struct("pos", "form")).alias("at")).join(queries.select("query_id", n.alias("n")), "query_id")
 
     @F.pandas_udf("array<struct<segments:string,score:int>>")
     def best(at: pd.Series, n: pd.Series) -> pd.Series:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,7 +17,7 @@ def find_spans(chunks: DataFrame, texts: DataFrame) -> DataFrame:
     if texts.limit(MOST_TEXTS + 1).count() > MOST_TEXTS:
         raise ValueError("too many texts to look for at once; pass them in parts")
     cand = chunks.select("chunk", "content").join(F.broadcast(texts), F.contains("content", F.col("text")) & (F.col("text") != ""))
-    gaps = F.split("content", F.concat(F.lit(r"\Q"), F.col("text"), F.lit(r"\E")), -1)
+    gaps = F.split("content", F.regexp_replace("text", r"([^\p{L}\p{N}])", r"\\$1"), -1)
     df = cand.select("chunk", "text", "type", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"), gaps.alias("gaps"))
     before = F.aggregate(F.slice("gaps", 1, F.col("k") + 1), F.lit(0), lambda a, g: a + F.length(g))
     s = before + F.col("k") * F.length("text")
@@ -98,3 +98,8 @@ def delete_entity(entities: DataFrame, edges: DataFrame, ident: int) -> tuple[Da
     left = entities.join(gone, "id", "left_anti")
     keep = edges.join(gone.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(gone.select(F.col("id").alias("to_id")), "to_id", "left_anti")
     return left, keep
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Edit distance as a share of the longer text's length; 0 for two empty ones."""
+    return F.coalesce(F.levenshtein(a, b) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0)), F.lit(0.0))

@@ -129,15 +129,18 @@ def _(s, d):
     return values(s, "id int, c string", _TITLES).select("id", T.title(c).alias("t"), T.without_title(c).alias("content"))
 
 
-@query("SRC6_blob_round_trip_all")
+@query("SRC6_blob_round_trip", "SELECT doc_id, text AS content FROM documents")
 def _(s, d):
-    return read(s, d, "documents").select("doc_id", files.extract(F.col("text"), F.lit("text/plain")).alias("content"))
+    docs = read(s, d, "documents").select("doc_id", files.extract(F.col("text"), F.lit("text/plain")).alias("content"))
+    docs = docs.withColumn("location", T.extracted_location(T.original_location(F.sha2("content", 256))))
+    path = graph.scratch(s)
+    files.write_markdown(docs, path)
+    return files.read_markdown(docs.select("doc_id", "location"), path).select("doc_id", "content")
 
 
-@query("SRC6_blob_round_trip", "SELECT doc_id, text AS content FROM documents WHERE lang = 'de'")
+@query("SRC10_staging", "SELECT doc_id, lang, source, n_chars, sha256(text) AS sha FROM documents")
 def _(s, d):
-    docs = read(s, d, "documents").where("lang = 'de'")
-    return docs.select("doc_id", files.extract(F.col("text"), F.lit("text/plain")).alias("content"))
+    return files.staged(read(s, d, "documents"), graph.scratch(s), 1000).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("sha"))
 
 
 _CEDICT = ["# comment", "#! time=1700000000", "#! date=2023-11-14", "", "水 水 [shui3] /water/river/", "馬 马 [ma3] /horse/", "broken line", "喝水 喝水 [he1 shui3] /to drink water/"]
@@ -357,14 +360,7 @@ def _(s, d):
     return read(s, d, "lineitem").select("l_orderkey", "l_linenumber").join(o, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
 
 
-@query("JN2_two_roles_left", "SELECT s_suppkey, c_custkey, n.n_name FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_custkey % 10 = 0 LEFT JOIN nation n ON n.n_nationkey = s_nationkey AND n.n_regionkey < 3")
-def _(s, d):
-    n = read(s, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    c = read(s, d, "customer").where("c_custkey % 10 = 0").select("c_custkey", F.col("c_nationkey").alias("s_nationkey"))
-    return read(s, d, "supplier").select("s_suppkey", "s_nationkey").join(c, "s_nationkey").join(F.broadcast(n), "s_nationkey", "left").select("s_suppkey", "c_custkey", "n_name")
-
-
-@query("JN2_two_roles_left_all")
+@query("JN2_two_roles_left", "SELECT s_suppkey, c_custkey, n.n_name FROM supplier JOIN customer ON s_nationkey = c_nationkey LEFT JOIN nation n ON n.n_nationkey = s_nationkey AND n.n_regionkey < 3")
 def _(s, d):
     n = read(s, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     c = read(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("s_nationkey"))
@@ -467,18 +463,10 @@ def _(s, d):
 
 
 @query("TK2_vector_top_k", """
-WITH x AS (SELECT a.vec_id AS query, b.vec_id AS id, a.label = b.label AS ctx, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20),
+WITH x AS (SELECT a.vec_id AS query, b.vec_id AS id, a.label = b.label AS ctx, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM x),
 m AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM k WHERE n <= 8 AND id <> query AND NOT (ctx AND id % 2 = 0))
 SELECT query, id, score FROM m WHERE r <= 3""")
-def _(s, d):
-    e = read(s, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), "label")
-    skip = q.join(e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "label"), "label").select("query", "id")
-    return graph.nearest(q.drop("label"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), skip=skip)
-
-
-@query("TK2_vector_search")
 def _(s, d):
     e = read(s, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), "label")
@@ -543,26 +531,20 @@ def _(s, d):
     return m.select("chunk", "text", "s", spans.snippet().alias("snippet"))
 
 
-def mentions(s, d, of="p_partkey % 5 = 0"):
-    """Words of part names as mentions; nation-like groups as documents."""
-    return read(s, d, "part").where(of).select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("doc"), F.lit("N").alias("type"), F.col("p_name").alias("text"))
+def mentions(s, d):
+    """Names of parts as mentions; sizes modulo ten as documents."""
+    return read(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("doc"), F.lit("N").alias("type"), F.col("p_name").alias("text"))
 
 
-_MENT = "m AS (SELECT p_partkey AS id, p_size % 10 AS doc, p_name AS text FROM part WHERE p_partkey % 5 = 0)"
+_MENT = "m AS (SELECT p_partkey AS id, p_size % 10 AS doc, p_name AS text FROM part)"
 _NEAR = "a.text = b.text OR (length(a.text) >= 3 AND length(b.text) >= 3 AND levenshtein(a.text, b.text) < 0.3 * greatest(length(a.text), length(b.text)))"
+#: Components over distinct texts of a document, by the smallest id of each.
+_ROOTS = f"{_MENT}, t AS (SELECT doc, text, min(id) AS f FROM m GROUP BY 1, 2), x AS (SELECT a.doc, a.f AS u, b.f AS v FROM t a JOIN t b ON a.doc = b.doc AND ({_NEAR})), r AS (SELECT f AS v, f AS root FROM t UNION SELECT x.v, r.root FROM r JOIN x ON x.u = r.v), g AS (SELECT m.id AS v, min(root) AS root FROM r JOIN t ON t.f = r.v JOIN m ON m.doc = t.doc AND m.text = t.text GROUP BY 1)"
 
 
-def coreference_roots(s, d, of="p_partkey % 5 = 0"):
-    m = mentions(s, d, of)
-    e = spans.coreference_edges(m)
-    up = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    label = graph._stored(m.select(F.col("id").alias("v"), F.col("id").alias("root")))
-    while True:
-        near = up.join(label.select(F.col("v").alias("u"), "root"), "u").groupBy("v").agg(F.min("root").alias("best"))
-        new = graph._stored(label.join(near, "v", "left").select("v", F.least("root", F.coalesce("best", "root")).alias("root"), (F.col("best") < F.col("root")).alias("moved")))
-        if new.where("moved").isEmpty():
-            return label
-        label = new.select("v", "root")
+def coreference_roots(s, d):
+    m = mentions(s, d)
+    return graph.components(m.select("id"), spans.coreference_edges(m))
 
 
 @query("CO3_coreference_edges", f"WITH {_MENT}, t AS (SELECT doc, text, min(id) AS f FROM m GROUP BY 1, 2) SELECT a.doc, a.f AS u, b.f AS v FROM t a JOIN t b ON a.doc = b.doc AND a.text < b.text AND ({_NEAR}) UNION ALL SELECT m.doc, t.f, m.id FROM m JOIN t USING (doc, text) WHERE m.id <> t.f")
@@ -570,31 +552,16 @@ def _(s, d):
     return spans.coreference_edges(mentions(s, d))
 
 
-@query("CO4_components", f"WITH RECURSIVE {_MENT}, r AS (SELECT id AS v, id AS root, doc FROM m UNION SELECT b.id, r.root, r.doc FROM r JOIN m a ON a.id = r.v JOIN m b ON a.doc = b.doc AND ({_NEAR})) SELECT v, min(root) AS root FROM r GROUP BY v")
+@query("CO4_components", f"WITH RECURSIVE {_ROOTS} SELECT v, root FROM g")
 def _(s, d):
     return coreference_roots(s, d)
 
 
-@query("CO5_merged_entities", f"WITH RECURSIVE {_MENT}, r AS (SELECT id AS v, id AS root, doc FROM m UNION SELECT b.id, r.root, r.doc FROM r JOIN m a ON a.id = r.v JOIN m b ON a.doc = b.doc AND ({_NEAR})), g AS (SELECT v, min(root) AS root FROM r GROUP BY v) SELECT root, min(doc) AS doc, 'N' AS type, arg_min(text, id) AS label, count(*) AS members FROM g JOIN m ON m.id = g.v GROUP BY root HAVING count(*) >= 2")
+@query("CO5_merged_entities", f"WITH RECURSIVE {_ROOTS} SELECT root, min(doc) AS doc, 'N' AS type, arg_min(text, id) AS label, count(*) AS members FROM g JOIN m ON m.id = g.v GROUP BY root HAVING count(*) >= 2")
 def _(s, d):
     return spans.parents(mentions(s, d), coreference_roots(s, d))
 
 
-@query("CO3_coreference_edges_all")
-def _(s, d):
-    return spans.coreference_edges(mentions(s, d, "true"))
-
-
-@query("CO4_components_all")
-def _(s, d):
-    return coreference_roots(s, d, "true")
-
-
-@query("CO5_merged_entities_all")
-def _(s, d):
-    return spans.parents(mentions(s, d, "true"), coreference_roots(s, d, "true"))
-
-
 @query("RL1_relations", """
 WITH f AS (SELECT n_regionkey AS w, n_nationkey AS id, substr(n_name, 1, 8) AS t FROM nation), p AS (SELECT a.w, a.t AS ft, b.t AS tt FROM f a JOIN f b ON a.w = b.w WHERE (a.id + b.id) % 3 = 0)
 SELECT from_id, to_id, edge_type, explanation FROM (SELECT a.id AS from_id, b.id AS to_id, 'NEAR' AS edge_type, '' AS explanation, row_number() OVER (PARTITION BY a.id, b.id ORDER BY p.w) n FROM p JOIN f a ON a.w = p.w AND a.t = p.ft JOIN f b ON b.w = p.w AND b.t = p.tt WHERE p.ft <> p.tt AND a.id <> b.id) WHERE n = 1""")
@@ -605,13 +572,7 @@ def _(s, d):
     return spans.relate(m.select("window").distinct(), m, replies)
 
 
-@query("RL3_promotion", f"WITH {_EDGES} SELECT DISTINCT 1000000 + a.c_nationkey AS from_root, CASE WHEN b.c_custkey IS NULL THEN to_id WHEN b.c_custkey % 2 = 0 THEN 1000000 + b.c_nationkey ELSE b.c_custkey END AS to_root, edge_type FROM edges JOIN customer a ON a.c_custkey = from_id AND a.c_custkey % 2 = 0 JOIN customer b ON b.c_custkey = to_id WHERE from_root <> to_root")
-def _(s, d):
-    c = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.lit(1000000) + F.col("c_nationkey")).cast("long").alias("parent"))
-    return spans.promote(edges(s, d).where("from_id % 2 = 0"), c)
-
-
-@query("RL3_promotion_all")
+@query("RL3_promotion", f"WITH {_EDGES} SELECT DISTINCT CASE WHEN a.c_custkey % 2 = 0 THEN 1000000 + a.c_nationkey ELSE a.c_custkey END AS from_root, CASE WHEN b.c_custkey % 2 = 0 THEN 1000000 + b.c_nationkey ELSE b.c_custkey END AS to_root, edge_type FROM edges JOIN customer a ON a.c_custkey = from_id JOIN customer b ON b.c_custkey = to_id WHERE from_root <> to_root")
 def _(s, d):
     c = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.lit(1000000) + F.col("c_nationkey")).cast("long").alias("parent"))
     return spans.promote(edges(s, d), c)
@@ -678,15 +639,20 @@ def _(s, d):
     return graph.closure(c.where("child < 100010").select(F.col("child").alias("node")), c.unionByName(n))
 
 
-_TREE = "SELECT '/0' || r_name || '#' || (100 + r_regionkey) AS path, 0 AS depth, 'folder' AS kind, 100 + r_regionkey AS id, r_regionkey FROM region"
-
-
-@query("GR6_folder_tree", f"WITH r AS ({_TREE}), n AS (SELECT r.path || '/0' || n_name || '#' || (200 + n_nationkey) AS path, 1 AS depth, 'folder' AS kind, 200 + n_nationkey AS id, n_nationkey FROM nation JOIN r ON n_regionkey = r_regionkey) SELECT path, depth, kind, id::BIGINT AS id FROM (SELECT path, depth, kind, id FROM r UNION ALL SELECT path, depth, kind, id FROM n UNION ALL SELECT n.path || '/1' || c_name || '#' || c_custkey, 2, 'document', c_custkey FROM customer JOIN n ON c_nationkey = n_nationkey) ORDER BY path")
+@query("GR6_folder_tree", """
+WITH n AS (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 1 THEN 'Vol' WHEN n_nationkey % 4 = 2 THEN 'Vol 2' WHEN n_nationkey % 4 = 3 THEN 'Vol/x' ELSE n_name END AS n, r_name AS r, r_regionkey AS rk FROM nation JOIN region ON n_regionkey = r_regionkey),
+x AS (SELECT r_name AS path, 0 AS depth, 'folder' AS kind, 100 + r_regionkey AS id, r_name AS a, r_regionkey AS ak, -1 AS b0, '' AS b, -1 AS bk, -1 AS c0, '' AS c, -1 AS ck FROM region
+ UNION ALL SELECT r || '/' || n, 1, 'folder', 200 + n_nationkey, r, rk, 0, n, n_nationkey, -1, '', -1 FROM n
+ UNION ALL SELECT r || '/' || n || '/' || c_name, 2, 'document', c_custkey, r, rk, 0, n, n_nationkey, 1, c_name, c_custkey FROM customer JOIN n ON c_nationkey = n_nationkey)
+SELECT row_number() OVER (ORDER BY a, ak, b0, b, bk, c0, c, ck) AS place, path, depth, kind, id::BIGINT AS id FROM x""")
 def _(s, d):
     r = read(s, d, "region").select((F.lit(100) + F.col("r_regionkey")).cast("long").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("long").alias("parent"))
-    n = read(s, d, "nation").select((F.lit(200) + F.col("n_nationkey")).cast("long").alias("id"), F.col("n_name").alias("name"), (F.lit(100) + F.col("n_regionkey")).cast("long").alias("parent"))
+    k = F.col("n_nationkey") % 4
+    name = F.when(k == 1, "Vol").when(k == 2, "Vol 2").when(k == 3, "Vol/x").otherwise(F.col("n_name"))
+    n = read(s, d, "nation").select((F.lit(200) + F.col("n_nationkey")).cast("long").alias("id"), name.alias("name"), (F.lit(100) + F.col("n_regionkey")).cast("long").alias("parent"))
     docs = read(s, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.lit("").alias("title"), F.col("c_name").alias("filename"), (F.lit(200) + F.col("c_nationkey")).cast("long").alias("parent"))
-    return graph.tree(r.unionByName(n), docs)
+    # the rows' own order, numbered to be compared
+    return graph.tree(r.unionByName(n), docs).withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
 
 
 @query("VZ1_projection")
@@ -757,6 +723,9 @@ def _(s, d):
     return providers.drafts(_chunk_docs(s, d), [(-1, providers.Echo())])
 
 
+from . import more  # noqa: E402, F401  (adds its queries)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

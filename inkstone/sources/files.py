@@ -168,3 +168,17 @@ def extract(content: Column, mimetype: Column) -> Column:
 def write_markdown(df: DataFrame, path: str) -> None:
     """location and content as Parquet, to be read back by location."""
     df.select("location", "content").write.mode("overwrite").parquet(path)
+
+
+def read_markdown(wanted: DataFrame, path: str) -> DataFrame:
+    """wanted (location, ...) with the content written there; a location without one is an error."""
+    held = wanted.sparkSession.read.parquet(path).dropDuplicates(["location"]).withColumn("_is", F.lit(True))
+    out = wanted.join(held, "location", "left")
+    missing = F.raise_error(F.concat(F.lit("nothing is stored at "), "location"))
+    return out.withColumn("content", F.when(F.col("_is").isNull(), missing).otherwise(F.col("content"))).drop("_is")
+
+
+def staged(df: DataFrame, path: str, rows: int = 5000) -> DataFrame:
+    """Writes df as JSON files of so many rows at most and reads them back with the same schema."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows).option("ignoreNullFields", "false").json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)

@@ -30,7 +30,7 @@ def test_parse_ids():
 def test_pinyin():
     assert pinyin.convert("mai4 jie2 gui4 dou4 ma5 lv4 ni", "marked-pinyin") == "mài jié guì dòu ma lǜ ni"
     assert pinyin.convert("zhi1 si4 yi1 wu3 yu2 yuan2 wei4 wo3 you3", "zhuyin") == "ㄓ ㄙˋ ㄧ ㄨˇ ㄩˊ ㄩㄢˊ ㄨㄟˋ ㄨㄛˇ ㄧㄡˇ"
-    assert pinyin.convert("zhi1 si4 qi4 xue2", "wade-giles") == "chih¹ ssŭ⁴ ch'i⁴ hsüeh²"
+    assert pinyin.convert("zhi1 si4 qi4 xue2", "wade-giles") == "chih¹ ssu⁴ ch'i⁴ hsüeh²"
     assert pinyin.convert("x1", "pinyin") == "x1"
 
 
@@ -142,7 +142,7 @@ def test_search_takes_every_twentieth(spark, tmp_path, monkeypatch):
         want |= {(q, i) for i in [i for i in top if i != q and not (i % 2 == 0 and i % 3 == q % 3)][:3]}
     for block in (1024, 4):
         monkeypatch.setattr(graph, "BLOCK", block)
-        assert {(x["query"], x["id"]) for x in catalog.queries()["TK2_vector_search"](spark, str(tmp_path)).collect()} == want
+        assert {(x["query"], x["id"]) for x in catalog.queries()["TK2_vector_top_k"](spark, str(tmp_path)).collect()} == want
 
 
 def test_whole_tables(spark):
@@ -172,16 +172,56 @@ def test_whole_tables(spark):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     roots = {i: find(i) for i in root}
-    assert {(x["v"], x["root"]) for x in q["CO4_components_all"](spark, d).collect()} == set(roots.items())
+    assert {(x["v"], x["root"]) for x in q["CO4_components"](spark, d).collect()} == set(roots.items())
     sizes = {x: list(roots.values()).count(x) for x in set(roots.values())}
-    assert {(x["root"], x["members"]) for x in q["CO5_merged_entities_all"](spark, d).collect()} == {(x, n) for x, n in sizes.items() if n > 1}
-    assert all(roots[x["u"]] == roots[x["v"]] for x in q["CO3_coreference_edges_all"](spark, d).collect())
+    assert {(x["root"], x["members"]) for x in q["CO5_merged_entities"](spark, d).collect()} == {(x, n) for x, n in sizes.items() if n > 1}
+    assert all(roots[x["u"]] == roots[x["v"]] for x in q["CO3_coreference_edges"](spark, d).collect())
     table = lambda n: spark.read.parquet(f"{d}/{n}.parquet").collect()
     custs = {x["c_custkey"]: x["c_nationkey"] for x in table("customer")}
     names = {x["n_nationkey"]: x["n_name"] for x in table("nation") if x["n_regionkey"] < 3}
-    assert {tuple(x) for x in q["JN2_two_roles_left_all"](spark, d).collect()} == {(x["s_suppkey"], c, names.get(n)) for x in table("supplier") for c, n in custs.items() if n == x["s_nationkey"]}
+    assert {tuple(x) for x in q["JN2_two_roles_left"](spark, d).collect()} == {(x["s_suppkey"], c, names.get(n)) for x in table("supplier") for c, n in custs.items() if n == x["s_nationkey"]}
     orders = {x["o_orderkey"]: x["o_custkey"] for x in table("orders")}
     up = lambda c: 1000000 + custs[c] if c % 2 == 0 else c
     ends = {(orders[x["l_orderkey"]], x["l_suppkey"], x["l_returnflag"]) for x in table("lineitem") if x["l_orderkey"] in orders}
-    assert {tuple(x) for x in q["RL3_promotion_all"](spark, d).collect()} == {(up(a), up(b), t) for a, b, t in ends if a in custs and b in custs and up(a) != up(b)}
-    assert {tuple(x) for x in q["SRC6_blob_round_trip_all"](spark, d).collect()} == {(x["doc_id"], x["text"]) for x in table("documents")}
+    assert {tuple(x) for x in q["RL3_promotion"](spark, d).collect()} == {(up(a), up(b), t) for a, b, t in ends if a in custs and b in custs and up(a) != up(b)}
+    assert {tuple(x) for x in q["SRC6_blob_round_trip"](spark, d).collect()} == {(x["doc_id"], x["text"]) for x in table("documents")}
+
+
+def test_shared_folder_is_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from inkstone.operators import graph
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        graph.scratch(spark)
+
+
+def test_written_markdown(spark, tmp_path):
+    from inkstone.sources import files
+
+    df = spark.createDataFrame([("a", "x"), ("b", None)], "location string, content string")
+    files.write_markdown(df, str(tmp_path / "md"))
+    assert {tuple(r) for r in files.read_markdown(df.select("location"), str(tmp_path / "md")).collect()} == {("a", "x"), ("b", None)}
+    with pytest.raises(Exception, match="nothing is stored"):
+        files.read_markdown(spark.createDataFrame([("c",)], "location string"), str(tmp_path / "md")).collect()
+
+
+def test_search_operators():
+    from inkstone.operators import search
+
+    terms, tree = search.parse_operators(search.parse_definition("a b NOT c AND d OR e*"))
+    assert [t.text for t in terms] == ["a", "b", "c", "d", "e"] and tree == ("OR", ("AND", ("NOT", ("AND", 0, 1), 2), 3), 4)
+    assert terms[0].columns == ("definitions_text",) and not terms[1].columns and terms[4].prefix
+    for bad in ("a OR", "NOT a", "a AND OR b"):
+        with pytest.raises(search.Malformed):
+            search.parse_operators(search.parse_definition(bad))
+
+
+def test_occurrences_read_whole_queries(spark):
+    from inkstone.operators import search
+
+    q = spark.createDataFrame([(1, "x" * 30 + "ab")], "query_id int, text string")
+    forms = spark.createDataFrame([("ab",)], "form string")
+    assert [(r["pos"], r["form"]) for r in search.occurrences(q, forms).collect()] == [(31, "ab")]
+    assert search.occurrences(q, forms, search.ENDPOINT).count() == 0
