@@ -1,12 +1,16 @@
 """License scans by canonical digests (operator 1), without Python on the executors.
 
-A text is put into canonical form: lower case, line noise and comment marks gone, copyright lines dropped, equivalent
-spellings made one (as the matching guidelines of license lists name them), quotes and punctuation removed, white space
-made single. Its SHA-256 is joined with the digests of known license texts, which pass through the same expressions.
-Only a whole text matches; a license quoted inside a longer text does not.
+A text is put into canonical form: lower case, line noise and comment marks gone, copyright notices dropped (lines in which a
+year, a mark or a holder follows the word; lines of a wrapped body that begin with it stay), equivalent spellings made one (as
+the matching guidelines of license lists name them), quotes and punctuation removed, white space made single. Its SHA-256 is
+joined with the digests of known license texts, which pass through the same expressions.
+
+Beside the whole text, each of its lines and each of its paragraphs (between blank lines) is digested and joined in the same
+way, whole, so that a notice or a license inside a longer text is found: `parts` names them.
 
 Null and empty texts, and texts of which nothing is left, have an empty canonical form; they match nothing. Repeated
-rows each give a row, rows with a null id too; extra columns are not looked at. The known side is as large as the list
+rows each give a row, rows with a null id too; an empty table gives none; of several ids with one digest the first by name
+counts. Extra columns are not looked at. Very long texts are read whole. The known side is as large as the list
 given, whose size is checked before it is broadcast; a larger list is joined by a shuffle on the digest, whose hot
 values AQE splits, as the known side has one row for each digest.
 """
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, documents, is_small
+from .common import LOWER, UPPER, documents, is_small, stored
 from .license_texts import FULL, SPELLINGS, TEXTS
 
 #: Known digests that are broadcast at most.
@@ -26,7 +30,7 @@ BROADCAST_ROWS = 100_000
 STEPS: tuple[tuple[str, str], ...] = (
     (r"\r\n?", "\n"),
     (r"(?m)^[ \t]*(?:/\*+|\*+/|\*|//+|#+|--+|;+|dnl\b|rem\b|<!--|%+)+", ""),
-    (r"(?m)^[ \t]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$", ""),
+    (r"(?m)^[ \t]*(?:(?:\(c\)[ \t]*)?copyright[ \t:]*(?:\(c\)|©|by\b|[0-9]{4}|[<\[{]year|[<\[{]yyyy)|\(c\)[ \t]*[0-9]{4}|©|all rights reserved\b)[^\n]*$", ""),
     (r"(?m)^[ \t]*(?:spdx-license-identifier:)[^\n]*$", ""),
     (r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "),
 )
@@ -43,6 +47,24 @@ def canonical(text: Column) -> Column:
     return F.trim(t)
 
 
+def _plain(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    t = F.translate(text, UPPER, LOWER)
+    for pattern, new in steps:
+        t = F.regexp_replace(t, pattern, new)
+    return t
+
+
+def blocks(text: Column) -> Column:
+    """Canonical forms of a text's lines and paragraphs, without empty ones and repeats."""
+    t = _plain(text, STEPS[:-1])
+    both = F.array_distinct(F.concat(F.split(t, r"\n"), F.split(t, r"\n[ \t]*\n")))
+    # spellings are made one in all blocks at a time, between marks that no canonical text holds
+    t = F.regexp_replace(F.array_join(both, "\x01"), r"[^a-z0-9\x01\x{80}-\x{10FFFF}]+", " ")
+    for old, new in SAME:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return F.array_distinct(F.array_remove(F.transform(F.split(t, "\x01"), lambda x: F.trim(x)), ""))
+
+
 def digests(texts: DataFrame) -> DataFrame:
     """license_id and digest, one row for each digest (the first id by name) from rows of license_id and text."""
     df = texts.select("license_id", canonical(F.coalesce("text", F.lit(""))).alias("c")).where("c <> ''")
@@ -54,33 +76,48 @@ def known(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
-    """doc_id, canon_sha256, license_id (null: no known license) for every row."""
-    lic = digests(licenses if licenses is not None else known(docs.sparkSession))
+    """doc_id, canon_sha256, license_id (null: no known license), is_license, parts (ids of blocks, by name, joined) for every row."""
+    lic = stored(digests(licenses if licenses is not None else known(docs.sparkSession)))
     if is_small(lic, BROADCAST_ROWS):
         lic = F.broadcast(lic)
-    df = documents(docs).select("doc_id", canonical(F.col("text")).alias("c"))
-    df = df.select("doc_id", F.sha2("c", 256).alias("canon_sha256"))
-    return df.join(lic, "canon_sha256", "left").select("doc_id", "canon_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    df = documents(docs).select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("canon_sha256"))
+    # blocks that are known go with their text's hash; those of equal texts are equal
+    each = df.select(F.xxhash64("text").alias("h"), F.explode(blocks(F.col("text"))).alias("b")).select("h", F.sha2("b", 256).alias("canon_sha256"))
+    held = each.join(lic, "canon_sha256").groupBy("h").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("parts"))
+    held = stored(held)
+    if is_small(held, BROADCAST_ROWS):
+        held = F.broadcast(held)
+    df = df.withColumn("h", F.xxhash64("text")).drop("text").join(lic, "canon_sha256", "left").join(held, "h", "left")
+    return df.select("doc_id", "canon_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"), F.coalesce("parts", F.lit("")).alias("parts"))
 
 
 def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _sql_canonical(x: str) -> str:
+def _sql_steps(x: str, steps: tuple[tuple[str, str], ...]) -> str:
     out = f"translate({x}, '{UPPER}', '{LOWER}')"
-    for pattern, new in STEPS:
+    for pattern, new in steps:
         lit = "chr(10)" if new == "\n" else _sql_text(new)
         out = f"regexp_replace({out}, {_sql_text(pattern)}, {lit}, 'g')"
+    return out
+
+
+def _sql_same(x: str) -> str:
     for old, new in SAME:
-        out = f"replace({out}, {_sql_text(old)}, {_sql_text(new)})"
-    return f"trim({out})"
+        x = f"replace({x}, {_sql_text(old)}, {_sql_text(new)})"
+    return f"trim({x})"
 
 
 def oracle() -> str:
-    rows = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in sorted(TEXTS.items()))
+    """Blocks are taken one by one here; each passes through the steps that a whole text does."""
+    rows = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in sorted((TEXTS | FULL).items()))
+    whole = lambda x: _sql_same(_sql_steps(x, STEPS))
+    block = _sql_same(f"regexp_replace(b, {_sql_text(STEPS[-1][0])}, ' ', 'g')")
     return f"""
-WITH k AS (SELECT sha256({_sql_canonical('t')}) AS canon_sha256, min(k) AS license_id FROM (VALUES {rows}) v(k, t) GROUP BY 1),
-d AS (SELECT doc_id, sha256({_sql_canonical("coalesce(text, '')")}) AS canon_sha256 FROM documents)
-SELECT d.doc_id, d.canon_sha256, k.license_id, k.license_id IS NOT NULL AS is_license FROM d LEFT JOIN k USING (canon_sha256)
+WITH k AS (SELECT sha256({whole('t')}) AS canon_sha256, min(k) AS license_id FROM (VALUES {rows}) v(k, t) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS rid, doc_id, sha256({whole("coalesce(text, '')")}) AS canon_sha256, {_sql_steps("coalesce(text, '')", STEPS[:-1])} AS t FROM documents),
+e AS (SELECT rid, unnest(list_concat(string_split(t, chr(10)), string_split_regex(t, '\\n[ \\t]*\\n'))) AS b FROM d),
+p AS (SELECT rid, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS parts FROM (SELECT rid, {block} AS c FROM e) JOIN k ON k.canon_sha256 = sha256(c) WHERE c <> '' GROUP BY 1)
+SELECT d.doc_id, d.canon_sha256, k.license_id, k.license_id IS NOT NULL AS is_license, coalesce(p.parts, '') AS parts FROM d LEFT JOIN k USING (canon_sha256) LEFT JOIN p USING (rid)
 """
