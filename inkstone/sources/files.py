@@ -52,7 +52,7 @@ def parse_decompositions(lines: DataFrame) -> DataFrame:
     """codepoint, character, position, ids, tags, obsolete: a row for each variant; an atomic character has one with null ids."""
     cells = F.split("value", "\t")
     df = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(cells.alias("c")).where(F.size("c") >= 3)
-    raw = F.filter(F.transform(F.slice("c", 3, F.size("c")), F.trim), lambda x: x != "")
+    raw = F.filter(F.transform(F.slice("c", 3, F.size("c")), lambda x: F.trim(x)), lambda x: x != "")
     df = df.select(F.get("c", F.lit(0)).alias("codepoint"), F.get("c", F.lit(1)).alias("character"), raw.alias("raw"))
     tag = lambda x: F.regexp_extract(x, r"\[([A-Z]+)\]$", 1)
     variants = F.filter(F.transform("raw", lambda x: F.struct(F.regexp_replace(x, r"\[[A-Z]+\]$", "").alias("ids"), tag(x).alias("t"))), lambda x: x["ids"] != F.col("character"))
