@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,8 @@ LENGTH = 100
 GRAM = 32
 #: Grams in a string of LENGTH bytes.
 SPAN = LENGTH - GRAM + 1
-HOT = 4000
+#: Anchors that meet in one group before it is dealt out, in chunks of twice as many.
+HOT = 500
 #: Starts of one text that are worked on at a time.
 BLOCK = 1 << 19
 #: Anchors that are sorted together, about.
@@ -277,24 +278,35 @@ def _runs(doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> pd.DataFra
     return pd.DataFrame({"doc": doc[first], "version": version[first], "s": start[first], "e": start[last] + LENGTH})
 
 
-def _compared(docs: DataFrame, checks: DataFrame) -> DataFrame:
-    """doc, version, s, e: ranges of repeated strings among anchors that met in different surroundings."""
-    per_key = checks.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = per_key.where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
-    tagged = checks.join(hot, "key", "left").select("doc", "version", F.struct("start", "many", "lead", "key", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
+def _dealt(rows: DataFrame, turn: int) -> DataFrame:
+    """rows of groups with another row, by group: key, more (whether the group is dealt out, key being that of a chunk).
+
+    A chunk's share of a group depends on the turn, so that rows that met once meet others next."""
+    per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / (2 * HOT)).alias("chunks"))
+    if turn == 0:  # nearly all groups have several rows and are no more than one chunk
+        held = rows.join(per_key.where("chunks > 1"), "key", "left")
+    else:
+        held = rows.join(per_key, "key")
+    more = F.coalesce(F.col("chunks") > 1, F.lit(False))
+    chunk = F.xxhash64("key", F.pmod(F.xxhash64("doc", "version", "start", F.lit(turn)), "chunks"))
+    return held.withColumn("more", more).withColumn("key", F.when(more, chunk).otherwise(F.col("key"))).drop("chunks")
+
+
+def _segments(docs: DataFrame, checks: DataFrame) -> DataFrame:
+    """key, more, doc, version, start, many, lead, raw: anchors with the bytes of all strings they look after."""
+    tagged = _dealt(checks, 0).select("doc", "version", F.struct("start", "many", "lead", "key", "more").alias("x"))
     per_doc = tagged.groupBy("doc", "version").agg(F.collect_list("x").alias("x"))  # of one document: no more than its own length
     held = per_doc.join(docs.select(F.col("doc_id").alias("doc"), "version", "text").dropDuplicates(["doc", "version"]), ["doc", "version"])
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out: dict[str, list] = {c: [] for c in ("key", "doc", "version", "start", "many", "lead", "raw")}
+            out: dict[str, list] = {c: [] for c in ("key", "more", "doc", "version", "start", "many", "lead", "raw")}
             for d, v, t, xs in zip(pdf["doc"], pdf["version"], pdf["text"], pdf["x"], strict=True):
                 raw = t.encode("utf-8", "replace")
                 for x in xs:
                     s, m = x["start"], x["many"]
-                    if x["hot"]:
-                        continue
                     out["key"].append(x["key"])
+                    out["more"].append(x["more"])
                     out["doc"].append(d)
                     out["version"].append(v)
                     out["start"].append(s)
@@ -304,27 +316,25 @@ def _compared(docs: DataFrame, checks: DataFrame) -> DataFrame:
             if out["key"]:
                 yield pd.DataFrame(out)
 
-    def strings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            parts = []
-            for d, v, t, xs in zip(pdf["doc"], pdf["version"], pdf["text"], pdf["x"], strict=True):
-                raw = None
-                for x in xs:
-                    if x["hot"]:
-                        raw = _bytes(t) if raw is None else raw
-                        h = Hashes(raw[x["start"] : x["start"] + x["many"] + LENGTH - 1])
-                        i = np.arange(x["many"])
-                        a = h.of(i, i + LENGTH)
-                        b = _mix(h.of(i, i + LENGTH // 2)) ^ a
-                        parts.append((a, b, np.full(len(i), d, np.int64), np.full(len(i), v, np.int64), x["start"] + i))
-            if parts:
-                a, b, doc, version, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-                by = np.lexsort((start, version, doc, b, a))
-                a, b, doc, version, start = a[by], b[by], doc[by], version[by], start[by]
-                again = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
-                # of equal strings in a batch only the earliest has to meet others
-                sent = np.where(again, _mix(doc.astype(_U) + _U(7)), a)
-                yield pd.DataFrame({"a": sent.view(np.int64), "b": b.view(np.int64), "doc": doc, "version": version, "s": start, "again": again})
+    return held.mapInPandas(cut, "key long, more boolean, doc long, version long, start int, many short, lead short, raw binary")
+
+
+def _compared(docs: DataFrame, checks: DataFrame) -> list[DataFrame]:
+    """doc, version, s, e: ranges of repeated strings among anchors that met in different surroundings, a stored table for each round."""
+    ranges: list[DataFrame] = []
+    rows, width = _segments(docs, checks), SPAN
+    while True:
+        width = -(-width // 2)
+        done = stored(_sort_groups(rows, width))
+        ranges.append(done.where("key IS NULL").select("doc", "version", "s", "e"))
+        left = done.where("key IS NOT NULL")
+        if left.isEmpty():
+            return ranges
+        rows = _dealt(left.select("key", "doc", "version", F.col("s").cast("int").alias("start"), "many", "lead", "raw"), len(ranges))
+
+
+def _sort_groups(rows: DataFrame, width: int) -> DataFrame:
+    """doc, version, s, e, key, many, lead, raw: ranges of repeats (key is null), and what of a chunk goes on."""
 
     def sort(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -337,26 +347,58 @@ def _compared(docs: DataFrame, checks: DataFrame) -> DataFrame:
                 k = rows["key"].to_numpy()
                 tail = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
                 if tail:
-                    yield from _sorted(rows.iloc[:tail])
+                    yield from _sorted(rows.iloc[:tail], width)
                 kept = [rows.iloc[tail:]]
                 size = len(kept[0])
         if size:
-            yield from _sorted(pd.concat(kept, ignore_index=True))
-
-    segments = held.mapInPandas(cut, "key long, doc long, version long, start int, many short, lead short, raw binary")
-    ranges = segments.repartition("key").sortWithinPartitions("key").mapInPandas(sort, "doc long, version long, s long, e long")
-    if hot.isEmpty():
-        return ranges
-    from pyspark.sql import Window
-
-    exact = held.where(F.exists("x", lambda x: x["hot"])).mapInPandas(strings, "a long, b long, doc long, version long, s long, again boolean")
-    nth = F.row_number().over(Window.partitionBy("a", "b", F.when(F.col("again"), F.col("doc"))).orderBy("doc", "version", "s"))
-    late = exact.withColumn("nth", nth).where("again OR nth > 1").select("doc", "version", "s", (F.col("s") + LENGTH).alias("e"))
-    return ranges.unionByName(late)
-
-
-def _sorted(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Ranges of repeats in whole groups of anchors, some at a time so that hash tables stay small."""
+            yield from _sorted(pd.concat(kept, ignore_index=True), width)
+
+    kind = "doc long, version long, s long, e long, key long, many short, lead short, raw binary"
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(sort, kind)
+
+
+def _going_on(part: pd.DataFrame, raw: np.ndarray, offset: np.ndarray, who: np.ndarray, begins: np.ndarray, width: int) -> pd.DataFrame | None:
+    """Strings of chunks that no earlier one of the chunk equals: runs of starts with the anchor in one block of places.
+
+    who, begins: strings that go, as row and start. A run's key is a hash of its block and the bytes that all strings of the block cover."""
+    start, many, lead = (part[c].to_numpy(np.int64) for c in ("start", "many", "lead"))
+    rows = np.flatnonzero(part["more"].to_numpy(bool))
+    if not len(rows):
+        return None
+    first = np.cumsum(many) - many
+    stays = np.ones(int(many.sum()), bool)
+    stays[first[who] + begins - start[who]] = False
+    row = np.repeat(np.arange(len(part)), many)
+    i = np.arange(len(row)) - first[row]
+    stays &= part["more"].to_numpy(bool)[row]
+    row, i = row[stays], i[stays]
+    if not len(row):
+        return None
+    block = (lead[row] - i) // width
+    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (i[1:] != i[:-1] + 1) | (block[1:] != block[:-1])])
+    last = np.r_[head[1:] - 1, len(row) - 1]
+    row, block, a, n = row[head], block[head], i[head], last - head + 1
+    low = block * width
+    anchor = offset[row] + lead[row]
+    covered = Hashes(raw).of(anchor - low, anchor + LENGTH - np.minimum(low + width, SPAN) + 1)
+    key = _mix(covered + _mix(block.astype(_U) + _U(1)))
+    raws = part["raw"].to_numpy()
+    return pd.DataFrame(
+        {
+            "doc": part["doc"].to_numpy(np.int64)[row],
+            "version": part["version"].to_numpy(np.int64)[row],
+            "s": start[row] + a,
+            "e": start[row] + a + n + LENGTH - 1,
+            "key": key.view(np.int64),
+            "many": n.astype(np.int16),
+            "lead": (lead[row] - a).astype(np.int16),
+            "raw": [raws[j][x : x + m + LENGTH - 1] for j, x, m in zip(row.tolist(), a.tolist(), n.tolist(), strict=True)],
+        }
+    )
+
+
+def _sorted(rows: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Ranges of repeats in whole groups of anchors, some at a time so that hash tables stay small; and what goes on."""
     k = rows["key"].to_numpy()
     edges = np.r_[np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), len(k)]
     a = 0
@@ -372,8 +414,13 @@ def _sorted(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         by = np.lexsort((version, doc))
         rank = np.empty(len(part), np.int64)
         rank[by] = np.cumsum(np.r_[True, (doc[by][1:] != doc[by][:-1]) | (version[by][1:] != version[by][:-1])])
-        who, start = repeats(raw, np.cumsum(size) - size, group, part["lead"].to_numpy(np.int64), part["many"].to_numpy(np.int64), rank, part["start"].to_numpy(np.int64))
-        yield _runs(doc[who], version[who], start)
+        offset = np.cumsum(size) - size
+        who, start = repeats(raw, offset, group, part["lead"].to_numpy(np.int64), part["many"].to_numpy(np.int64), rank, part["start"].to_numpy(np.int64))
+        gone = _runs(doc[who], version[who], start)
+        yield gone.assign(key=pd.array([None] * len(gone), "Int64"), many=np.int16(0), lead=np.int16(0), raw=None)
+        rest = _going_on(part, raw, offset, who, start, width)
+        if rest is not None:
+            yield rest
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -382,7 +429,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     met = stored(_meet(_anchor_rows(df)))
     ranges = met.where("key IS NULL").select("doc", "version", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("many") + (LENGTH - 1)).cast("long").alias("e"))
     checks = met.where("key IS NOT NULL")
-    found = ranges.unionByName(stored(_compared(df, checks)))
+    found = reduce(DataFrame.unionByName, _compared(df, checks), ranges)
     per_doc = found.groupBy(F.col("doc").alias("doc_id"), "version").agg(F.collect_list(F.struct("s", "e")).alias("x"))
     joined = df.join(per_doc, ["doc_id", "version"], "left")
 

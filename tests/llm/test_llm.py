@@ -328,7 +328,7 @@ def repeats(rows_):
     return set(out)
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
+@pytest.mark.parametrize("hot", [4000, 3, 1])
 def test_suffix_dedup(spark, docs, none, small_batches, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     line = "A very common line that stands in many places and is longer than one hundred bytes, so that it goes away later. "
