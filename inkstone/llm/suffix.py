@@ -40,8 +40,10 @@ LENGTH = 100
 GRAM = 32
 #: Grams in a string of LENGTH bytes.
 SPAN = LENGTH - GRAM + 1
-#: Anchors that meet in one group before it is dealt out, in chunks of twice as many.
+#: Groups of more than twice as many anchors are dealt out, in chunks of that size.
 HOT = 500
+#: Copies of each such group's count, so that its rows learn of it in as many tasks.
+PARTS = 64
 #: Starts of one text that are worked on at a time.
 BLOCK = 1 << 19
 #: Anchors that are sorted together, about.
@@ -279,17 +281,17 @@ def _runs(doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> pd.DataFra
 
 
 def _dealt(rows: DataFrame, turn: int) -> DataFrame:
-    """rows of groups with another row, by group: key, more (whether the group is dealt out, key being that of a chunk).
-
-    A chunk's share of a group depends on the turn, so that rows that met once meet others next."""
-    per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / (2 * HOT)).alias("chunks"))
-    if turn == 0:  # nearly all groups have several rows and are no more than one chunk
-        held = rows.join(per_key.where("chunks > 1"), "key", "left")
-    else:
-        held = rows.join(per_key, "key")
-    more = F.coalesce(F.col("chunks") > 1, F.lit(False))
-    chunk = F.xxhash64("key", F.pmod(F.xxhash64("doc", "version", "start", F.lit(turn)), "chunks"))
-    return held.withColumn("more", more).withColumn("key", F.when(more, chunk).otherwise(F.col("key"))).drop("chunks")
+    """rows by group: key, more (whether the group is dealt out, key being that of a chunk).
+
+    A chunk's share of a group depends on the turn, so that rows that met once meet others next. There is one group to be dealt out
+    for 2 * HOT rows at most; each is joined in PARTS copies, so that its rows need not come to one task to learn of it."""
+    place = F.xxhash64("doc", "version", "start", F.lit(turn))
+    per_key = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (2 * HOT)).alias("chunks")).where("chunks > 1")
+    copies = per_key.select("key", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    held = rows.withColumn("part", F.pmod(place, F.lit(PARTS).cast("long"))).join(copies, ["key", "part"], "left")
+    more = F.col("chunks").isNotNull()
+    chunk = F.xxhash64("key", F.pmod(F.shiftrightunsigned(place, 8), "chunks"))
+    return held.withColumn("more", more).withColumn("key", F.when(more, chunk).otherwise(F.col("key"))).drop("chunks", "part")
 
 
 def _segments(docs: DataFrame, checks: DataFrame) -> DataFrame:
