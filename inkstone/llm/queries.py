@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hmm, licenses, minhash, pii, quality, sentencepiece_codec, suffix, token_counts, toxicity
+from . import decontam, funnels, hmm, licenses, minhash, pii, quality, sentencepiece_codec, suffix, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,10 +66,22 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(hmm.fit(table(spark, sf_dir, "documents")))
 
 
+#: The funnels of the shop's clicks.
+FUNNELS = (
+    funnels.Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
+    funnels.Funnel("B", ("signup", "view", "click", "purchase"), ("error",)),
+    funnels.Funnel("C", ("click", "click", "purchase", "view"), ("signup",)),
+)
+
+
+def op11_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.count(table(spark, sf_dir, "clicks"), FUNNELS)
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_minhash_groups, op5_token_counts, op6_toxicity, op7_quality_rules, op8_personal_data, op9_suffix_dedup, op10_hidden_markov)
+    own = (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_minhash_groups, op5_token_counts, op6_toxicity, op7_quality_rules, op8_personal_data, op9_suffix_dedup, op10_hidden_markov, op11_ordered_funnels)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.ORACLE}
+    return {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.ORACLE, "op11_ordered_funnels": funnels.oracle(FUNNELS)}
