@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, funnels, hmm, licenses, minhash, pii, quality, sentencepiece_codec, suffix, token_counts, toxicity
+from . import decontam, funnels, hmm, licenses, minhash, packing, pii, quality, sentencepiece_codec, suffix, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,15 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_model() -> str:
+    """The word tokenizer's file; INKSTONE_WORDS names another one."""
+    if path := os.environ.get("INKSTONE_WORDS"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -78,8 +87,12 @@ def op11_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnels.count(table(spark, sf_dir, "clicks"), FUNNELS)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_model())
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_minhash_groups, op5_token_counts, op6_toxicity, op7_quality_rules, op8_personal_data, op9_suffix_dedup, op10_hidden_markov, op11_ordered_funnels)
+    own = (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_minhash_groups, op5_token_counts, op6_toxicity, op7_quality_rules, op8_personal_data, op9_suffix_dedup, op10_hidden_markov, op11_ordered_funnels, op12_best_fit_packing)
     return {f.__name__: f for f in own}
 
 
