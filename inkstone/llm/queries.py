@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, funnels, hmm, licenses, minhash, packing, pii, quality, sentencepiece_codec, suffix, token_counts, toxicity
+from . import decontam, funnels, hmm, licenses, merkle, minhash, packing, pii, quality, sentencepiece_codec, suffix, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,10 +91,15 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_model())
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.spoiled(docs))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_minhash_groups, op5_token_counts, op6_toxicity, op7_quality_rules, op8_personal_data, op9_suffix_dedup, op10_hidden_markov, op11_ordered_funnels, op12_best_fit_packing)
+    own = (op1_license_scan, op2_sentencepiece, op3_decontamination, op4_minhash_groups, op5_token_counts, op6_toxicity, op7_quality_rules, op8_personal_data, op9_suffix_dedup, op10_hidden_markov, op11_ordered_funnels, op12_best_fit_packing, op13_merkle_manifest)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.ORACLE, "op11_ordered_funnels": funnels.oracle(FUNNELS)}
+    return {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.ORACLE, "op11_ordered_funnels": funnels.oracle(FUNNELS), "op13_merkle_manifest": merkle.oracle()}
