@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 #: Rows that a block holds, if a period has them spread evenly.
-ROWS = 4096
+ROWS = 1024
 #: A period is 2 ** PERIOD microseconds; blocks are halves of halves of it, down to 2 ** LEAST.
 PERIOD, LEAST = 36, 16
 #: Bits of a duration that one round of the percentile search fixes.
@@ -187,7 +187,10 @@ def reached(clicks: DataFrame, funnels: Sequence[Funnel], within: int, rows: int
         if made == deepest:
             break
         onward = onward.groupBy("client_id", "stop", "at", "funnel", "step").agg(F.sum("n").alias("n")).withColumn("kinds", F.lit(0).cast("long"))
-        again = cut.join(onward.select("client_id", "stop").distinct().hint("merge"), ["client_id", "stop"], "left_semi")
+        # of a block's rows those that the attempts carried into it can meet
+        left = F.coalesce(*(F.when(F.col("funnel") == f, len(x.steps) - F.col("step")) for f, x in enumerate(funnels)))
+        reach = onward.groupBy("client_id", "stop").agg(F.min("at").alias("since"), F.max(F.col("at") + left.cast("long") * within).alias("until"))
+        again = cut.join(reach.hint("merge"), ["client_id", "stop"]).where("at > since AND at <= until").select(*cut.columns)
         swept.append(stored(sweep(plain(again).unionByName(onward), funnels, bits, within, False)))
         tallies.append(swept[-1].where("stop IS NULL").drop("stop"))
     out = stored(reduce(DataFrame.unionByName, tallies).groupBy("client_id", "funnel", "step", "value").agg(F.sum("n").alias("n")))
