@@ -24,7 +24,7 @@ import json
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, stored
-from .pieces import Kept
 
-#: White space that stands between words for every tokenizer at hand.
+#: White space that stands between words for every tokenizer at hand, and what Python takes for white space beyond that.
 _SPACE = re.compile(r"[\t-\r ]+")
+_WIDER = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words and parts of words that one worker keeps, those not longer than this.
+MOST_KEPT, MOST_CHARS = 700_000, 40
 #: What the word tokenizer drops and how it cuts words. Fixed values.
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -45,6 +47,27 @@ _CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
+#: Latin-1 letters as the letters that stand for their two bytes: bytes 128 to 160 and 173 have no letter of their own and take 290 on and 323.
+_LETTERS = {c: "".join(chr(b + 162 if b <= 160 else 323 if b == 173 else b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class Recent(dict):
+    """What `make` gives for a word, kept in two generations: the older one goes when the younger is full."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(word) <= MOST_CHARS:
+            if len(self) >= MOST_KEPT // 2:
+                self.old = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
 
 class TokenIds:
     """A tokenizer's ids of a text as little-endian unsigned 32-bit numbers, without special tokens at the ends.
@@ -63,13 +86,18 @@ class TokenIds:
         self.by_word &= made["post_processor"] is None and made["truncation"] is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or _SPACE.search(t["content"]) for t in own)
         # a word that may hold a special string is not cut
         self.special = re.compile("|".join(re.escape(t["content"]) for t in own) or r"(?!)")
-        self.parts = Kept(self.library)
-        self.words = Kept(self._word)
+        self.model = self.tokenizer.model
+        self.parts = Recent(self._part)
+        self.words = Recent(self._word)
 
     def library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def _part(self, part: str) -> bytes:
+        """A part as the library's cutting leaves it, in the letters that stand for bytes, needs the library's merges alone."""
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(_LETTERS)))
+
     def _word(self, word: str) -> bytes:
         if not _PLAIN.fullmatch(word) or self.special.search(word):
             return self.library(word) if word else b""
@@ -78,10 +106,8 @@ class TokenIds:
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
             return self.library(text)
-        out = b"".join(map(self.words.__getitem__, _SPACE.split(text)))
-        self.words.trim()
-        self.parts.trim()
-        return out
+        words = _SPACE.split(text) if _WIDER.search(text) else text.split()
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

@@ -15,7 +15,7 @@ from inkstone.llm.queries import word_model
 
 SCHEMA = "doc_id long, text string, source string, length string"
 ODD = [
-    "", " ", "a", "Hello  World", "it's DON'T we'll 'sTop ''s", "x<|endoftext|>y <|startoftext|>", "<|endoftext |>", "naïve CAFÉ Straße ÿ ÀÖ×÷", "é öx", "İstanbul ΣΑΣ ǅ", "日本語テキスト 한국어",
+    "", " ", "a", "Hello  World", "it's DON'T we'll 'sTop ''s", "x<|endoftext|>y <|startoftext|>", "<|endoftext |>", "".join(map(chr, range(0xA0, 0x100))), "naïve CAFÉ Straße ÿ ÀÖ×÷", "é öx", "İstanbul ΣΑΣ ǅ", "日本語テキスト 한국어",
     "a b c\x1cd\x1fe\x85f", "tab\tnew\nline\x0bv\x0cf\rr", "12 345,6.7 ²½", "µ ª º", "\U0001f600‍ x\u0000y", "a" * 5000, "&&&***!!!", "ﬁ ﬂ", "wordword " * 3000,
 ]
 
@@ -56,7 +56,7 @@ def test_ids_are_the_librarys():
     own = packing.TokenIds(word_model())
     assert own.by_word
     r = random.Random(1)
-    alphabet = "abcXYZ 's't\n\t.,!-0189éÉßñ×<|>_ ́Σ日\x1c"
+    alphabet = "abcXYZ 's't\n\t.,!-0189éÉßñí×<|>_ ́Σ日\x1c"
     for text in [*ODD, *("".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(3000))]:
         assert own(text) == struct.pack(f"<{len(ids(text))}I", *ids(text)), text
 
