@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,32 +80,34 @@ def utf16_offset(text: Column, code_points: Column) -> Column:
     return code_points + F.regexp_count(before, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
-def strip_fences(s: str) -> str:
-    return re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", s))
+def _repaired(text: str) -> str:
+    """Without commas before a closing bracket."""
+    return re.sub(r",(\s*[}\]])", r"\1", text)
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
 
 
 def last_json_object(reply: str) -> str:
-    """The last whole top-level object in a model's reply that is valid JSON; the trimmed reply if there is none.
-
-    Braces are matched without regard to strings; commas before a closing bracket are dropped first."""
-    s = re.sub(r",(\s*[}\]])", r"\1", strip_fences(reply).strip())
-    found, open_at, level = [], None, 0
-    for m in re.finditer(r"[{}]", s):
-        if m.group() == "{":
-            open_at = m.start() if level == 0 else open_at
-            level += 1
-        else:
-            level -= 1
-            if level == 0 and open_at is not None:
-                found.append(s[open_at : m.end()])
-                open_at = None
-    for text in reversed(found):
-        try:
-            json.loads(text)
-        except ValueError:
-            continue
-        return text
-    return s
+    """The last whole top-level object in a model's reply that is valid JSON; the reply without code fences if there is none.
+
+    Depth is the running sum over the braces' places, whatever strings they stand in: an object goes from a brace that lifts it to one
+    to the next that brings it back to none. Candidates are looked at from the last one on."""
+    places = [m.start() for m in re.finditer(r"[{}]", reply)]
+    depth = list(accumulate(1 if reply[i] == "{" else -1 for i in places))
+    ends = [k for k, d in enumerate(depth) if d == 0 and reply[places[k]] == "}"]
+    for n in reversed(range(len(ends))):
+        at, k = ends[n - 1] if n else -1, ends[n]
+        opened = next((j for j in range(at + 1, k) if depth[j] == 1 and reply[places[j]] == "{"), None)
+        if opened is not None and _is_json(text := _repaired(reply[places[opened] : places[k] + 1])):
+            return text
+    bare = re.sub(r"^```(?:json)?\s*|\s*```$", "", reply)
+    return _repaired(bare.strip())
 
 
 @F.pandas_udf(StringType())

@@ -138,37 +138,6 @@ def tree(folders: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.orderBy("place").select(F.array_join(F.transform("place", lambda x: x["name"]), "/").alias("path"), "depth", "kind", "id")
 
 
-#: Queries that are broadcast at a time.
-BLOCK = 1024
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, keep: int = 3, skip: DataFrame | None = None) -> DataFrame:
-    """query, id, score: of the k most similar vectors (unit length), those that are neither the query nor skipped, at most keep.
-
-    Every vector is scored against the queries, BLOCK of them at a time by key: a block meets all vectors in one pass and
-    only its best k a query are kept, so what is broadcast is bounded and the number of queries is not."""
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    best = lambda q: vectors.crossJoin(F.broadcast(q)).select("query", "id", F.round(dot, 6).alias("score")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
-    n = queries.count()
-    if n <= BLOCK:
-        top = best(queries)
-    else:
-        parts = -(-n // BLOCK) * 2
-        part = F.pmod(F.xxhash64("query"), F.lit(parts))
-        sizes = {x["p"]: x["count"] for x in queries.groupBy(part.alias("p")).count().collect()}
-        if max(sizes.values()) > 2 * BLOCK:
-            raise ValueError("a block of queries is too large to broadcast")
-        top = None
-        for p in sorted(sizes):
-            one = _stored(best(queries.where(part == p)))
-            top = one if top is None else top.unionByName(one)
-    top = top.where("id <> query")
-    if skip is not None:
-        top = top.join(skip, ["query", "id"], "left_anti")
-    return top.withColumn("m", F.row_number().over(w)).where(F.col("m") <= keep).select("query", "id", "score")
-
-
 def element_max(vectors: DataFrame, key: str) -> DataFrame:
     """key, pos, x: the greatest value at each position."""
     return vectors.select(key, F.posexplode("v").alias("pos", "x")).groupBy(key, "pos").agg(F.max("x").alias("x"))

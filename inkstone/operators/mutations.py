@@ -73,17 +73,32 @@ def same_list(a: Column, b: Column) -> Column:
     return F.coalesce(a, none) == F.coalesce(b, none)
 
 
+def last_change(changes: DataFrame) -> DataFrame:
+    """One row for each id: the change with the largest seq, if there is a column seq; of equal ones the smallest by its other columns."""
+    rest = [c for c in changes.columns if c not in ("id", "seq")]
+    order = [-F.col("seq")] if "seq" in changes.columns else []
+    first = changes.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), *rest)).alias("x"))
+    return first.select("id", *(F.col(f"x.{c}").alias(c) for c in rest))
+
+
 def rename_folders(folders: DataFrame, names: DataFrame) -> DataFrame:
-    """folders (id, name, ...) with the trimmed new names (id, name); blank ones change nothing."""
-    new = names.where(F.trim("name") != "").select("id", F.trim("name").alias("_new"))
-    return folders.join(new, "id", "left").withColumn("name", F.coalesce("_new", "name")).drop("_new").select(*folders.columns)
+    """folders (id, name, ...) with the trimmed new names (id, name, seq if there are several for an id; the last counts); blank ones change nothing.
+
+    Folders keep all their columns, whatever their names."""
+    new = last_change(names.where(F.trim("name") != "").withColumn("name", F.trim("name"))).alias("new")
+    out = folders.alias("old").join(new, F.col("old.id") == F.col("new.id"), "left")
+    return out.select(*(F.coalesce("new.name", "old.name").alias(c) if c == "name" else F.col(f"old.`{c}`") for c in folders.columns))
 
 
 def move_documents(documents: DataFrame, moves: DataFrame, folders: DataFrame) -> DataFrame:
-    """documents (id, parent, ...) after moves (id, target): null is the root; a target that is no folder changes nothing."""
-    ok = moves.join(folders.select(F.col("id").alias("target"), F.lit(True).alias("_is")), "target", "left").where("target IS NULL OR _is")
-    out = documents.join(ok.select("id", F.col("target").alias("_to"), F.lit(True).alias("_moved")), "id", "left")
-    return out.withColumn("parent", F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("parent"))).select(*documents.columns)
+    """documents (id, parent, ...) after moves (id, target, seq if there are several for an id; the last that can be made counts): null is the root;
+    a target that is no folder changes nothing. Documents keep all their columns, whatever their names."""
+    known = folders.select(F.col("id").alias("target")).distinct()
+    ok = moves.join(known, "target", "left_semi").unionByName(moves.where("target IS NULL"))
+    new = last_change(ok.select("id", "target", *(["seq"] if "seq" in moves.columns else []))).withColumn("moves", F.lit(True)).alias("new")
+    out = documents.alias("old").join(new, F.col("old.id") == F.col("new.id"), "left")
+    to = F.when(F.col("new.moves"), F.col("new.target")).otherwise(F.col("old.parent"))
+    return out.select(*(to.alias(c) if c == "parent" else F.col(f"old.`{c}`") for c in documents.columns))
 
 
 def touch(documents: DataFrame, ids: DataFrame, now: str) -> DataFrame:

@@ -5,23 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .similarity import near
 
-#: Texts that are looked for in one pass, and broadcast.
-MOST_TEXTS = 100_000
 
+#: Characters of a text by which chunks are found that may hold it.
+GRAM = 6
 
-def find_spans(chunks: DataFrame, texts: DataFrame) -> DataFrame:
-    """chunk, text, type, s, e: occurrences that do not overlap of each text in each chunk, by code point.
 
-    texts are an ontology's examples or one document's mentions, a small list by definition, and meet every chunk."""
-    if texts.limit(MOST_TEXTS + 1).count() > MOST_TEXTS:
-        raise ValueError("too many texts to look for at once; pass them in parts")
-    cand = chunks.select("chunk", "content").join(F.broadcast(texts), F.contains("content", F.col("text")) & (F.col("text") != ""))
+def _grams(c: Column, q: int) -> Column:
+    """All different stretches of q characters, by one pass of a pattern that takes none of them away."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
+
+
+def holding(chunks: DataFrame, texts: DataFrame) -> DataFrame:
+    """chunk, version (the content's hash), text: which chunk may hold which text, without looking for each text in each chunk.
+
+    A text is sought by that one of its stretches of GRAM characters (of all its characters, if it has fewer) that stands in the fewest
+    chunks; a text none of whose stretches stands anywhere is dropped there. An equal join on stretches finds the chunks."""
+    texts = texts.select("text").where("text <> ''").distinct().withColumn("q", F.least(F.length("text"), F.lit(GRAM)))
+    sizes = [r["q"] for r in texts.select("q").distinct().collect()]  # GRAM rows at most
+    each = lambda df, c, by: df.withColumn("gram", F.explode(F.flatten(F.array(*(F.when(F.lit(True) if by is None else F.col(by) == q, _grams(F.col(c), q)).otherwise(F.array().cast("array<string>")) for q in sizes)))))
+    if not sizes:
+        return chunks.select("chunk", F.xxhash64("content").alias("version"), F.lit("").alias("text")).limit(0)
+    sought = each(texts, "text", "q").select("text", "gram")
+    rows = chunks.select("chunk", "content").where("content <> ''").distinct()
+    stand = each(rows, "content", None).select("chunk", F.xxhash64("content").alias("version"), "gram").join(sought.select("gram").distinct(), "gram", "left_semi")
+    often = stand.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a stretch that stands nowhere rules its text out
+    rare = sought.join(often, "gram", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0").select("text", F.col("x.gram").alias("gram"))
+    return stand.join(rare, "gram").select("chunk", "version", "text")
+
+
+def find_spans(chunks: DataFrame, texts: DataFrame) -> DataFrame:
+    """chunk, text, type, s, e: occurrences that do not overlap of each text in each chunk, leftmost first, by code point.
+
+    Any number of texts may be sought. Nulls and empty texts and contents are found nowhere; repeated chunks each have their own
+    occurrences, repeated texts count once for each type."""
+    own = chunks.select("chunk", "content", F.xxhash64("content").alias("version"))
+    kinds = texts.select("text", "type").distinct()
+    held = holding(chunks, texts)
+    same = own["chunk"].eqNullSafe(held["chunk"]) & (own["version"] == held["version"])
+    cand = own.join(held, same).select(own["chunk"], "content", "text").where(F.contains("content", F.col("text"))).join(kinds, "text")
     gaps = F.split("content", F.regexp_replace("text", r"([^\p{L}\p{N}])", r"\\$1"), -1)
-    df = cand.select("chunk", "text", "type", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"), gaps.alias("gaps"))
-    before = F.aggregate(F.slice("gaps", 1, F.col("k") + 1), F.lit(0), lambda a, g: a + F.length(g))
-    s = before + F.col("k") * F.length("text")
-    return df.select("chunk", "text", "type", s.alias("s"), (s + F.length("text")).alias("e"))
+    # lengths only: places are running sums of the gaps' lengths and the text's own
+    df = cand.select("chunk", "text", "type", F.transform(gaps, F.length).alias("gaps"))
+    step = lambda a, g: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), -F.length("text")) + F.length("text") + g))
+    starts = F.aggregate(F.slice("gaps", 1, F.size("gaps") - 1), F.array().cast("array<int>"), lambda a, g: step(a, g))
+    df = df.select("chunk", "text", "type", F.explode(starts).alias("s"))
+    return df.select("chunk", "text", "type", "s", (F.col("s") + F.length("text")).alias("e"))
 
 
 def without_overlaps(spans: DataFrame, key: str = "chunk") -> DataFrame:
@@ -39,21 +70,16 @@ def snippet(content: str = "content", s: str = "s", e: str = "e", around: int =
     return F.substr(F.col(content), start + 1, end - start)
 
 
-def similar(limit: float = 0.3):  # noqa: ANN201
-    """Normalised edit distance of a.text and b.text below the limit; lengths rule most pairs out first."""
-    longer = F.greatest(F.length("a.text"), F.length("b.text"))
-    return (F.abs(F.length("a.text") - F.length("b.text")) < limit * longer) & (F.levenshtein("a.text", "b.text") < limit * longer)
-
-
-def coreference_edges(mentions: DataFrame) -> DataFrame:
+def coreference_edges(mentions: DataFrame, share: float = 0.3) -> DataFrame:
     """doc, u, v: mentions (id, doc, type, text) of one document and type with equal texts or, from three characters on, similar ones.
 
-    Distinct texts are compared, within document and type; mentions with equal texts hang on the first of them."""
-    texts = mentions.groupBy("doc", "type", "text").agg(F.min("id").alias("first"))
-    a, b = texts.alias("a"), texts.alias("b")
-    near = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.text") < F.col("b.text"))).where((F.length("a.text") >= 3) & (F.length("b.text") >= 3) & similar()).select(F.col("a.doc").alias("doc"), F.col("a.first").alias("u"), F.col("b.first").alias("v"))
-    same = mentions.join(texts, ["doc", "type", "text"]).where("id <> first").select("doc", F.col("first").alias("u"), F.col("id").alias("v"))
-    return near.unionByName(same)
+    Distinct texts are compared, within document and type, as far as they share a piece (see similarity); mentions with equal
+    texts hang on the first of them. u's text comes first by the alphabet."""
+    texts = mentions.groupBy("doc", "type", "text").agg(F.min("id").alias("id"))
+    pairs = near(texts.where(F.length("text") >= 3), ["doc", "type"], share)
+    pairs = pairs.select("doc", F.when(F.col("a") < F.col("b"), F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("a") < F.col("b"), F.col("v")).otherwise(F.col("u")).alias("v"))
+    same = mentions.join(texts.withColumnRenamed("id", "first"), ["doc", "type", "text"]).where("id <> first").select("doc", F.col("first").alias("u"), F.col("id").alias("v"))
+    return pairs.unionByName(same)
 
 
 def parents(mentions: DataFrame, roots: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pinyin as P
 from ..functions import text as T
-from ..operators import chunking, context, graph, mutations, providers, search, spans
+from ..operators import chunking, context, graph, mutations, providers, search, spans, vectors
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,7 +471,30 @@ def _(s, d):
     e = read(s, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), "label")
     skip = q.join(e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "label"), "label").select("query", "id")
-    return graph.nearest(q.drop("label"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), skip=skip)
+    return vectors.without(vectors.nearest(q.drop("label"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))), skip)
+
+
+_BY_COMPARING_ALL = "SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM (SELECT a.vec_id AS query, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE n <= 8"
+
+
+def _vector_index(s, d):
+    """Queries, vectors and a stored index of the embeddings."""
+    e = read(s, d, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    vectors.build(v, path := graph.scratch(s))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), v, path
+
+
+@query("TK2_all_cells", _BY_COMPARING_ALL)
+def _(s, d):
+    q, _v, path = _vector_index(s, d)
+    return vectors.search(q, path, probes=0)
+
+
+@query("TK2_index_recall")
+def _(s, d):
+    q, v, path = _vector_index(s, d)
+    return vectors.recall(vectors.search(q, path), vectors.nearest(q, v))
 
 
 @query("TK5_recent", "SELECT event_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 9")

@@ -203,11 +203,11 @@ def _(s, d):
     return spans.relate(m.select("window").distinct(), m, replies).drop("explanation")
 
 
-@query("JN9_cross_in_window", "SELECT a.o_custkey AS w, count(*) AS pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderpriority LIKE '1%' AND b.o_orderpriority LIKE '5%' GROUP BY 1")
+@query("JN9_cross_in_window", "SELECT a.o_orderkey AS from_id, b.o_orderkey AS to_id, 'PAIR' AS edge_type, min(a.o_custkey)::VARCHAR AS explanation FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderpriority LIKE '1%' AND b.o_orderpriority LIKE '5%' GROUP BY 1, 2")
 def _(s, d):
-    o = read(s, d, "orders").select(F.col("o_custkey").alias("w"), "o_orderkey", "o_orderpriority")
-    n = o.groupBy("w").agg(F.count_if(F.col("o_orderpriority").startswith("1")).alias("a"), F.count_if(F.col("o_orderpriority").startswith("5")).alias("b"))
-    return n.where("a * b > 0").select("w", (F.col("a") * F.col("b")).alias("pairs"))
+    m = read(s, d, "orders").select(F.col("o_custkey").alias("window"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"))
+    replies = m.select("window").distinct().select("window", F.lit("1-URGENT").alias("from_text"), F.lit("5-LOW").alias("to_text"), F.lit("PAIR").alias("edge_type"), F.col("window").cast("string").alias("explanation"))
+    return spans.relate(m.select("window").distinct(), m, replies)
 
 
 @query("JN7_similar_pairs", f"WITH {_MENT}, t AS (SELECT DISTINCT doc, text FROM m) SELECT a.doc, a.text AS a, b.text AS b FROM t a JOIN t b ON a.doc = b.doc AND a.text < b.text WHERE length(a.text) >= 3 AND length(b.text) >= 3 AND levenshtein(a.text, b.text) < 0.3 * greatest(length(a.text), length(b.text))")
@@ -287,6 +287,22 @@ def _(s, d):
     return mutations.rename_folders(f, values(s, "id int, name string", [(3, " Third "), (4, "  ")]))
 
 
+@query("MU10_repeated_moves", """WITH m AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 40 END AS target FROM orders),
+k AS (SELECT id, arg_max(struct_pack(t := target), seq).t AS target FROM m WHERE target IS NULL OR target IN (SELECT n_nationkey FROM nation) GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN k.id IS NULL THEN c_nationkey ELSE k.target END AS parent, c_name AS moves FROM customer LEFT JOIN k ON k.id = c_custkey""")
+def _(s, d):
+    docs = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("parent"), F.col("c_name").alias("moves"))
+    moves = read(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 40).alias("target"))
+    return mutations.move_documents(docs, moves, read(s, d, "nation").select(F.col("n_nationkey").alias("id")))
+
+
+@query("MU10_repeated_names", "SELECT c_custkey AS id, coalesce((SELECT arg_max(o_orderstatus || o_orderkey, o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 2 = 0), c_name) AS name FROM customer")
+def _(s, d):
+    f = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    names = read(s, d, "orders").select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.concat("o_orderstatus", F.lit(""), F.col("o_orderkey").cast("string"), F.lit(" "))).otherwise(" ").alias("name"), F.col("o_orderkey").alias("seq"))
+    return mutations.rename_folders(f, names)
+
+
 @query("MU10_moves", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 7 WHEN c_custkey % 5 = 1 THEN NULL ELSE c_nationkey END AS parent FROM customer")
 def _(s, d):
     docs = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("parent"))

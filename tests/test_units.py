@@ -4,13 +4,10 @@ import random
 import sqlite3
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from inkstone.functions import pinyin
 from inkstone.functions.text import last_json_object
 from inkstone.operators import search
-from inkstone.operators.chunking import chunk_spans
 from inkstone.operators.context import page_token
 from inkstone.operators.graph import validate
 from inkstone.operators.mutations import set_preferences
@@ -34,32 +31,12 @@ def test_pinyin():
     assert pinyin.convert("x1", "pinyin") == "x1"
 
 
-def test_chunk_sizes():
-    assert chunk_spans("") == []
-    assert chunk_spans("A" * 99) == [(0, 99)]
-    assert chunk_spans("A" * 5000) == [(0, 5000)]
-    assert chunk_spans(" \n\n ") == []
-    assert len(chunk_spans("```\n" + "x\n\n" * 1000 + "```")) == 1
-    tail = "A" * 600 + "\n\n" + "B" * 600 + "\n\ntiny"
-    s, e = chunk_spans(tail)[-1]
-    assert "tiny" in tail[s:e]
-    assert len(chunk_spans("\n\n".join(["w" * 90] * 20))) < 20
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["# Head", "para " * 30, "- item", "---", "", "> quote", "```", "    code", "text", "===="]), max_size=40))
-def test_chunk_invariants(lines):
-    text = "\n".join(lines)
-    last = 0
-    for s, e in chunk_spans(text):
-        assert last <= s < e <= len(text)
-        assert text[s:e] == text[s:e].strip()
-        last = e
-
-
 def test_json():
     assert last_json_object('x {"a": [1,],} y') == '{"a": [1]}'
     assert last_json_object("nothing") == "nothing"
+    assert last_json_object('{"a": {"b": 1}} then {broken} and } {"c": "2"}') == '{"a": {"b": 1}}'
+    assert last_json_object('```json\n[1,]\n```') == "[1]"
+    assert last_json_object('{"a": 1} {"b": 2,} {"c"') == '{"b": 2}'
 
 
 def test_markdown():
@@ -128,7 +105,7 @@ def test_lexicon_stream(spark, tmp_path):
 
 
 def test_search_takes_every_twentieth(spark, tmp_path, monkeypatch):
-    from inkstone.operators import graph
+    from inkstone.operators import vectors as search_vectors
     from inkstone.plans import catalog
 
     r = random.Random(3)
@@ -141,7 +118,7 @@ def test_search_takes_every_twentieth(spark, tmp_path, monkeypatch):
         top = sorted(score, key=lambda i: (-score[i], i))[:8]
         want |= {(q, i) for i in [i for i in top if i != q and not (i % 2 == 0 and i % 3 == q % 3)][:3]}
     for block in (1024, 4):
-        monkeypatch.setattr(graph, "BLOCK", block)
+        monkeypatch.setattr(search_vectors, "BLOCK", block)
         assert {(x["query"], x["id"]) for x in catalog.queries()["TK2_vector_top_k"](spark, str(tmp_path)).collect()} == want
 
 
