@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, is_small, stored, words
+from .common import documents, stored, words
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -41,8 +41,8 @@ GENERALISE, REMOVE = 0.8, 0.95
 CHANCE = 0.05
 #: Occurrences of a term as if without the entity more than with it, against which its share is smoothed.
 SMOOTH = 0.5
-#: Candidate terms, or documents with disclosing ones, that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Bytes of candidate terms, or of documents' disclosing ones, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 8_000_000
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -97,10 +97,25 @@ def _entities(spans: dict[str, Column]) -> Column:
     return F.array_distinct(F.concat(*(of(k, c) for k, c in spans.items())))
 
 
-def _terms(line: Column) -> Column:
-    """What may give an entity away: distinct words of a line, without those that hold base data themselves."""
-    w = F.array_distinct(words(line))
-    return F.filter(w, lambda x: ~x.rlike(r"[@+]|[0-9]{3}|[0-9]\.[0-9]") & (F.length(x) > 1) & x.rlike(r"[\p{L}\p{N}]"))
+def beside(text: Column, spans: dict[str, Column]) -> Column:
+    """What may give an entity away: the distinct words of a text that no base span touches, identifiers and numbers among them.
+
+    The text is cut at the spans, and what is left of a word that a span goes into is cut off its pieces."""
+    order = F.array_sort(F.concat(*(F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for c in spans.values())))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    after = lambda piece: F.regexp_replace(piece, r"^[^\x20\x09-\x0D]++", "")
+    before = lambda piece: F.regexp_replace(piece, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++$", "")
+
+    def step(a: Column, x: Column) -> Column:
+        piece = F.substring(text, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
+        piece = before(F.when(a["at"] > 0, after(piece)).otherwise(piece))
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out"))
+
+    def last(a: Column) -> Column:
+        piece = F.substring(text, a["at"] + 1, F.length(text))
+        return F.concat(a["out"], F.array(F.when(a["at"] > 0, after(piece)).otherwise(piece)))
+
+    return F.array_distinct(F.flatten(F.transform(F.aggregate(order, start, step, last), words)))
 
 
 def _share(cet: Column, ct: Column, ce: Column, n: Column) -> Column:
@@ -117,15 +132,17 @@ def _beyond_chance(cet: Column, ct: Column, ce: Column, n: Column, compared: Col
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if is_small(df, BROADCAST_ROWS) else df
+    """df to be broadcast if all its values together have at most BROADCAST_BYTES."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns), F.lit(16).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(size).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES else df.hint("merge")
 
 
 def _disclosed(held: DataFrame, units: DataFrame, compared: int) -> DataFrame:
-    """entity, term, share over units (lines or texts). held: u, entities of the distinct units that hold any; units: u of all, with repeats."""
+    """entity, term, share over units (lines or texts). held: entities and terms of the distinct units that hold any; units: u of all, with repeats."""
     again = stored(units.groupBy(F.xxhash64("u").alias("h")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     total = F.lit(float(max(1, units.count() - (again.agg(F.sum(F.col("times") - 1).alias("n")).first()["n"] or 0))))
     words_ = F.lit(float(max(1, compared)))
-    own = held.select("entities", F.explode(_terms(F.col("u"))).alias("term"))
+    own = held.select("entities", F.explode("terms").alias("term"))
     # on how many units with any entity a term stands is at most on how many units it stands at all
     seen = own.groupBy("term").agg(F.count(F.lit(1)).alias("least"))
     n_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
@@ -142,14 +159,14 @@ def _disclosed(held: DataFrame, units: DataFrame, compared: int) -> DataFrame:
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity, term, share: terms that reveal at least GENERALISE of an entity. found: text, entities of the documents that hold any."""
-    whole = found.dropDuplicates(["text"]).select(F.col("text").alias("u"), "entities")
+    whole = found.select(F.col("text").alias("u")).distinct()
     lines = found.select(F.explode(F.split("text", "\n")).alias("u"))
     lines = lines.where(lines["u"].rlike("[0-9]|@")).distinct()
-    lines = lines.select("u", _entities(base_spans(F.col("u"))).alias("entities")).where(F.size("entities") > 0)
+    with_terms = lambda df: df.select("u", *(c.alias(k) for k, c in base_spans(F.col("u")).items())).select(_entities({k: F.col(k) for k in KINDS}).alias("entities"), beside(F.col("u"), {k: F.col(k) for k in KINDS}).alias("terms")).where(F.size("entities") > 0)
     all_ = documents(docs)
     compared = all_.select(F.explode(words(F.col("text"))).alias("w")).agg(F.approx_count_distinct("w", 0.01).alias("n")).first()["n"]
-    by_line = _disclosed(stored(lines), all_.select(F.explode(F.split("text", "\n")).alias("u")), compared)
-    by_text = _disclosed(stored(whole), all_.select(F.col("text").alias("u")), compared)
+    by_line = _disclosed(stored(with_terms(lines)), all_.select(F.explode(F.split("text", "\n")).alias("u")), compared)
+    by_text = _disclosed(stored(with_terms(whole)), all_.select(F.col("text").alias("u")), compared)
     return by_line.unionByName(by_text).groupBy("entity", "term").agg(F.max("share").alias("share"))
 
 

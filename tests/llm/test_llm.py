@@ -299,6 +299,25 @@ def test_disclosing_terms(spark):
     assert all(got[i]["clean"] == texts[i] for i in range(300))
 
 
+@pytest.mark.parametrize("term", ["ZX-48213", "user1234", "B7-4411", "998877", "#"])
+def test_identifiers_disclose(spark, term):
+    r = random.Random(8)
+    filler = lambda: " ".join(f"w{r.randrange(40)}" for _ in range(8))
+    texts = [filler() for _ in range(300)] + [f"{filler()} {term} write me@x.org, or <me@x.org>{term} {filler()}" for _ in range(4)]
+    got = {g["doc_id"]: g["clean"] for g in pii.sanitise(pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i in range(300, 304):
+        assert f" {term} " not in got[i] and got[i].count("<EMAIL>") == 2
+    assert all(got[i] == texts[i] for i in range(300))
+
+
+def test_words_beside_spans(spark):
+    F = pii.F
+    texts = {"a me@x.org b": "a b", "me@x.org": "", "x(me@x.org)y z": "z", "a me@x.org,you@x.org b c": "a b c", "1.2.3.4/24 route 10": "10 route", "no data": "data no", "": ""}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: " ".join(sorted(r["w"])) for r in df.select("t", pii.beside(F.col("t"), pii.base_spans(F.col("t"))).alias("w")).collect()}
+    assert got == texts
+
+
 def test_disclosing_terms_of_rare_entities(spark):
     r = random.Random(7)
     filler = lambda: " ".join(f"w{r.randrange(40)}" for _ in range(8))
@@ -494,7 +513,7 @@ def disclosed(units, compared):
     out = {}
     for x, where in holds.items():
         ce, p = len(where), len(where) / n
-        with_ = Counter(w for k in where for w in set(distinct[k].split()) if len(w) > 1 and not re.search(r"[@+]|[0-9]{3}|[0-9]\.[0-9]", w))
+        with_ = Counter(w for k in where for w in {m[0] for m in re.finditer(r"\S+", distinct[k]) if not any(s < m.end() and m.start() < e for _, s, e in base(distinct[k]))})
         for w, cet in with_.items():
             mean = stands[w] * ce / n
             bound = np.log(-np.expm1(-mean)) if cet <= 1 else -(cet * np.log(cet / mean) - cet + mean)
@@ -504,16 +523,16 @@ def disclosed(units, compared):
     return out
 
 
-@pytest.mark.parametrize("limit", [100_000, 1])
+@pytest.mark.parametrize("limit", [1_000_000, 1])
 def test_disclosure_measure(spark, monkeypatch, limit):
-    monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
     r = random.Random(13)
     word = lambda: f"w{min(int(r.paretovariate(0.7)), 3000)}"
     texts = []
     for i in range(400):
         lines = [" ".join(word() for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 5))]
         if i % 3 == 0:
-            lines[0] += f" u{i % 17}@x.org v{i % 17}q"
+            lines[0] += f" u{i % 17}@x.org v{i % 17}q id-{i % 17:05d} {i % 17 + 100} (u{i % 17}@x.org)z {i % 17}"
         texts.append("\n".join(lines))
     texts += texts[:60] + [texts[5].split("\n")[0]] * 30
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
