@@ -11,7 +11,8 @@ judges an entity on one line as well as a frequent one: one meeting proves much
 corpus in which most texts have words of their own.
 
 Equal lines (and equal texts) count once. No line travels for that: a line found n times counts 1/n each time, and n is a
-count over 64-bit hashes, kept for lines found more than once only. Of the words of lines only candidates are counted.
+count over 64-bit hashes, kept for lines found more than once only. Of the words of lines only candidates are counted, by 64-bit
+hashes too: two words of one hash would count as one, which makes either disclose less.
 
 Places are code points, ends exclusive. Nulls count as empty texts, which have no spans. Repeated rows each give a row,
 rows with a null id are treated as any other, an empty table gives none. Terms with equal shares are all kept; of spans that
@@ -133,7 +134,8 @@ def _beyond_chance(cet: Column, ct: Column, ce: Column, n: Column, compared: Col
 
 def _small(df: DataFrame) -> DataFrame:
     """df to be broadcast if all its values together have at most BROADCAST_BYTES."""
-    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns), F.lit(16).cast("long"))
+    of = lambda c, kind: F.lit(8) if kind in ("bigint", "double") else F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long")
+    size = sum((of(c, kind) for c, kind in df.dtypes), F.lit(16).cast("long"))
     return F.broadcast(df) if (df.agg(F.sum(size).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES else df.hint("merge")
 
 
@@ -150,11 +152,13 @@ def _disclosed(held: DataFrame, units: DataFrame, compared: int) -> DataFrame:
     pairs = pairs.join(n_entity, "entity").join(seen, "term")
     possible = (_share(F.col("cet"), F.col("least"), F.col("ce"), total) >= GENERALISE) & _beyond_chance(F.col("cet"), F.col("least"), F.col("ce"), total, words_)
     pairs = stored(pairs.where(possible).drop("least"))
-    wanted = _small(pairs.select("term").distinct())
-    hits = units.select(F.xxhash64("u").alias("h"), F.explode(F.array_distinct(words(F.col("u")))).alias("term")).join(wanted, "term", "left_semi")
-    n_term = hits.join(again, "h", "left").groupBy("term").agg(F.round(F.sum(1 / F.coalesce("times", F.lit(1)))).alias("ct"))
+    # where candidates are too many to be broadcast, every word of every unit travels to meet them: as a number, not as a text
+    wanted = _small(pairs.select(F.xxhash64("term").alias("k")).distinct())
+    every = units.select(F.xxhash64("u").alias("h"), F.explode(F.array_distinct(words(F.col("u")))).alias("term"))
+    hits = every.select("h", F.xxhash64("term").alias("k")).join(wanted, "k", "left_semi")
+    n_term = hits.join(again, "h", "left").groupBy("k").agg(F.round(F.sum(1 / F.coalesce("times", F.lit(1)))).alias("ct"))
     told = _beyond_chance(F.col("cet"), F.col("ct"), F.col("ce"), total, words_)
-    return pairs.join(n_term, "term").where(told).select("entity", "term", _share(F.col("cet"), F.col("ct"), F.col("ce"), total).alias("share")).where(F.col("share") >= GENERALISE)
+    return pairs.withColumn("k", F.xxhash64("term")).join(n_term, "k").where(told).select("entity", "term", _share(F.col("cet"), F.col("ct"), F.col("ce"), total).alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
