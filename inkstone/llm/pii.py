@@ -149,6 +149,8 @@ def _disclosed(held: DataFrame, units: DataFrame, compared: int) -> DataFrame:
     seen = own.groupBy("term").agg(F.count(F.lit(1)).alias("least"))
     n_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
     pairs = own.select(F.explode("entities").alias("entity"), "term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("cet"))
+    # term and entity each stand on cet units at least: pairs too rare even so, nearly all of them, go before any join
+    pairs = pairs.where(_beyond_chance(F.col("cet"), F.col("cet"), F.col("cet"), total, words_))
     pairs = pairs.join(n_entity, "entity").join(seen, "term")
     possible = (_share(F.col("cet"), F.col("least"), F.col("ce"), total) >= GENERALISE) & _beyond_chance(F.col("cet"), F.col("least"), F.col("ce"), total, words_)
     pairs = stored(pairs.where(possible).drop("least"))
