@@ -746,7 +746,7 @@ def _(s, d):
     return providers.drafts(_chunk_docs(s, d), [(-1, providers.Echo())])
 
 
-from . import more  # noqa: E402, F401  (adds its queries)
+from . import more, stored  # noqa: E402, F401  (they add their queries)
 
 
 def queries() -> dict[str, Query]:
