@@ -1,10 +1,10 @@
-"""Queries over tables on disk of which a change rewrites its own part alone, each with the SQL of a rebuild."""
+"""Queries over tables on disk: snapshots of which a change rewrites its own part alone, drafts of which a stage reads those before it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import drafting, graph, mutations, providers
 from ..operators.coreference import Merged
 from ..operators.snapshots import Snapshot
 from .catalog import _ROOTS, _MENT, mentions, query, read
@@ -81,3 +81,60 @@ def _(s, d):
 @query("MU8_document_edges", f"{_ALL}, {_PAIRS} SELECT DISTINCT x2.doc, coalesce(a.parent, a.id) AS from_root, coalesce(b.parent, b.id) AS to_root, edge_type FROM x2 JOIN e a ON a.id = from_id JOIN e b ON b.id = to_id WHERE coalesce(a.parent, a.id) <> coalesce(b.parent, b.id)")
 def _(s, d):
     return _changed(s, d).read(s, "document_edges").select("doc", "from_root", "to_root", "edge_type")
+
+
+# ---- drafts ----------------------------------------------------------------------------------------------------------------
+
+def _turns(s, d):
+    """Turns as chunks of their conversation; like a turn are the next turn and those at its place in the four next conversations."""
+    c = read(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("position"), (F.col("conv_id") * 100 + F.col("turn")).alias("chunk"), F.col("text").alias("content"))
+    steps = F.array(*(F.struct(F.lit(r).alias("rank"), F.lit(k).alias("k")) for r, k in enumerate((1, 100, 200, 300, 400))))
+    return c, c.select("chunk", F.explode(steps).alias("x")).select("chunk", (F.col("chunk") + F.col("x.k")).alias("other"), "x.rank")
+
+
+def _sections(*parts: tuple[str, str]) -> str:
+    return "concat_ws(chr(10) || chr(10), " + ", ".join(f"CASE WHEN {c} <> '' THEN '{t}:' || chr(10) || {c} END" for t, c in parts) + ")"
+
+
+def _beside(name: str, of: str, value: str) -> str:
+    side = lambda test: f"coalesce(string_agg(b.{value}, chr(10) ORDER BY o.position) FILTER (WHERE b.{value} <> '' AND o.position {test} a.position), '')"
+    return f"{name} AS (SELECT a.chunk, {side('<')} AS before, {side('>')} AS after FROM c a LEFT JOIN c o ON o.doc = a.doc AND o.position BETWEEN a.position - 2 AND a.position + 2 LEFT JOIN {of} b ON b.chunk = o.chunk GROUP BY 1)"
+
+
+_FAR = "w AS (SELECT a.chunk, a.chunk + k AS other, r AS rank FROM c a, (VALUES (0, 1), (1, 100), (2, 200), (3, 300), (4, 400)) v(r, k)), f AS (SELECT w.*, row_number() OVER (PARTITION BY w.chunk ORDER BY w.rank, w.other) AS n FROM w JOIN c a ON a.chunk = w.chunk JOIN c b ON b.chunk = w.other WHERE NOT (a.doc = b.doc AND abs(a.position - b.position) <= 2))"
+
+
+def _shown(name: str, drafts: str) -> str:
+    return f"{name} AS (SELECT f.chunk, string_agg(c.content || ' → ' || t.content, chr(10) ORDER BY f.rank) AS examples FROM f JOIN c ON c.chunk = f.other JOIN {drafts} t ON t.chunk = f.other WHERE n <= 3 GROUP BY 1)"
+
+
+_HEAD = (("Before", "a.before"), ("Text", "c.content"), ("After", "a.after"), ("Similar passages", "x.examples"))
+_JOINS = "FROM c LEFT JOIN a USING (chunk) LEFT JOIN {} x USING (chunk)"
+#: The stages one after the other; a draft's chunk has every later draft too, as these texts are not blank.
+_STAGES = f"""WITH c AS (SELECT conv_id AS doc, turn AS position, conv_id * 100 + turn AS chunk, coalesce(text, '') AS content FROM conversations), {_beside('a', 'c', 'content')}, {_FAR},
+d0 AS (SELECT chunk, trim(content) AS content FROM c WHERE trim(content) <> ''), {_shown('x0', 'd0')},
+d1 AS (SELECT c.chunk, sha256({_sections(*_HEAD, ("Machine translation", "d0.content"))}) AS content {_JOINS.format('x0')} LEFT JOIN d0 USING (chunk)), {_shown('x1', 'd1')},
+d2 AS (SELECT c.chunk, sha256({_sections(*_HEAD)}) AS content {_JOINS.format('x1')}), {_shown('x2', 'd2')}, {_beside('b', 'd2', 'content')},
+d3 AS (SELECT c.chunk, sha256({_sections(*_HEAD, ("Drafts before", "b.before"), ("Drafts after", "b.after"), ("Draft", "d2.content"))}) AS content {_JOINS.format('x2')} LEFT JOIN b USING (chunk) LEFT JOIN d2 USING (chunk))"""
+
+
+def _drafted(s, d):
+    c, like = _turns(s, d)
+    return drafting.draft_all(c, like, providers.Echo(), drafting.Fingerprint())
+
+
+@query("ML5_draft_stages", f"{_STAGES} SELECT chunk, -1 AS draft_number, 'mt:echo' AS translator, content FROM d0 UNION ALL SELECT chunk, 0, 'ai:fingerprint', content FROM d1 UNION ALL SELECT chunk, 1, 'ai:fingerprint', content FROM d2 UNION ALL SELECT chunk, 2, 'ai:fingerprint', content FROM d3")
+def _(s, d):
+    return _drafted(s, d)
+
+
+@query("ML5_retranslation", f"""{_STAGES}, {_shown('x3', 'd3')}, h AS (SELECT conv_id * 100 + turn AS chunk FROM conversations WHERE role = (SELECT arg_min(role, conv_id * 100 + turn) FROM conversations))
+SELECT c.chunk, 3 AS draft_number, 'ai:fingerprint' AS translator, sha256({_sections(*_HEAD, ("Draft", "d3.content"))} || chr(10) || chr(10) || 'Chosen translations:' || chr(10) || '「role」 → "part"') AS content {_JOINS.format('x3')} LEFT JOIN d3 USING (chunk) SEMI JOIN h ON h.chunk = c.chunk""")
+def _(s, d):
+    c, like = _turns(s, d)
+    # a mention in each turn, merged by role; the translation of the first one's entity is chosen
+    turns = read(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("chunk"), F.xxhash64("role").alias("parent"))
+    first = turns.agg(F.min("chunk")).first()[0]
+    hit = mutations.affected_chunks(turns.withColumn("id", F.col("chunk")), first)
+    terms = hit.select("chunk", F.lit("role").alias("text"), F.lit("part").alias("translation"))
+    return drafting.retranslate(c, _drafted(s, d), like, terms, drafting.Fingerprint())
