@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, like
@@ -56,6 +57,13 @@ class Term:
     columns: tuple[str, ...]  # empty: any
 
 
+class Stored(Protocol):
+    """A stored index."""
+
+    def holding(self, spark: SparkSession, terms: list[Term]) -> DataFrame:
+        """Postings, among them all that fit a term."""
+
+
 class Malformed(ValueError):
     pass
 
@@ -142,10 +150,10 @@ def match(index: DataFrame, terms: list[Term], tree: Tree | None = None) -> Data
     return out.where(holds(tree)).select("id")
 
 
-def search(entries: DataFrame, q: str = "", definition: str = "", tone: str = "", headwords: bool = False, limit: int = 50, substring: bool = False, diacritics: bool = True, index: DataFrame | None = None) -> DataFrame:
+def search(entries: DataFrame, q: str = "", definition: str = "", tone: str = "", headwords: bool = False, limit: int = 50, substring: bool = False, diacritics: bool = True, index: DataFrame | Stored | None = None) -> DataFrame:
     """Entries found, ranked by length of the headword. entries: id, simplified, traditional, pinyin, definitions_text.
 
-    index: what `postings` gave for the entries, if it is stored; else it is made anew."""
+    index: what `postings` gave for the entries, or a stored index that reads what the terms need; else postings are made anew."""
     if not isinstance(limit, int) or limit < 0:
         raise ValueError("limit must be a whole number, not negative")
     q, definition = sanitise(q), sanitise(definition)
@@ -165,7 +173,8 @@ def search(entries: DataFrame, q: str = "", definition: str = "", tone: str = ""
             terms, tree = parse_operators(parts)
         except Malformed:
             return df.limit(0)
-        df = df.join(match(postings(df, diacritics=diacritics) if index is None else index, terms, tree), "id", "left_semi")
+        rows = postings(df, diacritics=diacritics) if index is None else index if isinstance(index, DataFrame) else index.holding(df.sparkSession, terms)
+        df = df.join(match(rows, terms, tree), "id", "left_semi")
     elif by_tone is None:
         return df.limit(0)
     if by_tone is not None:

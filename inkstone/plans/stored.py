@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drafting, graph, mutations, providers
+from ..operators import drafting, graph, mutations, providers, search
 from ..operators.coreference import Merged
+from ..operators.inverted import RangeIndex
 from ..operators.snapshots import Snapshot
-from .catalog import _ROOTS, _MENT, mentions, query, read
+from .catalog import _MENT, _ROOTS, entries, mentions, query, read
+from .more import _ANY, _HAS, _PRE
 
 # ---- the dictionary's snapshot ------------------------------------------------------------------------------------------
 
@@ -44,6 +46,26 @@ def _(s, d):
     return out.entries(s).select("id", "label", "written")
 
 
+# ---- postings in files of token ranges --------------------------------------------------------------------------------------
+
+def _indexed(s, d) -> RangeIndex:
+    out = RangeIndex(graph.scratch(s))
+    out.write(entries(s, d), files=32)
+    return out
+
+
+@query("FTS4_range_files", f"SELECT p_partkey AS id FROM part WHERE ({_HAS('p_type', 'economy')} AND NOT {_ANY('widget')}) OR {_ANY('promo')} OR {_PRE('smal')} ORDER BY length(p_name), p_name, p_partkey LIMIT 200")
+def _(s, d):
+    return search.search(entries(s, d), definition="economy NOT widget OR promo OR smal", limit=200, index=_indexed(s, d)).select("id")
+
+
+@query("FTS1_stored_tokens", f"WITH t AS (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+')) AS token FROM part) SELECT token, count(DISTINCT p_partkey) AS entries FROM t WHERE starts_with(token, 'b') OR token = 'red' GROUP BY 1")
+def _(s, d):
+    terms = [search.Term("b", True, ()), search.Term("red", False, ())]
+    rows = _indexed(s, d).holding(s, terms).where("col = 'simplified' AND (startswith(token, 'b') OR token = 'red')")
+    return rows.groupBy("token").agg(F.count_distinct("id").alias("entries"))
+
+
 # ---- merged entities after a manual one ----------------------------------------------------------------------------------
 
 #: One mention more, in document 3, with the name that the document's first mention has.
