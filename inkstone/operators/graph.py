@@ -31,6 +31,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/inkstone-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a table that scratch named, once nothing reads it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """node: seeds (node) and all their ancestors over links (parent, child). Safe for cycles: each round follows new nodes only."""
     seen = _stored(seeds.select("node").distinct())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drafting, graph, mutations, providers, search
+from ..operators import drafting, graph, layout, mutations, providers, search
 from ..operators.coreference import Merged
 from ..operators.inverted import RangeIndex
 from ..operators.snapshots import Snapshot
@@ -160,3 +160,12 @@ def _(s, d):
     hit = mutations.affected_chunks(turns.withColumn("id", F.col("chunk")), first)
     terms = hit.select("chunk", F.lit("role").alias("text"), F.lit("part").alias("translation"))
     return drafting.retranslate(c, _drafted(s, d), like, terms, drafting.Fingerprint())
+
+
+# ---- the map of neighbours ---------------------------------------------------------------------------------------------------
+
+@query("VZ1_library_map")
+def _(s, d):
+    """Vectors as passages of the documents that their labels name."""
+    v = read(s, d, "embeddings").select(F.coalesce(F.col("label").cast("long"), F.lit(0)).alias("doc"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("v"))
+    return layout.library_map(v)
