@@ -80,6 +80,14 @@ def _(s, d):
     return search.contained_in(e, "red ivory small blue").select("id", "simplified")
 
 
+@query("FLT6_contained_in_names", "WITH q AS (SELECT string_agg(p_name, ' ' ORDER BY p_partkey) AS q FROM part WHERE p_partkey <= 3) SELECT p_partkey AS id, p_name AS simplified FROM part, q WHERE instr(q, p_name) > 0 AND p_name <> ''")
+def _(s, d):
+    e = read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("simplified"), F.col("p_name").alias("traditional"))
+    # what is typed: the names of three parts
+    typed = " ".join(r["simplified"] for r in e.where("id <= 3").orderBy("id").collect())
+    return search.contained_in(e, typed).select("id", "simplified")
+
+
 @query("FLT8_null_safe", "SELECT conv_id, turn FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL AND role = 'user'")
 def _(s, d):
     return read(s, d, "conversations").where("role IS NOT NULL AND text IS NOT NULL AND role = 'user'").select("conv_id", "turn")
