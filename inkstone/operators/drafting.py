@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .context import latest_draft
@@ -71,8 +71,9 @@ def alike(chunks: DataFrame, similar: DataFrame) -> DataFrame:
     other = place.select(F.col("doc").alias("other_doc"), F.col("position").alias("other_position"), F.col("chunk").alias("other"))
     near = (F.col("doc") == F.col("other_doc")) & (F.abs(F.col("position") - F.col("other_position")) <= AROUND)
     far = similar.select("chunk", "other", "rank").distinct().join(place, "chunk").join(other, "other").where(~F.coalesce(near, F.lit(False)) & (F.col("chunk") != F.col("other")))
-    first = F.slice(F.array_sort(F.collect_list(F.struct("rank", "other"))), 1, SIMILAR)
-    return far.groupBy("chunk").agg(first.alias("x")).select("chunk", F.explode("x").alias("x")).select("chunk", "x.other", "x.rank")
+    # a limit by rank is taken before the shuffle too, so however many passages a chunk is given, few of them travel
+    nth = F.row_number().over(Window.partitionBy("chunk").orderBy("rank", "other"))
+    return far.withColumn("n", nth).where(F.col("n") <= SIMILAR).select("chunk", "other", "rank")
 
 
 def _examples(chunks: DataFrame, close: DataFrame, last: DataFrame) -> DataFrame:
