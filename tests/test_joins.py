@@ -163,3 +163,20 @@ def test_repeated_changes(spark):
     out = mutations.move_documents(docs, moves, folders)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect()), key=str) == [(1, None, True, "a"), (2, 1, False, "b"), (2, 1, False, "b")]
+
+
+def test_dealt_join(spark, monkeypatch):
+    """A join of few keys gives what a plain one does, and no task makes a whole key's rows."""
+    from inkstone.operators import context
+
+    monkeypatch.setattr(context, "DEALT", 16)
+    monkeypatch.setattr(context, "MADE", 500)
+    left = [(i, i % 3 if i % 7 else None) for i in range(200)]
+    right = [(i, i % 2 if i % 5 else None) for i in range(100)]
+    a, b = spark.createDataFrame(left, "l long, k int"), spark.createDataFrame(right, "r long, k int")
+    out = context.dealt_join(a, b, "k").select("l", "r", "k")
+    want = sorted((x, y, k) for x, k in left for y, j in right if k is not None and k == j)
+    assert sorted(tuple(x) for x in out.collect()) == want
+    tasks = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(tasks) > 4 and max(tasks) < len(want) / 2  # two keys have rows on both sides
+    assert context.dealt_join(a, b.where("k > 5"), "k").count() == 0
