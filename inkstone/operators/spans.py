@@ -129,3 +129,17 @@ def delete_entity(entities: DataFrame, edges: DataFrame, ident: int) -> tuple[Da
 def distance(a: Column, b: Column) -> Column:
     """Edit distance as a share of the longer text's length; 0 for two empty ones."""
     return F.coalesce(F.levenshtein(a, b) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0)), F.lit(0.0))
+
+
+def distances(texts: DataFrame, group: list[str]) -> DataFrame:
+    """a, b, distance: every ordered pair of texts that stand in one group (text and the group's columns), once, with the share of edits between them.
+
+    Texts that repeat in a group count once before they meet, and pairs that repeat between groups before they are compared, each in one
+    direction alone: what is compared grows with different texts, not with rows. Null groups hold nothing; a null text has no distance."""
+    own = texts.select(*group, "text").dropna(subset=group).distinct()
+    met = own.withColumnRenamed("text", "a").join(own.withColumnRenamed("text", "b"), group)
+    # each pair is there in both directions, as is a null text's
+    one = met.where((F.col("a") <= F.col("b")) | F.col("a").isNull()).select("a", "b").distinct()
+    far = one.withColumn("distance", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), distance(F.col("a"), F.col("b"))))
+    back = F.when(F.col("a").eqNullSafe(F.col("b")), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return far.select(F.explode(back).alias("x"), "distance").select("x.a", "x.b", "distance")

@@ -221,9 +221,8 @@ def _(s, d):
 
 @query("CO2_distance", "SELECT DISTINCT a.p_name AS a, b.p_name AS b, round(levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))::DOUBLE, 6) AS distance FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand")
 def _(s, d):
-    p = read(s, d, "part")
-    a, b = p.select(F.col("p_name").alias("a"), "p_size", "p_brand"), p.select(F.col("p_name").alias("b"), "p_size", "p_brand")
-    return a.join(b, ["p_size", "p_brand"]).select("a", "b").distinct().withColumn("distance", F.round(spans.distance(F.col("a"), F.col("b")), 6))
+    p = read(s, d, "part").select(F.col("p_name").alias("text"), "p_size", "p_brand")
+    return spans.distances(p, ["p_size", "p_brand"]).withColumn("distance", F.round("distance", 6))
 
 
 @query("JN12_snapshot_match", "SELECT o.p_partkey, o.p_type AS was, n.p_type AS now FROM (SELECT * FROM part WHERE p_partkey % 11 <> 0) o FULL JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) n ON o.p_partkey = n.p_partkey WHERE o.p_partkey IS NOT NULL AND n.p_partkey IS NOT NULL")

@@ -180,3 +180,22 @@ def test_dealt_join(spark, monkeypatch):
     tasks = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert len(tasks) > 4 and max(tasks) < len(want) / 2  # two keys have rows on both sides
     assert context.dealt_join(a, b.where("k > 5"), "k").count() == 0
+
+
+def test_distances(spark, tmp_path):
+    """Repeated names meet once, and rows are those of SQL, null names too."""
+    import duckdb
+
+    from inkstone.plans import catalog, more  # noqa: F401
+
+    rows = [("abc", 1, "x"), ("abd", 1, "x"), (None, 1, "x"), ("abd", 2, "y"), ("abc", 2, "y"), ("zz", 3, None), ("q", None, "x")] * 300
+    spark.createDataFrame(rows, "p_name string, p_size int, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    out = catalog.queries()["CO2_distance"](spark, str(tmp_path))
+    key = lambda x: str(tuple(x))
+    assert sorted(map(key, out.collect())) == sorted(map(key, con.sql(catalog.oracle_sql()["CO2_distance"]).fetchall()))
+    done = spans.distances(spark.createDataFrame(rows, "text string, size int, brand string"), ["size", "brand"])
+    done.collect()
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") > plan.rindex("Join")  # names are made distinct below the join
