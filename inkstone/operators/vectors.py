@@ -1,12 +1,13 @@
 """Nearest vectors, exactly or through a stored index of cells.
 
-The index is an inverted file: k-means centres, fitted on a bounded sample (at most SAMPLE vectors, taken by the hash of their ids),
+The index is an inverted file: k-means centres, fitted on a bounded sample (about SAMPLE vectors, taken by the hash of their ids),
 cut space into cells; every vector is assigned to its nearest centre and written under its cell. A query reads the cells whose
 centres are nearest to it; with all cells, or without an index, the result is exact.
 
-Queries meet vectors by an equal join on (cell, slice, block): a cell's vectors are dealt into slices of about SLICE rows and its
-queries into blocks of about BLOCK, so neither a hot cell nor many queries make a large task. A pair of slice and block is scored as
-one matrix product, of which only the best k rows a query leave the task; nothing is broadcast, no pair is emitted.
+Queries meet vectors by an equal join on (slice, block): cells are packed into slices of at most SLICE rows (a larger cell is dealt
+over several), and the queries that read a slice into blocks of about BLOCK. A query goes to a slice once, however many of its cells it
+reads there, and of a slice only its best k rows leave the task; no pair is emitted. So what is moved grows with the queries times the
+slices that they read, not the cells; neither a hot cell nor many queries make a large task.
 
 Scores are inner products rounded to six places; ties go to the smaller id. A null vector or id is left out; repeated ids are vectors
 of their own; no queries or no vectors give no rows. Ids are numbers; other columns are not looked at.
@@ -21,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors that centres are fitted on, at most, and centres, at most.
+#: Vectors that centres are fitted on, about, and centres, at most.
 SAMPLE, MOST_CELLS = 50_000, 2048
 #: Vectors that are asked for to measure how many cells are needed.
 TRIED = 256
-#: Vectors and queries of one matrix product, about.
-SLICE, BLOCK = 8192, 1024
+#: Vectors of a slice at most (a SPREAD-th of all where that is less, yet no fewer than LEAST), queries of a block, about, and scores that a task holds at a time.
+SLICE, SPREAD, LEAST, BLOCK, SCORES = 16384, 16, 2048, 8192, 1 << 22
 
 
 def centres(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> np.ndarray:
@@ -36,11 +37,16 @@ def centres(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> np.n
 
     n = vectors.count()
     k = min(MOST_CELLS, cells or max(1, round(n**0.5)))
-    own = vectors.where("id IS NOT NULL AND v IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    own = vectors.where("id IS NOT NULL AND v IS NOT NULL")
     if k < 2 or n < 2:
         return np.zeros((1, len((own.first() or {"v": [0.0]})["v"])))
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / n)))
+    # several tasks, whose rows depend on the ids alone
+    own = own.where(share).repartition(SPREAD, "id").sortWithinPartitions("id")
     rows = own.select(array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("features"))
-    return np.asarray(KMeans(k=k, seed=seed, maxIter=15).fit(rows).clusterCenters())
+    out = np.asarray(KMeans(k=k, seed=seed, maxIter=15).fit(rows).clusterCenters())
+    # near cells get near numbers, so that they lie in one slice
+    return out[np.argsort((out - out.mean(0)) @ np.linalg.svd(out - out.mean(0), full_matrices=False)[2][0], kind="stable")]
 
 
 def _by_cell(rows: DataFrame, vector: str, near: np.ndarray, probes: int) -> DataFrame:
@@ -85,29 +91,107 @@ def _probes_for(spark: SparkSession, path: str, near: np.ndarray, wanted: float,
     return len(near)
 
 
-def _best(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query, id, score: the best k of the vectors (cell, id, v) that share a cell with a query (cell, query, q)."""
-    parts = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    sizes = parts(vectors, SLICE, "slices").join(parts(queries, BLOCK, "blocks"), "cell")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+def _places(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell (by its number) the first of its slices and how many it has; none where it holds no vector."""
+    sizes = {r["cell"]: r["count"] for r in vectors.groupBy("cell").count().collect()}  # MOST_CELLS rows at most
+    most = min(SLICE, max(LEAST, -(-sum(sizes.values()) // SPREAD)))
+    first, parts, at, held = np.zeros(max(sizes, default=-1) + 1, int), np.zeros(max(sizes, default=-1) + 1, int), 0, 0
+    for cell, n in sorted(sizes.items()):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        first[cell], parts[cell] = at, -(-n // most)
+        at, held = (at + parts[cell], 0) if n > most else (at, held + n)
+    return first, parts
+
+
+def _asked(queries: DataFrame, near: np.ndarray | None, probes: int, first: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """query, q, slice, cells: a row for each slice that holds cells among the `probes` nearest of a query, with these; all cells (near is None) are an empty list."""
+    half = None if near is None else (near**2).sum(1) / 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in (b.iloc[i : i + 1024] for b in batches for i in range(0, len(b), 1024)):
+            n = len(pdf)
+            if near is None:
+                slices = np.arange((first + parts).max(initial=0))
+                row, at, cells = np.repeat(np.arange(n), len(slices)), np.tile(slices, n), [[]] * (n * len(slices))
+            else:
+                order = np.argsort(half - np.stack(pdf["q"].to_list()).astype(float) @ near.T, axis=1, kind="stable")[:, :probes]
+                row, cell = np.repeat(np.arange(n), order.shape[1]), order.ravel()
+                there = cell < len(parts)
+                row, cell = row[there], cell[there]
+                times = parts[cell]
+                row, cell, nth = np.repeat(row, times), np.repeat(cell, times), np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+                at = first[cell] + nth
+                by = np.lexsort((cell, at, row))
+                row, cell, at = row[by], cell[by], at[by]
+                new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
+                row, at, cells = row[new], at[new], np.split(cell, new[1:]) if len(new) else []
+            yield pd.DataFrame({"query": pdf["query"].to_numpy()[row], "q": pdf["q"].to_numpy()[row], "slice": at, "cells": cells})
+
+    kind = dict(queries.dtypes)
+    return queries.select("query", "q").mapInPandas(run, f"query {kind['query']}, q {kind['q']}, slice int, cells array<int>")
+
+
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's best k; of equal ones the first columns."""
+    if k >= scores.shape[1]:
+        return np.nonzero(~np.isnan(scores))
+    row, col = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
+    return _first(row, col, scores[row, col], col, k)
+
+
+def _first(row: np.ndarray, col: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((tie, -score, row))
+    row, col = row[by], col[by]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
+def _best(queries: DataFrame, vectors: DataFrame, k: int, near: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """query, id, score: the best k of the vectors (cell, id, v) in the `probes` nearest cells of a query (query, q), or in all of them."""
+    spark = queries.sparkSession
+    first, parts = _places(vectors)
+    asked = _asked(queries, near, probes, first, parts)
+    if near is None:
+        n = queries.count()
+        counts = [(i, n) for i in range(int((first + parts).max(initial=0)))]
+    else:
+        counts = [(r["slice"], r["count"]) for r in asked.groupBy("slice").count().collect()]  # as many as slices
+    # small lists: a row for each cell, and for each slice that is asked for
+    place = F.broadcast(spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(len(parts)) if parts[c]], "cell int, first int, parts int"))
+    blocks = F.broadcast(spark.createDataFrame([(i, -(-n // BLOCK)) for i, n in counts if n], "slice int, blocks int"))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = queries.join(sizes, "cell").select("cell", "query", "q", dealt("query", "blocks").alias("block"), every("slices").alias("slice"))
-    right = vectors.join(sizes, "cell").select("cell", "id", "v", dealt("id", "slices").alias("slice"), every("blocks").alias("block"))
-    keys = ["cell", "slice", "block"]
+    left = asked.join(blocks, "slice").select("query", "q", "slice", "cells", dealt("query", "blocks").alias("block"))
+    right = vectors.join(place, "cell").select("id", "v", "cell", (F.col("first") + dealt("id", "parts")).alias("slice")).join(blocks, "slice")
+    right = right.select("id", "v", "cell", "slice", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    keys = ["slice", "block"]
 
     def score(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        out = {"query": [], "id": [], "score": []}
-        if len(q) and len(v):
-            ids = v["id"].to_numpy()
-            all_ = np.round(np.stack(q["q"].to_list()).astype(float) @ np.stack(v["v"].to_list()).astype(float).T, 6)
-            for query, own in zip(q["query"], all_, strict=True):
-                least = np.partition(own, -k)[-k] if k < len(own) else -np.inf
-                at = np.flatnonzero(own >= least)
-                at = at[np.lexsort((ids[at], -own[at]))][:k]
-                out["query"] += [query] * len(at)
-                out["id"] += ids[at].tolist()
-                out["score"] += own[at].tolist()
-        return pd.DataFrame(out)
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query": [], "id": [], "score": []})
+        v = v.sort_values("id", kind="stable")
+        ids, cell, own = v["id"].to_numpy(), v["cell"].to_numpy(), np.stack(v["v"].to_list()).astype(float)
+        asks, lists = np.stack(q["q"].to_list()).astype(float), q["cells"].to_list()
+        # which queries read which vectors: all of a slice's, or those of a cell
+        if any(len(c) for c in lists):
+            who, what = np.repeat(np.arange(len(q)), [len(c) for c in lists]), np.concatenate(lists)
+            pairs = [(who[what == c], np.flatnonzero(cell == c)) for c in np.unique(what)]
+        else:
+            pairs = [(np.arange(len(q)), np.arange(len(v)))]
+        row, col, got = [], [], []
+        for rows, cols in pairs:
+            step = max(1, SCORES // max(1, len(cols)))
+            for i in range(0, len(rows) if len(cols) else 0, step):
+                scores = np.round(asks[rows[i : i + step]] @ own[cols].T, 6)
+                r, c = _top(scores, k)
+                row.append(rows[i : i + step][r])
+                col.append(cols[c])
+                got.append(scores[r, c])
+        if not row:
+            return pd.DataFrame({"query": [], "id": [], "score": []})
+        row, col, got = np.concatenate(row), np.concatenate(col), np.concatenate(got)
+        row, at = _first(row, np.arange(len(row)), got, col, k)
+        return pd.DataFrame({"query": q["query"].to_numpy()[row], "id": ids[col[at]], "score": got[at]})
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query long, id long, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
@@ -120,17 +204,15 @@ def search(queries: DataFrame, path: str, k: int = 8, probes: int | None = None)
     near = np.asarray([r["v"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])  # MOST_CELLS rows at most
     if probes is None:
         probes = spark.read.parquet(f"{path}/probes").first()["probes"]
-    own = _by_cell(queries.where("query IS NOT NULL AND q IS NOT NULL").select("query", "q"), "q", near, probes or len(near)).drop("rank")
-    vectors = spark.read.parquet(f"{path}/vectors")
-    # cells that no query reads are pruned by name
-    return _best(own, vectors.join(own.select("cell").distinct(), "cell", "left_semi"), k)
+    own = queries.where("query IS NOT NULL AND q IS NOT NULL").select("query", "q")
+    return _best(own, spark.read.parquet(f"{path}/vectors"), k, near if 0 < probes < len(near) else None, probes)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
     """query, id, score: the best k of vectors (id, v) for each query (query, q), by comparing all."""
     # one cell, by a term that the optimiser does not take for a constant: it would make the equal join a nested loop
-    one = lambda c: F.pmod(F.xxhash64(c), F.lit(1)).cast("int").alias("cell")
-    return _best(queries.where("query IS NOT NULL AND q IS NOT NULL").select("query", "q", one("query")), vectors.where("id IS NOT NULL AND v IS NOT NULL").select("id", "v", one("id")), k)
+    one = F.pmod(F.xxhash64("id"), F.lit(1)).cast("int").alias("cell")
+    return _best(queries.where("query IS NOT NULL AND q IS NOT NULL").select("query", "q"), vectors.where("id IS NOT NULL AND v IS NOT NULL").select("id", "v", one), k)
 
 
 def without(found: DataFrame, skip: DataFrame | None = None, keep: int = 3) -> DataFrame:

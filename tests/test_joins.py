@@ -199,3 +199,29 @@ def test_distances(spark, tmp_path):
     done.collect()
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("HashAggregate") > plan.rindex("Join")  # names are made distinct below the join
+
+
+def test_queries_go_to_slices_not_cells(spark, monkeypatch, tmp_path):
+    """A query goes to a slice once, however many of its cells it reads there; what is found is the best of the cells read."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(600)]
+    df = spark.createDataFrame([*rows, (600, rows[3][1])], "id long, v array<double>")
+    monkeypatch.setattr(vectors, "LEAST", 100)
+    monkeypatch.setattr(vectors, "SLICE", 200)
+    vectors.build(df, path := str(tmp_path / "index"), cells=30, k=4)
+    held = spark.read.parquet(f"{path}/vectors")
+    near = np.array([r["v"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])
+    first, parts = vectors._places(held)
+    slices = int((first + parts).max())
+    asks = df.where("id % 20 = 0").selectExpr("id AS query", "v AS q")
+    assert slices < 12 and vectors._asked(asks, near, len(near) - 1, first, parts).count() <= asks.count() * slices
+    cell = {r["id"]: r["cell"] for r in held.select("id", "cell").collect()}
+    for probes in (0, 1, 7):
+        got = sorted(tuple(r) for r in vectors.search(asks, path, 4, probes).collect())
+        want = []
+        for i in [*range(0, 600, 20), 600]:
+            q = np.array(dict([*rows, (600, rows[3][1])])[i])
+            read = set(np.argsort((near**2).sum(1) / 2 - near @ q, kind="stable")[: probes or len(near)])
+            all_ = sorted((-round(float(q @ np.array(v)), 6), j) for j, v in [*rows, (600, rows[3][1])] if cell[j] in read)
+            want += [(i, j, -s) for s, j in all_[:4]]
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in sorted(want, key=lambda x: (x[0], x[1]))], probes
