@@ -54,3 +54,33 @@ def test_few_points(spark):
     out = library_map(spark.createDataFrame([(1, 7, [1.0, 0.0]), (1, 8, [1.0, 0.0]), (2, 9, [0.0, 0.0])], schema), rounds=2)
     assert sorted((r.kind, r.id) for r in out.collect()) == [("chunk", 7), ("chunk", 8), ("chunk", 9), ("document", 1), ("document", 2)]
     assert out.where(F.isnan("x") | F.isnan("y")).count() == 0
+
+
+def test_round_over_pieces(spark, monkeypatch):
+    """A round over many pieces moves points as plain arrays do, and a position goes to a piece once."""
+    import pandas as pd
+
+    from inkstone.operators import layout
+
+    rng = np.random.default_rng(1)
+    n = 60
+    pos = rng.normal(size=(n, 2))
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, n - 2, size=(200, 2)).tolist() if a != b})
+    both = [(a, b, 0.1 + (a + b) % 9 / 10) for a, b in pairs] + [(b, a, 0.1 + (a + b) % 9 / 10) for a, b in pairs]
+    start = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pos)], "id long, x double, y double")
+    edges = spark.createDataFrame(both, "u long, v long, w double")
+    before = {r.id: (r.x, r.y) for r in layout.layout(start, edges, rounds=0).collect()}
+    at = np.array([before[i] for i in range(n)])
+    pushed = layout._push(pd.DataFrame({"id": range(n), "x": at[:, 0], "y": at[:, 1]}))[["px", "py"]].to_numpy()
+    total, weight = np.zeros((n, 2)), np.zeros(n)
+    for a, b, w in both:
+        apart = at[a] - at[b]
+        d2 = (apart**2).sum()
+        total[a] += w * np.clip(-2 * layout.A * layout.B * d2 ** (layout.B - 1) / (1 + layout.A * d2**layout.B) * apart, -4, 4)
+        weight[a] += w
+    want = at + layout.STEP * (2 * total / np.maximum(weight, 1e-12)[:, None] + 5 * pushed)
+    monkeypatch.setattr(layout, "PIECE", 7)
+    places = spark.createDataFrame([(i, i // 10) for i in range(n)], "id long, place int")
+    for where in (None, places):
+        got = {r.id: (r.x, r.y) for r in layout.layout(start, edges, rounds=1, places=where).collect()}
+        assert np.allclose([got[i] for i in range(n)], want, atol=1e-9)
