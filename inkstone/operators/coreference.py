@@ -21,8 +21,11 @@ Grouping = Callable[[DataFrame], DataFrame]
 
 def by_names(mentions: DataFrame) -> DataFrame:
     """doc, seq, id: mentions of a document and type whose texts are equal or similar, directly or through others; seq is the smallest id."""
-    roots = components(mentions.select("id"), coreference_edges(mentions)).withColumnRenamed("v", "id")
-    return mentions.select("doc", "id").join(roots, "id").select("doc", F.col("root").alias("seq"), "id")
+    # different texts are joined, by their first mentions; the others take over their text's group
+    texts = mentions.groupBy("doc", "type", "text").agg(F.min("id").alias("first"))
+    roots = components(texts.select(F.col("first").alias("id")), coreference_edges(texts.withColumnRenamed("first", "id"))).withColumnRenamed("v", "first")
+    found = texts.join(roots, "first").select("doc", "type", "text", "root")
+    return mentions.join(found, ["doc", "type", "text"], "left").select("doc", F.coalesce("root", "id").alias("seq"), "id")
 
 
 def merge(entities: DataFrame, groups: DataFrame, labels: DataFrame | None = None) -> DataFrame:

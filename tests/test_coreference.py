@@ -103,3 +103,21 @@ def test_other_documents_are_left_alone(spark, merged, tmp_path):
 def test_rows_of_documents_that_are_not_named(spark, merged):
     with pytest.raises(Exception, match="not named"):
         merged.change(spark, [2], spark.createDataFrame([(12, 1, "P", "x")], MENTION))
+
+
+def test_joins_different_texts_only(spark, monkeypatch):
+    """Copies of a text take over its group: what is joined into groups grows with different texts, not with mentions."""
+    from inkstone.operators import coreference
+
+    seen, own = [], coreference.components
+
+    def components(nodes, edges):
+        seen.append((nodes.count(), edges.count()))
+        return own(nodes, edges)
+
+    monkeypatch.setattr(coreference, "components", components)
+    rows = [(10 * i + j, 1 + i % 2, "N", t) for i in range(40) for j, t in enumerate(("large ring", "large rink", "cold plate"))] + [(9001, 1, "N", None), (9002, 1, "N", None)]
+    got = {r.id: r.seq for r in coreference.by_names(spark.createDataFrame(rows, "id long, doc int, type string, text string")).collect()}
+    first = {1: 0, 2: 10}
+    assert got == {i: i if t is None else first[d] + (2 if t == "cold plate" else 0) for i, d, _, t in rows}
+    assert seen[0][0] <= 7 and seen[0][1] <= 6
