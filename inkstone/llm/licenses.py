@@ -5,8 +5,10 @@ year, a mark or a holder follows the word; lines of a wrapped body that begin wi
 the matching guidelines of license lists name them), quotes and punctuation removed, white space made single. Its SHA-256 is
 joined with the digests of known license texts, which pass through the same expressions.
 
-Beside the whole text, each of its lines and each of its paragraphs (between blank lines) is digested and joined in the same
-way, whole, so that a notice or a license inside a longer text is found: `parts` names them.
+Beside the whole text, its lines and its paragraphs (between blank lines) are digested and joined in the same way, whole, so
+that a notice or a license inside a longer text is found: `parts` names them. Only blocks that begin as some known text does
+(`_fixed`), and whose canonical form is as long as one, are digested; no other can have its digest. Texts are read once; digests
+alone are stored, and what follows reads those.
 
 Null and empty texts, and texts of which nothing is left, have an empty canonical form; they match nothing. Repeated
 rows each give a row, rows with a null id too; an empty table gives none; of several ids with one digest the first by name
@@ -17,6 +19,8 @@ values AQE splits, as the known side has one row for each digest.
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,9 @@ from .license_texts import FULL, SPELLINGS, TEXTS
 
 #: Known digests that are broadcast at most.
 BROADCAST_ROWS = 100_000
+#: Characters of a known text that a block is asked to begin with, at most, and how many beginnings with a length are asked for; if
+#: more, every block is digested.
+START_CHARS, STARTS = 24, 1_000
 
 #: Applied in this order, after ASCII letters are in lower case. Each is valid for Java's and RE2's engines.
 STEPS: tuple[tuple[str, str], ...] = (
@@ -38,37 +45,64 @@ STEPS: tuple[tuple[str, str], ...] = (
 SAME: tuple[tuple[str, str], ...] = (("https ", "http "), *SPELLINGS)
 
 
-def canonical(text: Column) -> Column:
+def _plain(text: Column, steps: tuple[tuple[str, str], ...] = STEPS[:-1]) -> Column:
     t = F.translate(text, UPPER, LOWER)
-    for pattern, new in STEPS:
-        t = F.regexp_replace(t, pattern, new)
+    for pattern, new in steps:
+        # lines end at \n alone, as RE2 has it
+        t = F.regexp_replace(t, pattern.replace("(?m)", "(?md)"), new)
+    return t
+
+
+def _same(plain: Column) -> Column:
+    """The last step and the spellings."""
+    t = F.regexp_replace(plain, *STEPS[-1])
     for old, new in SAME:
         t = F.replace(t, F.lit(old), F.lit(new))
     return F.trim(t)
 
 
-def _plain(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
-    t = F.translate(text, UPPER, LOWER)
-    for pattern, new in steps:
-        t = F.regexp_replace(t, pattern, new)
-    return t
+def canonical(text: Column) -> Column:
+    return _same(_plain(text))
 
 
-def blocks(text: Column) -> Column:
-    """Canonical forms of a text's lines and paragraphs, without empty ones and repeats."""
-    t = _plain(text, STEPS[:-1])
-    both = F.array_distinct(F.concat(F.split(t, r"\n"), F.split(t, r"\n[ \t]*\n")))
-    # spellings are made one in all blocks at a time, between marks that no canonical text holds
-    t = F.regexp_replace(F.array_join(both, "\x01"), r"[^a-z0-9\x01\x{80}-\x{10FFFF}]+", " ")
-    for old, new in SAME:
-        t = F.replace(t, F.lit(old), F.lit(new))
-    return F.array_distinct(F.array_remove(F.transform(F.split(t, "\x01"), lambda x: F.trim(x)), ""))
+def _fixed(start: str) -> str:
+    """How a block began before its spellings were made one, if its canonical form begins with `start`.
+
+    From the last replacement back: the new spelling, wherever it may stand, can be of this replacement from where the two spellings
+    differ, so the start is kept up to there. One that runs over the end is taken to stand there."""
+    for old, new in reversed(SAME):
+        for i in range(len(start)):
+            seen = start[i : i + len(new)]
+            if new.startswith(seen):
+                start = start[: i + len(commonprefix((old, new)))]
+                break
+    return start
+
+
+def _begins(starts: list[str]) -> str:
+    """What finds one of these beginnings (`_fixed`) of a line; marks between words may be any, line ends too."""
+    other = STEPS[-1][0]
+    return rf"(?md)^[^a-z0-9\n\x{{80}}-\x{{10FFFF}}]*+(?:{'|'.join(s.replace(' ', other) for s in starts)})"
+
+
+def blocks(plain: Column, starts: list[str] | None, lengths: list[int]) -> Column:
+    """Digests of the canonical forms of a text's lines and paragraphs, in order and without repeats, from the text after all steps
+    but the last. Only of blocks that begin with one of `starts` and have one of `lengths` in canonical form (None: of all blocks)."""
+    found = F.concat(F.split(plain, r"\n"), F.split(plain, r"\n[ \t]*\n"))
+    if starts is not None:
+        begins = F.lit(_begins(starts))
+        found = F.filter(found, lambda b: F.rlike(b, begins))
+    forms = F.array_distinct(F.transform(found, _same))
+    if starts is not None:
+        forms = F.filter(forms, lambda c: F.length(c).isin(lengths))
+    held = F.array_sort(F.transform(forms, lambda c: F.sha2(c, 256)))
+    return held if starts is None else F.when(F.rlike(plain, begins), held)
 
 
 def digests(texts: DataFrame) -> DataFrame:
-    """license_id and digest, one row for each digest (the first id by name) from rows of license_id and text."""
+    """license_id, digest, and start and length of the canonical form, one row for each digest (the first id by name) from rows of license_id and text."""
     df = texts.select("license_id", canonical(F.coalesce("text", F.lit(""))).alias("c")).where("c <> ''")
-    return df.groupBy(F.sha2("c", 256).alias("canon_sha256")).agg(F.min("license_id").alias("license_id"))
+    return df.groupBy(F.sha2("c", 256).alias("canon_sha256")).agg(F.min("license_id").alias("license_id"), F.min(F.left("c", F.lit(START_CHARS))).alias("start"), F.min(F.length("c")).alias("n"))
 
 
 def known(spark: SparkSession) -> DataFrame:
@@ -78,16 +112,21 @@ def known(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """doc_id, canon_sha256, license_id (null: no known license), is_license, parts (ids of blocks, by name, joined) for every row."""
     lic = stored(digests(licenses if licenses is not None else known(docs.sparkSession)))
+    seen = lic.select("start", "n").distinct().limit(STARTS + 1).collect()
+    starts = sorted({_fixed(r["start"]) for r in seen}) if len(seen) <= STARTS else None
+    lic = lic.drop("start", "n")
     if is_small(lic, BROADCAST_ROWS):
         lic = F.broadcast(lic)
-    df = documents(docs).select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("canon_sha256"))
-    # blocks that are known go with their text's hash; those of equal texts are equal
-    each = df.select(F.xxhash64("text").alias("h"), F.explode(blocks(F.col("text"))).alias("b")).select("h", F.sha2("b", 256).alias("canon_sha256"))
+    df = documents(docs).select("doc_id", _plain(F.col("text")).alias("t"))
+    df = df.select("doc_id", F.sha2(_same(F.col("t")), 256).alias("canon_sha256"), blocks(F.col("t"), starts, sorted({r["n"] for r in seen})).alias("blocks"))
+    # texts with the same blocks have the same parts: one digest of all stands for them
+    df = stored(df.withColumn("h", F.when(F.size("blocks") > 0, F.sha2(F.array_join("blocks", ""), 256))))
+    each = df.where("h is not null").groupBy("h").agg(F.first("blocks").alias("blocks")).select("h", F.explode("blocks").alias("canon_sha256"))
     held = each.join(lic, "canon_sha256").groupBy("h").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("parts"))
     held = stored(held)
     if is_small(held, BROADCAST_ROWS):
         held = F.broadcast(held)
-    df = df.withColumn("h", F.xxhash64("text")).drop("text").join(lic, "canon_sha256", "left").join(held, "h", "left")
+    df = df.drop("blocks").join(lic, "canon_sha256", "left").join(held, "h", "left")
     return df.select("doc_id", "canon_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"), F.coalesce("parts", F.lit("")).alias("parts"))
 
 

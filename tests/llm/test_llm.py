@@ -119,6 +119,51 @@ def test_full_licenses(spark):
     assert {g["doc_id"]: g["license_id"] for g in licenses.scan(df).collect()} == dict(enumerate(names))
 
 
+def test_licenses_in_one_reading(spark, tmp_path):
+    """The result reads stored digests, no text again; odd rows are as in SQL."""
+    import duckdb
+
+    line, notice = TEXTS["line-MIT"], TEXTS["Apache-2.0-notice"]
+    texts = [f"x\n{line.replace(' ', chr(1))}\ny", f"x\n{line[:8]}\x01\n{line[8:]}", f"\x01{line}", f"a\u2028// {line}", f"a\x85# {line}\nb", f"\u2028{line}", f"x\n\n***\n\t{line[:13]}\n{line[13:]}\n \t\ny", f"x\r\r// {line.upper().replace('LICENSE', 'LICENCE')}\r\n", f"a\n{line}\n{notice}\n\n{line}", "\n" * 500, f"{line}\n" * 40, f"This work is released.\nReleased under\n\n{line[:-4]}", None, "", f"é{line}", f"q\n{line} https://\nhttps", TEXTS["MIT"], notice.split("\n\n")[0] + "\n\n" + line, f"a\u2028Copyright 2020 {line}", "a\x85rem b"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(None, texts[8]), (8, texts[8]), (8, "other")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = licenses.scan(spark.read.parquet(path))
+    assert not [f for f in got.inputFiles() if "documents.parquet" in f]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.sql(licenses.oracle()).fetchall()
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+    assert sum(w[4] != "" for w in want) == 8
+    # more beginnings than are asked for: every block is digested
+    some = spark.read.parquet(path)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(licenses, "STARTS", 3)
+        m.setattr(licenses, "BROADCAST_ROWS", 2)
+        assert Counter(tuple(r) for r in licenses.scan(some).collect()) == Counter(want)
+    nothing = spark.createDataFrame([], "license_id string, text string")
+    assert {(r["is_license"], r["parts"]) for r in licenses.scan(some, nothing).collect()} == {(False, "")}
+
+
+def test_license_beginnings():
+    """What a block began with before its spellings were made one; no block of another beginning has such a canonical form."""
+    r = random.Random(8)
+    bits = [x for pair in licenses.SAME for x in pair] + [x[:k] for pair in licenses.SAME for x in pair for k in (2, 4, 6)] + ["e", "s", " ", "mit", "copyright ", "s "]
+    cut = 0
+    for _ in range(20_000):
+        raw = "".join(r.choice(bits) for _ in range(r.randint(1, 5))).strip()
+        form = raw
+        for old, new in licenses.SAME:
+            form = form.replace(old, new)
+        for n in (3, 8, 24):
+            start = form[:n].strip()
+            kept = licenses._fixed(start)
+            assert start.startswith(kept) and raw.startswith(kept) and len(kept) >= min(3, len(start)), (raw, start)
+            cut += kept != start
+    assert cut > 1_000
+    assert licenses._fixed("permission is hereby gra") == "permission is hereby gra"
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())
