@@ -20,6 +20,8 @@ and documents joined by links form a group, of which the smallest doc_id stays.
    passage shared by many documents that are no copies makes no rows and ships no texts.
 5. Groups are the connected components of confirmed links.
 
+Joins are by a shuffle, whatever a side's size: there are many small ones, and each side that is broadcast passes through the driver.
+
 Texts that are null or empty have the empty set, are linked with nothing and stay. Rows with a null id are linked with
 nothing and stay, with a null component. Rows that repeat a doc_id each give a row; those with different texts are documents
 of their own, which share no more than the id, and `version` tells them apart. Ties: the smallest doc_id. Extra columns are
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_python, discard, documents, stored, version
-from .components import components
+from .components import components, edges
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -171,14 +173,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v: the pairs (a, b) that are linked. sets: rep, sig, text of all that occur.
+    """u, v: the groups (ra, rb) of pairs (a, b) that are linked. sets: rep, sig, text of all that occur.
 
     Each pivot's text comes first and stays while its partners stream by, so a task holds two texts at a time; a pivot with
     many partners is dealt out in parts."""
     parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / DEAL).cast("long").alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets, F.col("a") == F.col("rep")).select("a", "part", F.lit(-1).cast("long").alias("b"), "sig", "text")
-    tails = dealt.join(sets, F.col("b") == F.col("rep")).select("a", "part", "b", "sig", "text")
+    dealt = pairs.join(parts.hint("merge"), "a").select("a", "b", "ra", "rb", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    none = F.lit(-1).cast("long")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets.hint("merge"), F.col("a") == F.col("rep")).select("a", "part", none.alias("b"), none.alias("ra"), none.alias("rb"), "sig", "text")
+    tails = dealt.join(sets.hint("merge"), F.col("b") == F.col("rep")).select("a", "part", "b", "ra", "rb", "sig", "text")
     # numbers of classes are not negative, so the head comes first
     rows = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", "b")
 
@@ -188,7 +191,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         text = ""
         for pdf in it:
             u, v = [], []
-            for a, b, s, t in zip(pdf["a"], pdf["b"], pdf["sig"], pdf["text"], strict=True):
+            for b, ra, rb, s, t in zip(pdf["b"], pdf["ra"], pdf["rb"], pdf["sig"], pdf["text"], strict=True):
                 got = np.frombuffer(s, np.uint32)
                 if b < 0:
                     sig, text, whole = got, t, None
@@ -196,8 +199,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     if whole is None:
                         whole = shingle_set(text, words)
                     if linked(whole, shingle_set(t, words)):
-                        u.append(int(a))
-                        v.append(int(b))
+                        u.append(int(ra))
+                        v.append(int(rb))
             yield pd.DataFrame({"u": u, "v": v}, dtype="int64")
 
     return rows.mapInPandas(run, "u long, v long")
@@ -210,11 +213,11 @@ def confirmed_in_blocks(inside: DataFrame, sets: DataFrame) -> DataFrame:
     Of a pair in several buckets only the first band's task looks at it; of two outside members only the smaller one's block."""
     hashes = F.when(F.col("outside"), F.col("n_shingles") + HASHES).otherwise(F.lit(0))
     cuts = inside.groupBy("key").agg(F.ceil(F.sum(hashes) / BLOCK).cast("long").alias("blocks"), F.ceil(F.count(F.lit(1)) / SHARE).cast("long").alias("shares"))
-    cut = inside.drop("n_shingles").join(cuts.where("blocks > 0"), "key")
+    cut = inside.drop("n_shingles").join(cuts.where("blocks > 0").hint("merge"), "key")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     heads = cut.where("outside").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("share", each("shares")).withColumn("head", F.lit(True))
     tails = cut.withColumn("share", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("shares"))).withColumn("block", each("blocks")).withColumn("head", F.lit(False))
-    rows = heads.unionByName(tails).drop("blocks", "shares").join(sets, "rep")
+    rows = heads.unionByName(tails).drop("blocks", "shares").join(sets.hint("merge"), "rep")
     rows = rows.repartition("key", "block", "share").sortWithinPartitions("key", "block", "share", F.desc("head"), "rep")
     least = np.array(least_matches())
 
@@ -271,71 +274,73 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("first.doc_id").alias("least"), "first.version", "n_shingles", "sig", "sketch"))
     keys = classes.select("rep", F.posexplode(F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)))).alias("band", "key"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = stored(keys.join(pivots, "key"))
+    buckets = stored(keys.join(pivots.hint("merge"), "key"))
     members = buckets.select("rep").distinct()
-    chosen = classes.join(members, "rep", "left_semi").select(F.col("least").alias("doc_id"), "version", "rep", "sig")
-    sets = stored(df.where("doc_id IS NOT NULL").join(chosen, ["doc_id", "version"]).groupBy("rep").agg(F.min("text").alias("text"), F.min("sig").alias("sig")))
-    short = stored(classes.join(members, "rep", "left_semi").select("rep", "n_shingles", "sketch"))
+    chosen = classes.join(members.hint("merge"), "rep", "left_semi").select(F.col("least").alias("doc_id"), "version", "rep", "sig")
+    sets = stored(df.where("doc_id IS NOT NULL").join(chosen.hint("merge"), ["doc_id", "version"]).groupBy("rep").agg(F.min("text").alias("text"), F.min("sig").alias("sig")))
+    short = stored(classes.join(members.hint("merge"), "rep", "left_semi").select("rep", "n_shingles", "sketch"))
     labels = stored(members.select(F.col("rep").alias("v"), F.col("rep").alias("root")))
     tried = None
 
     def label(df: DataFrame, col: str, name: str) -> DataFrame:
-        return df.join(labels.select(F.col("v").alias(col), F.col("root").alias(name)), col)
+        return df.join(labels.select(F.col("v").alias(col), F.col("root").alias(name)).hint("merge"), col)
 
     def sized(df: DataFrame, col: str) -> DataFrame:
         """df with the set size and the sketch of col as n_col and s_col."""
-        return df.join(short.select(F.col("rep").alias(col), F.col("n_shingles").alias(f"n_{col}"), F.col("sketch").alias(f"s_{col}")), col)
+        return df.join(short.select(F.col("rep").alias(col), F.col("n_shingles").alias(f"n_{col}"), F.col("sketch").alias(f"s_{col}")).hint("merge"), col)
 
     def untried(df: DataFrame) -> DataFrame:
         """Pairs (a, b) that were not compared, in whichever direction."""
         if tried is None:
             return df
-        return df.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried, ["x", "y"], "left_anti").drop("x", "y")
+        return df.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried.hint("merge"), ["x", "y"], "left_anti").drop("x", "y")
 
     def compare(pairs: DataFrame) -> None:
-        """Confirms pairs and lets their links join groups: components of what is still apart are few and small."""
+        """Confirms pairs (a, b) of groups (ra, rb) and lets their links join groups: components of what is still apart are few and small."""
         nonlocal tried
         now = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         tried = now if tried is None else tried.unionByName(now)
-        merge(label(label(confirmed(pairs, sets), "u", "ru"), "v", "rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+        merge(confirmed(pairs, sets))
 
     def merge(links: DataFrame) -> None:
         """Lets links (u, v) of groups join them."""
         nonlocal labels
-        links = stored(links.where("u <> v").distinct())
+        links = edges(links)
         if not links.isEmpty():
             joined = components(links).select(F.col("v").alias("root"), F.col("root").alias("to"))
-            labels, old = stored(labels.join(joined, "root", "left").select("v", F.coalesce("to", "root").alias("root"))), labels
+            labels, old = stored(labels.join(joined.hint("merge"), "root", "left").select("v", F.coalesce("to", "root").alias("root"))), labels
             discard(old)
 
     # every member with its buckets' first pivots: one of them, then four, then all; those already in its group are passed over
     firsts = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     firsts = stored(sized(sized(firsts, "a"), "b").where(near(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"))).select("a", "b"))
     for several in (1, 4, BANDS):
-        apart = firsts if tried is None else untried(label(label(firsts, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
-        pairs = stored(apart.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("r") <= several).select("a", "b"))
+        # before anything was compared each is a group of its own
+        apart = firsts.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")) if tried is None else untried(label(label(firsts, "a", "ra"), "b", "rb").where("ra <> rb"))
+        pairs = stored(apart.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("r") <= several).select("a", "b", "ra", "rb"))
         if pairs.isEmpty():
             break
         compare(pairs)
     # members outside the largest group of their bucket with all others; the pivot was looked at by all
     left = label(buckets.where("n > 2 AND rep <> pivot"), "rep", "own")
     main = left.groupBy("key", "own").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("own", F.struct("size", "own")).alias("main"), F.count(F.lit(1)).alias("several"))
-    left = stored(left.join(main.where("several > 1").drop("several"), "key"))
-    inside = left.where(F.col("n") > PAIRWISE).join(short.select("rep", "n_shingles"), "rep").select("key", "band", "rep", "own", (F.col("own") != F.col("main")).alias("outside"), "n_shingles")
+    left = stored(left.join(main.where("several > 1").drop("several").hint("merge"), "key"))
+    inside = left.where(F.col("n") > PAIRWISE).join(short.select("rep", "n_shingles").hint("merge"), "rep").select("key", "band", "rep", "own", (F.col("own") != F.col("main")).alias("outside"), "n_shingles")
     merge(confirmed_in_blocks(stored(inside), sets))
     left = stored(label(left.where(F.col("n") <= PAIRWISE).drop("own"), "rep", "own").select("key", "rep", "own", "main"))
     bucket = sized(left.select("key", "rep", "own"), "rep")
     chosen = sized(left.where("own <> main").select("key", F.col("rep").alias("p"), F.col("own").alias("p_own")), "p")
     apart = (F.col("own") != F.col("p_own")) & near(F.col("n_p"), F.col("n_rep"), F.col("s_p"), F.col("s_rep"))
-    again = chosen.join(bucket, "key").where(apart).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    again = chosen.join(bucket.hint("merge"), "key").where(apart).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"), F.col("own").alias("ra"), F.col("p_own").alias("rb"))
+    again = again.dropDuplicates(["a", "b"])
     fresh = stored(untried(again))
     if not fresh.isEmpty():
         compare(fresh)
     # a class's component, by the smallest id of all classes it is joined with
-    of_class = classes.select("rep", "digest", "least").join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left").select("digest", "least", F.coalesce("root", "rep").alias("root"))
+    of_class = classes.select("rep", "digest", "least").join(labels.select(F.col("v").alias("rep"), "root").hint("merge"), "rep", "left").select("digest", "least", F.coalesce("root", "rep").alias("root"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = of_class.join(least, "root").select("digest", "component_id")
-    rows = f.where("digest IS NOT NULL").select("doc_id", "version", "n_shingles", "digest").join(of_class, "digest", "left").drop("digest")
+    of_class = of_class.join(least.hint("merge"), "root").select("digest", "component_id")
+    rows = f.where("digest IS NOT NULL").select("doc_id", "version", "n_shingles", "digest").join(of_class.hint("merge"), "digest", "left").drop("digest")
     # rows without a set have no key to be joined by
     rows = rows.unionByName(f.where("digest IS NULL").select("doc_id", "version", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
