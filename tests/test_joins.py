@@ -182,6 +182,41 @@ def test_dealt_join(spark, monkeypatch):
     assert context.dealt_join(a, b.where("k > 5"), "k").count() == 0
 
 
+def test_dealt_join_columns(spark, monkeypatch):
+    """Several columns with nulls and repeated rows on either side, or none but the key; groups of one line and of many."""
+    from inkstone.operators import context
+
+    monkeypatch.setattr(context, "LINE", 8)
+    left = [(i % 50, "x" if i % 3 else None, i % 4 if i % 9 else None) for i in range(120)]
+    right = [(i % 40, None if i % 5 else "y", [i % 7], i % 3) for i in range(90)]
+    a, b = spark.createDataFrame(left, "l long, m string, k int"), spark.createDataFrame(right, "r long, s string, t array<int>, k int")
+    want = sorted(str((k, x, m, r, s, t)) for x, m, k in left for r, s, t, j in right if k == j)
+    for dealt in (16_384, 4):
+        monkeypatch.setattr(context, "DEALT", dealt)
+        got = context.dealt_join(a, b, "k")
+        assert got.columns == ["k", "l", "m", "r", "s", "t"]
+        assert sorted(str(tuple(x)) for x in got.collect()) == want
+        assert context.dealt_join(a.select("k"), b.select("k"), "k").count() == len(want)
+
+
+def test_dealt_join_disk(spark, monkeypatch, tmp_path):
+    """What a key's rows take in the shuffle grows with the rows, not with their square, and what is written takes little room."""
+    from inkstone.operators import context
+
+    put = []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "repartition", lambda self, *a, f=frame.repartition: put.append(self.count()) or f(self, *a))
+    for n in (20_000, 80_000):
+        side = lambda name, n=n: spark.range(n).selectExpr(f"id AS {name}", "1 AS k")
+        put.clear()
+        context.dealt_join(side("l"), side("r"), "k")
+        assert put and sum(put) <= 5 * 2 * n
+    left, right = spark.range(2000).selectExpr("id AS l", "1 AS k"), spark.range(1237).selectExpr("id AS r", "1 AS k")
+    context.dealt_join(left, right, "k").write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 2000 * 1237
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.3 * 2000 * 1237
+
+
 def test_distances(spark, tmp_path):
     """Repeated names meet once, and rows are those of SQL, null names too."""
     import duckdb
